@@ -6,15 +6,17 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cached_property, partial
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, texts_of
+from .common import map_arrow, pieces, texts_of
 
 MARK = "▁"
 #: Distinct words a table holds before it starts anew; this bounds memory and changes no result.
-TABLE_WORDS = 250_000
+TABLE_WORDS = 400_000
+_LEARN_WORDS = 100_000
 _RUNS = re.compile(" *[^ ]+| +")
 _codecs: dict[str, "Codec"] = {}
 
@@ -32,7 +34,8 @@ class Codec:
 
     def __init__(self, model_path: str):
         self.path = model_path
-        self.words: dict[str, tuple[str, str]] = {}
+        self.words: dict[str, str] = {}  # a word's ids in decimal, joined by commas
+        self.odd: dict[str, str] = {}  # what a word decodes to, unless that is the word
 
     @cached_property
     def library(self):
@@ -50,25 +53,38 @@ class Codec:
         plain = n.name == "identity" and not n.precompiled_charsmap and n.add_dummy_prefix and n.escape_whitespaces and not n.remove_extra_whitespaces and not m.trainer_spec.treat_whitespace_as_suffix and m.trainer_spec.byte_fallback
         return plain and not any(re.search(f"[^{MARK}]{MARK}|\n", p.piece) for p in m.pieces if p.type in (1, 4))
 
+    @cached_property
+    def surfaces(self) -> dict[int, str]:
+        """What ordinary pieces decode to. Byte, unknown and control pieces are left to the library."""
+        sp = self.library
+        odd = (sp.is_byte, sp.is_unknown, sp.is_control, sp.is_unused)
+        return {i: sp.id_to_piece(i).replace(MARK, " ") for i in range(sp.get_piece_size()) if not any(f(i) for f in odd)}
+
+    def _decode(self, ids: list[int]) -> str:
+        """The library's decode(ids) with the marker that it takes off the first piece still on."""
+        try:
+            return "".join([self.surfaces[i] for i in ids])
+        except KeyError:
+            back = self.library.decode(ids)
+            return " " + back if self.surfaces.get(ids[0], "")[:1] == " " else back
+
     @cached_property
     def mark_id(self) -> int:
         return self.library.piece_to_id(MARK)
 
     def _learn(self, words: list[str]) -> None:
-        """words: as in _words(); an entry is the ids as text and the decoded text.
+        """words: as in _words().
 
         The library puts its marker before each input, which stands for the first space of a word that has
         one; before a line feed it is a piece of its own and is taken off again.
         """
-        if len(self.words) + len(words) > TABLE_WORDS:
-            self.words.clear()
         ask = [w[1:] if w[0] == " " else w for w in words]
         ids = self.library.encode(ask, num_threads=1)
-        ids = [[self.mark_id] if w == " " else i if w[0] == " " else i[1:] for w, i in zip(words, ids)]
-        back = self.library.decode(ids)
-        # decoding takes off the first piece's marker: put it back where the word has it
-        for w, i, b in zip(words, ids, back):
-            self.words[w] = (",".join(map(str, i)), " " + b if w[0] == " " else b)
+        for w, i in zip(words, ids):
+            i = [self.mark_id] if w == " " else i if w[0] == " " else i[1:]
+            self.words[w] = ",".join(map(str, i))
+            if (back := self._decode(i)) != w:
+                self.odd[w] = back
 
     def _words(self, text: str) -> list[str]:
         if "  " in text or " \n" in text or text[0] in " \n" or text[-1] == " ":
@@ -87,16 +103,20 @@ class Codec:
             else:
                 ids = self.library.encode(t)
                 out[i] = (",".join(map(str, ids)), self.library.decode(ids))
-        for i, words in cut:
-            fresh = list(dict.fromkeys(w for w in words if w not in self.words))
-            if fresh:
-                known = self.words
-                if len(known) + len(fresh) > TABLE_WORDS:
-                    fresh = list(dict.fromkeys(words))
-                self._learn(fresh)
-            found = [*map(self.words.__getitem__, words)]
-            # the first word's marker is the library's own and goes, as in decode()
-            out[i] = (",".join([x for x, _ in found]), "".join([y for _, y in found])[1:])
+        for a, b in pieces(cut, lambda x: len(x[1]), _LEARN_WORDS):
+            every = dict.fromkeys(chain.from_iterable(words for _, words in cut[a:b]))
+            fresh = [w for w in every if w not in self.words]
+            if len(self.words) + len(fresh) > TABLE_WORDS:
+                self.words.clear()
+                self.odd.clear()
+                fresh = list(every)
+            self._learn(fresh)
+            for i, words in cut[a:b]:
+                back = texts[i]
+                if self.odd and not self.odd.keys().isdisjoint(words):
+                    # the first word's marker is the library's own and goes, as in decode()
+                    back = "".join([self.odd.get(w, w) for w in words])[1:]
+                out[i] = (",".join([*map(self.words.__getitem__, words)]), back)
         return out
 
 
