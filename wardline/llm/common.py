@@ -126,3 +126,26 @@ def word_hashes(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     bounds = np.concatenate(([0], np.cumsum(lengths)))
     return hashes, np.searchsorted(starts, bounds)
+
+
+class WordTable:
+    """What has been worked out for distinct words, in bounded memory.
+
+    Beyond ``most`` words it keeps those that came up again since it last made room, then starts anew:
+    rare words may be worked out twice, results never differ.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.of, self.often = most, {}, set()
+
+    def fresh(self, lists: list[list[str]]) -> list[str]:
+        """The words of ``lists`` that are not in the table, which now has room for them."""
+        every = set().union(*lists)
+        fresh = [w for w in every if w not in self.of]
+        if len(self.of) + len(fresh) > self.most:
+            often = self.often if len(self.often) < self.most // 2 else ()
+            self.of = {w: self.of[w] for w in often}
+            self.often = set()
+            fresh = [w for w in every if w not in self.of]
+        self.often.update(every.difference(fresh))
+        return fresh

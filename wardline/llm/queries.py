@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, sentencepiece_codec, toxicity
+from . import ann_forest, exact_dedup, licenses, lm_scoring, mixing, near_dedup, quality, sentencepiece_codec, token_shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,16 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"))
+
+
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_shards.tokenize(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +38,35 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann_forest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 8) for c in ("base_score", "score")})
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p.start)
+    names = lambda c: F.transform(c, lambda p: p.label)
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    # words that a phrase or template covers
+    covered = F.flatten(F.transform(F.concat("places", "spans"), lambda p: F.sequence(p.start, p.end - 1)))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(names("places")).alias("base_labels"),
+        joined(names(F.concat("places", "spans"))).alias("labels"),
+        F.coalesce(F.size(F.array_distinct(covered)) / F.nullif(F.col("n_words"), F.lit(0)), F.lit(0.0)).alias("score"),
+    )
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(_table(spark, sf_dir, "documents"), piece_model())
 
@@ -40,7 +80,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_toxicity, op8_sentencepiece, op9_mixing, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_token_shards, op3_exact_dedup, op4_toxicity, op5_nearest, op6_lm_scoring, op7_licenses, op8_sentencepiece, op9_mixing, op10_near_dedup)}
 
 
 _EXACT_DEDUP = r"""
@@ -89,5 +129,39 @@ FROM e
 """
 
 
+#: crc32 of a short ASCII text; a fixed polynomial, bit by bit.
+_CRC = (
+    "xor(list_reduce(list_transform(string_split({x}, ''), lambda ch: ord(ch)::BIGINT), lambda a, b: "
+    "list_reduce(range(8), lambda h, i: CASE WHEN h & 1 = 1 THEN xor(h >> 1, 3988292384) ELSE h >> 1 END, xor(a, b)), 4294967295), 4294967295)"
+)
+
+_LM = (
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, CRC % 7 = 2 AS held_out,
+         list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') AS w
+  FROM documents
+), t AS (
+  SELECT r, held_out, unnest(w) AS tok, unnest(list_concat([NULL], w[1:len(w) - 1])) AS prev FROM d
+), u AS (
+  SELECT tok, count(*) AS c FROM t WHERE NOT held_out GROUP BY tok
+), b AS (
+  SELECT prev, tok, count(*) AS c FROM t WHERE NOT held_out AND prev IS NOT NULL GROUP BY prev, tok
+), n AS (
+  SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM u
+), p AS (
+  SELECT t.r, coalesce(u.c, 0) AS c, coalesce(h.c, 0) AS ch, coalesce(b.c, 0) AS cb,
+         (coalesce(u.c, 0) + 1)::DOUBLE / (n.n + n.v + 1) AS p1
+  FROM t CROSS JOIN n LEFT JOIN u USING (tok) LEFT JOIN u h ON t.prev = h.tok LEFT JOIN b ON t.prev = b.prev AND t.tok = b.tok
+), s AS (
+  SELECT r, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, fsum(log10(p1)) AS base_score,
+         fsum(CASE WHEN ch > 0 THEN log10((cb + 40.0::DOUBLE * p1) / (ch + 40.0::DOUBLE)) ELSE log10(p1) END) AS score
+  FROM p GROUP BY r
+)
+SELECT doc_id, held_out, n_tokens, n_known, n.n AS train_tokens, round(base_score, 8) AS base_score, round(score, 8) AS score
+FROM d JOIN s USING (r) CROSS JOIN n
+""".replace("CRC", _CRC.format(x="doc_id::VARCHAR"))
+)
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _EXACT_DEDUP, "op9_mixing": _MIXING}
+    return {"op3_exact_dedup": _EXACT_DEDUP, "op6_lm_scoring": _LM, "op9_mixing": _MIXING}

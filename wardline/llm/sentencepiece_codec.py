@@ -6,16 +6,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cached_property, partial
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, pieces, texts_of
+from .common import WordTable, map_arrow, pieces, texts_of
 
 MARK = "▁"
-#: Distinct words a table holds before it starts anew; this bounds memory and changes no result.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 600_000
 _LEARN_WORDS = 100_000
 _RUNS = re.compile(" *[^ ]+| +")
 _codecs: dict[str, "Codec"] = {}
@@ -34,7 +32,7 @@ class Codec:
 
     def __init__(self, model_path: str):
         self.path = model_path
-        self.words: dict[str, str] = {}  # a word's ids in decimal, joined by commas
+        self.words = WordTable(TABLE_WORDS)  # a word's ids in decimal, joined by commas
         self.odd: dict[str, str] = {}  # what a word decodes to, unless that is the word
 
     @cached_property
@@ -82,7 +80,7 @@ class Codec:
         ids = self.library.encode(ask, num_threads=1)
         for w, i in zip(words, ids):
             i = [self.mark_id] if w == " " else i if w[0] == " " else i[1:]
-            self.words[w] = ",".join(map(str, i))
+            self.words.of[w] = ",".join(map(str, i))
             if (back := self._decode(i)) != w:
                 self.odd[w] = back
 
@@ -104,19 +102,17 @@ class Codec:
                 ids = self.library.encode(t)
                 out[i] = (",".join(map(str, ids)), self.library.decode(ids))
         for a, b in pieces(cut, lambda x: len(x[1]), _LEARN_WORDS):
-            every = dict.fromkeys(chain.from_iterable(words for _, words in cut[a:b]))
-            fresh = [w for w in every if w not in self.words]
-            if len(self.words) + len(fresh) > TABLE_WORDS:
-                self.words.clear()
-                self.odd.clear()
-                fresh = list(every)
+            fresh = self.words.fresh([words for _, words in cut[a:b]])
+            if len(self.odd) > _LEARN_WORDS:
+                self.odd = {w: x for w, x in self.odd.items() if w in self.words.of}
             self._learn(fresh)
+            get = self.words.of.__getitem__
             for i, words in cut[a:b]:
                 back = texts[i]
                 if self.odd and not self.odd.keys().isdisjoint(words):
                     # the first word's marker is the library's own and goes, as in decode()
                     back = "".join([self.odd.get(w, w) for w in words])[1:]
-                out[i] = (",".join([*map(self.words.__getitem__, words)]), back)
+                out[i] = (",".join([*map(get, words)]), back)
         return out
 
 
