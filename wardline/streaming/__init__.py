@@ -1,0 +1 @@
+"""Nothing here: the analytics have no stream operators, and none are made up."""
