@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,8 +54,29 @@ def crc_fold(id_col: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
+_SLICE = 2 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], most: int = _SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in views of about ``most`` bytes: what Python makes of a batch stays small."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            yield batch
+            continue
+        sizes = np.full(batch.num_rows, batch.nbytes / batch.num_rows)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        number = np.cumsum(sizes) // most
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(number)) + 1, [batch.num_rows]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """mapInArrow over small slices of the batches."""
+    return df.mapInArrow(lambda batches: fn(slices(batches)), schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -113,19 +135,21 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts in order, and offsets[i]: where text i's words begin.
 
-    A word's hash is a polynomial in an odd base modulo 2^64, taken from one prefix sum over the whole
-    buffer, then finalised; it depends on the word's bytes alone.
+    A word's hash is a polynomial in an odd base modulo 2^64, taken from one prefix sum over a buffer of
+    texts, then finalised; it depends on the word's bytes alone.
     """
     texts = list(texts)
-    buf = np.frombuffer(b"\n".join(texts), np.uint8)
-    starts, ends = word_spans(buf)
-    up, down = _POWERS.get(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    hashes = mix64((sums[ends] - sums[starts]) * down[starts])
-    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    bounds = np.concatenate(([0], np.cumsum(lengths)))
-    return hashes, np.searchsorted(starts, bounds)
+    hashes, counts = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    for a, b in pieces(texts, len, 1 << 20):
+        buf = np.frombuffer(b"\n".join(texts[a:b]), np.uint8)
+        starts, ends = word_spans(buf)
+        up, down = _POWERS.get(len(buf) + 1)
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        hashes.append(mix64((sums[ends] - sums[starts]) * down[starts]))
+        bounds = np.cumsum(np.fromiter((len(t) + 1 for t in texts[a:b]), np.int64, b - a))
+        counts.append(np.diff(np.searchsorted(starts, bounds), prepend=0))
+    return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
 
 class WordTable:

@@ -23,7 +23,7 @@ from .common import crc_fold, input_bytes, map_arrow, materialise, mix64, pieces
 ORDER = 2
 #: Weight of the lower order in Dirichlet smoothing.
 MU = 40.0
-_BLOCK, _RANGE_BYTES = 10 << 20, 6 << 20
+_BLOCK, _RANGE_BYTES = 8 << 20, 6 << 20
 _END = np.uint64(0x5851F42D4C957F2D)
 _LEVEL = np.uint64(7)
 _TURN = np.uint64(0xDA942042E4DD58B5)

@@ -17,7 +17,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 32 bands of 4: a pair at similarity 0.8 shares no band with probability 5e-8.
 BANDS, ROWS = 32, 4
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 _PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _U64 = np.uint64
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from .common import WordTable, map_arrow, pieces, texts_of
 
 MARK = "▁"
-TABLE_WORDS = 600_000
-_LEARN_WORDS = 100_000
+TABLE_WORDS = 250_000
+_LEARN_WORDS = 60_000
 _RUNS = re.compile(" *[^ ]+| +")
 _codecs: dict[str, "Codec"] = {}
 
