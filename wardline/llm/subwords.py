@@ -31,7 +31,7 @@ class Subwords:
     ``words_in_doc`` place words in texts.
     """
 
-    def __init__(self, texts: Sequence[bytes], buckets: int, low: int = 3, high: int = 6, virtual: int = 20):
+    def __init__(self, texts: Sequence[bytes], buckets: int, low: int = 2, high: int = 5, virtual: int = 80):
         self.buckets, self.low, self.high = buckets, low, high
         self.buf = np.frombuffer(b"".join(texts), np.uint8)
         self.space = self.buf == 32

@@ -18,7 +18,7 @@ from .subwords import Subwords, words_only
 #: Labelled rows that a model is fitted on, at most: clean ones, toxic ones.
 SAMPLE = (2_000, 1_000)
 THRESHOLD = 0.3
-_BUCKETS, _DIM, _EPOCHS, _RATE, _BATCH, _GAIN = 1 << 16, 4, 10, 0.08, 50, 30.0
+_BUCKETS, _DIM, _EPOCHS, _RATE, _BATCH, _GAIN = 1 << 16, 4, 10, 0.15, 50, 30.0
 
 
 @dataclass
