@@ -51,6 +51,7 @@ TV = "tv AS (SELECT id, party, votes, community_id, sum(votes) OVER (PARTITION B
 CELL = f"cell AS (SELECT s_suppkey AS id, s_suppkey % 10 AS gx, s_suppkey // 10 AS gy, s_nationkey AS community_id, s_acctbal AS bal, (s_suppkey % 10) * {SCALE}::BIGINT AS xmin, (s_suppkey // 10) * {SCALE}::BIGINT AS ymin, ((s_suppkey % 10) + 1) * {SCALE}::BIGINT AS xmax, ((s_suppkey // 10) + 1) * {SCALE}::BIGINT AS ymax FROM supplier)"
 MASK = "mask AS (SELECT n_nationkey AS mask_id, (n_nationkey % 5) * 655360 + 65536 AS xmin, (n_nationkey // 5) * 655360 + 65536 AS ymin, (n_nationkey % 5 + 1) * 655360 + 65536 AS xmax, (n_nationkey // 5 + 1) * 655360 + 65536 AS ymax FROM nation)"
 LAND = "land AS (SELECT * FROM cell WHERE bal >= 4000)"
+STRIP = "land AS (SELECT * REPLACE (gx // 4 AS community_id) FROM cell WHERE bal >= 4000)"
 EDGE = "edge AS (SELECT a.id AS src, b.id AS dst FROM land a JOIN land b ON (a.gy = b.gy AND abs(a.gx - b.gx) = 1) OR (a.gx = b.gx AND abs(a.gy - b.gy) = 1))"
 OVER = "ov AS (SELECT id, mask_id, (least(c.xmax, m.xmax) - greatest(c.xmin, m.xmin))::DOUBLE * (least(c.ymax, m.ymax) - greatest(c.ymin, m.ymin)) / (262144.0::DOUBLE * 262144) AS ratio FROM cell c JOIN mask m ON least(c.xmax, m.xmax) > greatest(c.xmin, m.xmin) AND least(c.ymax, m.ymax) > greatest(c.ymin, m.ymin))"
 
@@ -118,7 +119,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assignment(spark: SparkSession, d: str) -> DataFrame:
-    return land(spark, d).select(F.col("id").alias("node_id"), "community_id")
+    """Three vertical strips of the grid as communities."""
+    return land(spark, d).select(F.col("id").alias("node_id"), F.expr("id % 10 div 4").alias("community_id"))
 
 
 # ---- elections and populations ------------------------------------------------------------------------
@@ -477,19 +479,19 @@ def two_number_score(spark, d):
 # ---- graphs -------------------------------------------------------------------------------------------
 
 
-@_query(f"WITH {CELL}, {LAND}, {EDGE} SELECT DISTINCT src AS node_id, a.community_id, b.community_id AS other FROM edge JOIN land a ON a.id = src JOIN land b ON b.id = dst WHERE a.community_id <> b.community_id")
+@_query(f"WITH {CELL}, {STRIP}, {EDGE} SELECT DISTINCT src AS node_id, a.community_id, b.community_id AS other FROM edge JOIN land a ON a.id = src JOIN land b ON b.id = dst WHERE a.community_id <> b.community_id")
 def exchanges(spark, d):
     return graph.exchanges(edges(spark, d), assignment(spark, d))
 
 
-@_query(f"WITH {CELL}, {LAND}, {EDGE} SELECT src AS node_id, arg_max(b.community_id, dst) AS other FROM edge JOIN land a ON a.id = src JOIN land b ON b.id = dst WHERE a.community_id = 3 AND b.community_id <> 3 GROUP BY 1")
+@_query(f"WITH {CELL}, {STRIP}, {EDGE} SELECT src AS node_id, arg_max(b.community_id, dst) AS other FROM edge JOIN land a ON a.id = src JOIN land b ON b.id = dst WHERE a.community_id = 1 AND b.community_id <> 1 GROUP BY 1")
 def giveable(spark, d):
-    return graph.giveable(edges(spark, d), assignment(spark, d), 3)
+    return graph.giveable(edges(spark, d), assignment(spark, d), 1)
 
 
-@_query(f"WITH {CELL}, {LAND}, {EDGE} SELECT DISTINCT dst AS node_id, b.community_id AS owner FROM edge JOIN land a ON a.id = src JOIN land b ON b.id = dst WHERE a.community_id = 3 AND b.community_id <> 3")
+@_query(f"WITH {CELL}, {STRIP}, {EDGE} SELECT DISTINCT dst AS node_id, b.community_id AS owner FROM edge JOIN land a ON a.id = src JOIN land b ON b.id = dst WHERE a.community_id = 1 AND b.community_id <> 1")
 def takeable(spark, d):
-    return graph.takeable(edges(spark, d), assignment(spark, d), 3)
+    return graph.takeable(edges(spark, d), assignment(spark, d), 1)
 
 
 @_query(f"WITH {CELL}, {LAND}, {EDGE} SELECT src, dst FROM edge WHERE src % 3 <> 0 AND dst % 3 <> 0")

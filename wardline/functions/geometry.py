@@ -55,7 +55,7 @@ def squared_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 def line_equation(s: Column) -> Column:
     """[M5] Whole-number slope and intercept; null for vertical segments."""
     dx, dy = (s.x2 - s.x1).cast("bigint"), (s.y2 - s.y1).cast("bigint")
-    m = F.when(dx != 0, F.expr("1") * (dy / F.nullif(dx, F.lit(0).cast("bigint"))).cast("bigint"))
+    m = F.try_divide(dy, dx).cast("bigint")
     return F.when(dx != 0, F.struct(m.alias("m"), (s.y1.cast("bigint") - m * s.x1.cast("bigint")).alias("b")))
 
 
