@@ -50,9 +50,11 @@ class Plan:
         return len(seen) == len(nodes)
 
     def move(self, node: int, to: int) -> bool:
-        """[G15, G16, G17, G18] Give a node to another community, unless its own would vanish or fall apart."""
+        """[G15, G16, G17, G18] Give a node to a community next to it, unless its own would vanish or fall apart."""
         own = self.of[node]
-        if own == to or len(self.members[own]) < 2 or not self.connected(self.members[own] - {node}):
+        if own == to or len(self.members[own]) < 2 or self.state.near[node].isdisjoint(self.members[to]):
+            return False
+        if not self.connected(self.members[own] - {node}):
             return False
         self.members[own].discard(node)
         self.members[to].add(node)
