@@ -16,9 +16,11 @@ from .common import map_arrow, materialise
 
 #: Vectors that the trees' hyperplanes are fitted on, at most; every vector is indexed.
 SAMPLE = 20_000
-TREES, LEAF = 12, 48
-#: A query stops once it has met this many candidates, and a leaf of every tree on average.
-CANDIDATES = 4_000
+TREES, LEAF = 12, 400
+#: Recall that the search is tuned to on the sample, and how many of its vectors are asked for that.
+RECALL, _ASKED = 0.93, 100
+#: Rows met per row indexed, from which tuning chooses. Rows met in several trees count each time.
+_EFFORTS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 1.0, 1.3, 1.7, 2.5, 4.0)
 _BLOCK_ROWS = 4_096
 
 
@@ -96,6 +98,32 @@ def fit(x: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 11) ->
     return Forest(np.array(normals).reshape(-1, d), np.array(offsets), np.array(left, np.int64), np.array(right, np.int64), roots, leaves)
 
 
+def tune(forest: Forest, x: np.ndarray, k: int, recall: float = RECALL, seed: int = 5) -> float:
+    """Rows that a query has to meet per row indexed, for ``recall`` of its k nearest among the sample ``x``.
+
+    Structured data need few; without structure no tree helps much, and the answer says so. Among more rows
+    the same effort finds at least as much: nearest neighbours then are nearer.
+    """
+    leaf = forest.route(x)
+    sizes = np.bincount(leaf.ravel(), minlength=forest.leaves)
+    asked = np.random.default_rng(seed).permutation(len(x))[:_ASKED]
+    true, ranks = [], []
+    for i in asked:
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        true.append(np.argsort(d, kind="stable")[: min(k, len(x) - 1)])
+        # when each leaf is met
+        order = forest.search(x[i], sizes, int(sizes.sum()), 0)
+        when = np.full(forest.leaves, np.inf)
+        when[order] = np.cumsum(sizes[order]) - sizes[order]
+        ranks.append(when[leaf[true[-1]]].min(axis=1))
+    met = np.concatenate(ranks) if ranks else np.zeros(1)
+    for effort in _EFFORTS:
+        if (met < effort * len(x)).mean() >= recall:
+            return effort
+    return float(len(forest.roots))
+
+
 def usable(vector: Column) -> Column:
     """Not null, no null or non-finite component, not zero."""
     v = vector.cast("array<double>")
@@ -155,12 +183,13 @@ def _rank(rows: pa.Table, visits: pa.Table, k: int) -> pa.Table:
     return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, candidates: int = CANDIDATES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest among the candidates found, by exact distance.
 
     ``vectors``, ``queries``: (vec_id, embedding). The hyperplanes are fitted on at most ``sample`` vectors,
     the first in a hashed order of their ids; all vectors are indexed. A query walks all trees through one
-    priority queue of margins until the leaves it has met hold ``candidates`` vectors (all, if fewer).
+    priority queue of margins until the leaves it has met hold a share of all rows; that share is tuned to
+    ``recall`` by brute force within the sample.
     Leaves of any size are cut into blocks of some thousand rows. Ties go to the smaller vec_id; a query's own
     id is no candidate. Vectors that are null, zero, hold null or non-finite components or have another
     length than most take no part. Rows that repeat a vec_id count once per distinct vector, at its smallest distance.
@@ -173,12 +202,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = S
         return spark.createDataFrame([], out)
     vectors, queries = (x.where(F.size("vector") == lengths.n) for x in (vectors, queries))
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    forest = fit(_matrix(picked.column("vector").combine_chunks()), trees, leaf)
+    known = _matrix(picked.column("vector").combine_chunks())
+    forest = fit(known, trees, leaf)
+    effort = tune(forest, known, k, recall)
     tally = map_arrow(vectors, partial(_tally, forest=forest), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()  # leaves: bounded by the sample
     sizes = np.zeros(forest.leaves, np.int64)
     for r in tally:
         sizes[r.leaf] = r.n
     blocks = np.maximum(1, -(-sizes // _BLOCK_ROWS))
+    candidates = max(10 * k, int(effort * sizes.sum() / trees))
     kind = vectors.schema["vector"].dataType.simpleString()
     placed = map_arrow(vectors, partial(_place, forest=forest, blocks=blocks), f"leaf long, block long, vec_id long, vector {kind}")
     visits = map_arrow(queries, partial(_visit, forest=forest, sizes=sizes, blocks=blocks, candidates=candidates), f"leaf long, block long, query_id long, vector {kind}")

@@ -136,11 +136,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end: int = 2
 
     Returns the index: doc_id, shard, offset (ids before it in its shard), n_tokens (with the end id); the
     index is written once all shards are. Null texts count as empty, null ids come first, rows that repeat
-    an id follow each other by text. A shard holds one range of doc_ids and about 16 MB of input files.
+    an id follow each other by text. A shard holds one range of doc_ids: about 16 MB of input files, 256 MB of very large inputs.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(1, -(-input_bytes(docs) // _SHARD_BYTES))
-    rows = rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    size = input_bytes(docs)
+    # shards grow once there are thousands: a range exchange samples a few ids per shard on the driver
+    n = max(1, min(-(-size // _SHARD_BYTES), 4096 + size // (16 * _SHARD_BYTES)))
+    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     fn = partial(_write, folder=folder, path=tokenizer_path, end=end, length=length)
     return materialise(map_arrow(rows, fn, "doc_id long, shard long, offset long, n_tokens long"), "token-index")
 
