@@ -7,9 +7,8 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import map_arrow, materialise, mix64, pieces, texts_of, word_hashes
 
@@ -62,7 +61,7 @@ def bag_signatures(doc: np.ndarray, item: np.ndarray, count: np.ndarray, docs: i
     seed, d, weight = mix64(item[owner] + rung.astype(_U64) * _PLACE[2]), doc[owner], count[owner]
     x, step = np.zeros(len(owner)), 0
     while len(owner):
-        r = mix64(seed + _U64(2 * step + 1) * _PLACE[3])
+        r = mix64(seed + _U64((2 * step + 1) * int(_PLACE[3]) & (1 << 64) - 1))
         s = mix64(r ^ _PLACE[4])
         x = x - np.log((((r >> _U64(11)).astype(np.float64)) + 0.5) * 2.0**-53) / width
         # the low bits choose component and level; the high ones of r gave the waiting time
@@ -131,29 +130,57 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id of each id's connected component, for ids that edges (a, b) name.
 
-    Large-star and small-star turns until nothing changes; every turn is written to the shared folder.
+    Large-star and small-star turns until all that is left are stars; every turn is written to the shared folder.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     links = materialise(edges.select(low.alias("a"), high.alias("b")).where("a < b").distinct(), "links")
-    before = None
     while True:
+        ends = links.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
+        odd = ends.groupBy("id").agg(F.max("up").alias("up"), F.sum("down").alias("down")).where("down > 1 or (up = 1 and down = 1)")
+        if odd.isEmpty():
+            break
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         # large star: each id's larger neighbours hang on its smallest neighbour
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
-        large = materialise(large, "large")
+        large = materialise(both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct(), "large")
         # small star: each id and its smaller neighbours hang on the smallest of them
         least = materialise(large.groupBy("b").agg(F.min("a").alias("m")), "least")
         joined = large.join(least, "b")
         small = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).union(joined.select(F.col("m").alias("a"), "b"))
         links = materialise(small.where("a < b").distinct(), "links")
-        mark = links.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if mark == before:
-            break
-        before = mark
     return links.select(F.col("b").alias("id"), F.col("a").alias("label")).union(links.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per item of each bag."""
+    for batch in batches:
+        items = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        n = [len(x) for x in items]
+        for a, b in pieces(n, int, 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(items[a:b])), batch.column(0)[a:b].take(pa.array(np.repeat(np.arange(b - a), n[a:b])))], ["element", "id"])
+
+
+def _possible(rows: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair of rows (id, l, minor), a minor, of different l whose bags can reach ``similarity``.
+
+    Exact: bags of na and nb items at that similarity share o = s / (1 + s) (na + nb) items at least, so of
+    any na - o + 1 items of a, b holds one. Those are taken from a's rarest: the k-th rarest (from 0) has
+    to be looked up only for partners of (na - k) (1 + s) / s - na items at most.
+    """
+    known = bags.join(rows, "id")
+    size = materialise(known.select("id", "l", "minor", (F.length("bag") / 8).cast("long").alias("n")), "bag-facts")
+    items = materialise(map_arrow(known.select("id", "bag"), _elements, "element long, id long"), "elements")
+    count = items.groupBy("element").agg(F.count(F.lit(1)).alias("f"))
+    own = items.join(size.where("minor").select("id", F.col("l").alias("la"), F.col("n").alias("na")), "id").join(count, "element")
+    k = F.row_number().over(Window.partitionBy("id").orderBy("f", "element")) - 1
+    rare = own.withColumn("k", k).where((F.col("f") > 1) & (F.col("k") <= (1 - similarity) * F.col("na") + 1e-6))
+    most = (F.col("na") - F.col("k")) * ((1 + similarity) / similarity) - F.col("na") + 1e-6
+    rare = materialise(rare.select("element", F.col("id").alias("a"), "la", "na", most.alias("most")), "rare")
+    held = materialise(items.join(size.select("id", "l", "n"), "id"), "postings")
+    may = (F.col("la") != F.col("l")) & (F.col("n") <= F.col("most")) & (F.col("n") >= similarity * F.col("na") - 1e-6)
+    return rare.join(held, "element").where(may).select("a", F.col("id").alias("b"))
+
+
 class _Verifier:
     """Exact multiset overlap of candidate pairs; remembers the links found."""
 
@@ -161,7 +188,7 @@ class _Verifier:
         self.bags, self.similarity, self.links, self.tried = bags, similarity, None, None
 
     def try_pairs(self, pairs: DataFrame) -> None:
-        pairs = pairs.select("a", "b").distinct()
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
@@ -192,35 +219,38 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     without words are copies of each other and link to nothing else; null counts as empty. Rows that share
     a doc_id count as one document; a null doc_id stands for one document too, and comes first.
 
-    Same texts collapse before anything else. In each band bucket texts are tried against the bucket's
-    smallest id first (a star, linear in the bucket); only texts of a bucket that are still in different
-    components after that are tried against each other, so a bucket of mutual copies never yields all its
-    pairs, and no link between components is lost.
+    Same texts collapse before anything else. A band bucket's texts are first tried against its head, the one
+    that shares most buckets with others (of a base and its variants, the base): a star, linear in the
+    bucket. Texts of buckets that still hold different components are then tried against those texts that
+    share one of their rarest shingles, which no pair similar enough can avoid. No link between components
+    is lost, and a group of mutual copies never yields all its pairs.
     """
     none = -(2**63)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"), "text")
     signed = materialise(map_arrow(docs, partial(_sign, bands=bands, rows=rows), "doc_id long, d1 long, d2 long, keys array<long>"), "signed")
     reps = materialise(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "reps")
     own = signed.join(reps, ["d1", "d2"]).where("doc_id = id").select("id", F.explode("keys").alias("key"))
-    bucket = materialise(own.distinct(), "buckets")
-    heads = materialise(bucket.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a"), "heads")
-    bucket = materialise(bucket.join(heads, "key").select("key", F.col("id").alias("b"), "a"), "shared")
-    star = materialise(bucket.where("a < b").select("a", "b").distinct(), "star")
+    bucket = materialise(own, "buckets")
+    sizes = materialise(bucket.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    bucket = materialise(bucket.join(sizes, "key"), "shared")
+    weight = materialise(bucket.groupBy("id").agg(F.sum(F.col("n") - 1).alias("w")), "weights")
+    heads = bucket.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("a"))).alias("h"))
+    heads = materialise(heads.select("key", (-F.col("h.a")).alias("a"), "h.w"), "heads")
+    star = materialise(bucket.join(heads, "key").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("w").alias("w")), "star")
 
-    wanted = materialise(bucket.select(F.col("b").alias("doc_id")).distinct(), "wanted")
     # rows sharing a doc_id: the least text stands for them
-    texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = docs.join(weight.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     check = _Verifier(materialise(map_arrow(texts, _bags, "id long, bag binary"), "bags"), similarity)
-    # 1: each text against the smallest head it has; 2: against heads outside its component
-    check.try_pairs(star.groupBy("b").agg(F.min("a").alias("a")))
-    check.try_pairs(_apart(star, check.labels()))
+    # 1: each text against its heaviest head; 2: against its other heads, unless it hangs on the same text already
+    check.try_pairs(star.groupBy("b").agg(F.max(F.struct("w", (-F.col("a")).alias("a"))).alias("h")).select((-F.col("h.a")).alias("a"), "b"))
+    check.try_pairs(_apart(star, check.links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))))
     # 3: what shares a bucket and is still apart
     labels = check.labels()
-    inside = bucket.join(labels, F.col("b") == F.col("id"), "left").select("key", "b", F.coalesce("label", "b").alias("l"))
-    split = inside.groupBy("key").agg(F.min("l").alias("low"), F.max("l").alias("high")).where("low < high").select("key")
-    inside = materialise(inside.join(split, "key", "left_semi"), "inside")
-    one = inside.select("key", F.col("b").alias("a"), F.col("l").alias("la"))
-    check.try_pairs(one.join(inside, "key").where("a < b and la <> l").select("a", "b"))
+    inside = bucket.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("l"))
+    most = inside.groupBy("key", "l").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "l")).alias("top"), F.count(F.lit(1)).alias("k"))
+    inside = inside.join(most.where("k > 1").select("key", F.col("top.l").alias("main")), "key")
+    open_ = materialise(inside.groupBy("id").agg(F.min("l").alias("l"), F.max(F.col("l") != F.col("main")).alias("minor")), "open")
+    check.try_pairs(_possible(open_, check.bags, similarity))
 
     labels, links = check.labels(), check.links
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
