@@ -8,6 +8,7 @@ automaton that its texts can reach, and traverses it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -23,7 +24,7 @@ from .common import crc_fold, input_bytes, map_arrow, materialise, mix64, pieces
 ORDER = 2
 #: Weight of the lower order in Dirichlet smoothing.
 MU = 40.0
-_BLOCK, _RANGE_BYTES = 8 << 20, 6 << 20
+_BLOCK, _RANGE_BYTES = 4 << 20, 6 << 20
 _END = np.uint64(0x5851F42D4C957F2D)
 _LEVEL = np.uint64(7)
 _TURN = np.uint64(0xDA942042E4DD58B5)
@@ -93,27 +94,18 @@ def _block_texts(payload: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(payload).read_next_batch()
 
 
-def _count(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> Iterator[pa.RecordBatch]:
-    task, number = TaskContext.get(), 0
-    held, size = [], 0
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Consecutive documents in blocks of some megabytes. A name tells where a block is from and what it holds."""
+    place, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-    def close() -> pa.RecordBatch:
+    def close() -> tuple[str, pa.RecordBatch]:
         nonlocal number, held, size
-        rows = pa.concat_batches(held)
-        block = Block(rows.column(1).to_pylist(), order)
-        counts = block.counts(rows.column(2).to_numpy(zero_copy_only=False))
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
-            out.write_batch(rows)
-        name = f"{task.partitionId()}-{number}"
+        rows, crc = pa.concat_batches(held), 0
+        for i, t in zip(rows.column(0).to_pylist(), rows.column(1)):
+            crc = zlib.crc32(t.as_buffer(), zlib.crc32(str(i).encode(), crc))
+        name = f"{place}-{number}-{crc:08x}"
         number, held, size = number + 1, [], 0
-        cut = _cuts(block.keys, parts)
-        full = [i for i in range(parts) if cut[i] < cut[i + 1]]
-        packed = [_pack(np.diff(block.keys[cut[i] : cut[i + 1]], prepend=np.uint64(0))) for i in full]
-        seen = [_pack(counts[cut[i] : cut[i + 1]]) for i in full]
-        both = [len(a).to_bytes(4, "little") + a + b for a, b in zip(packed, seen)]
-        return _row([name] * (len(full) + 1), [-1, *full], [sink.getvalue().to_pybytes(), *both])
+        return name, rows
 
     for batch in batches:
         texts = [t.encode() for t in texts_of(batch)]
@@ -128,6 +120,28 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> Iterato
         yield close()
 
 
+def _count(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Each block's n-grams and training counts, by range."""
+    for name, rows in _blocks(batches):
+        block = Block(rows.column(1).to_pylist(), order)
+        counts = block.counts(rows.column(2).to_numpy(zero_copy_only=False))
+        cut = _cuts(block.keys, parts)
+        full = [i for i in range(parts) if cut[i] < cut[i + 1]]
+        packed = [_pack(np.diff(block.keys[cut[i] : cut[i + 1]], prepend=np.uint64(0))) for i in full]
+        seen = [_pack(counts[cut[i] : cut[i + 1]]) for i in full]
+        yield _row([name] * len(full), full, [len(a).to_bytes(4, "little") + a + b for a, b in zip(packed, seen)])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same blocks' documents, compressed, as part -1."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for name, rows in _blocks(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+            out.write_batch(rows)
+        yield _row([name], [-1], [sink.getvalue().to_pybytes()])
+
+
 def _total(rows: pa.Table) -> pa.Table:
     """One range of n-grams: add up all blocks' counts and answer each block in its own order."""
     names, keys, counts = rows.column("block").to_pylist(), [], []
@@ -208,9 +222,11 @@ class Automaton:
 def _score(rows: pa.Table, order: int, n: int, v: int, mu: float) -> pa.Table:
     parts = [*zip(rows.column("part").to_pylist(), rows.column("payload").to_pylist())]
     parts.sort()
-    docs = _block_texts(parts.pop(0)[1])
-    block = Block(docs.column(1).to_pylist(), order)
-    totals = np.concatenate([_unpack(x, np.uint64) for _, x in parts]).astype(np.float64)
+    docs = _block_texts(parts.pop(0)[1]) if parts[0][0] < 0 else None
+    block = Block(docs.column(1).to_pylist(), order) if docs else None
+    totals = np.concatenate([np.empty(0), *(_unpack(x, np.uint64) for _, x in parts)])
+    if block is None or len(totals) != len(block.keys):
+        raise RuntimeError("rows came in another order the second time; write the input out first")
     auto = Automaton(block, totals, n, v, mu)
     cut = block.starts
     base = np.add.reduceat(auto.unigram.astype(np.longdouble), cut).astype(np.float64)
@@ -226,6 +242,8 @@ def _score(rows: pa.Table, order: int, n: int, v: int, mu: float) -> pa.Table:
 def lm_scores(docs: DataFrame, order: int = ORDER, mu: float = MU, folds: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row and whole text.
 
+    ``docs`` is read twice and must then come in the same order, as a scan does; otherwise this raises.
+
     Learns from rows whose crc32(doc_id as text) mod ``folds`` is not ``held_out`` (null ids: the empty
     text). Tokens: words between ASCII white space, A-Z lower-cased, then one end per text. base_score is
     the add-one unigram log10 probability, score that of the smoothed n-gram model of ``order``; with
@@ -234,11 +252,10 @@ def lm_scores(docs: DataFrame, order: int = ORDER, mu: float = MU, folds: int =
     """
     parts = max(8, min(1 << 15, input_bytes(docs) // _RANGE_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_fold(F.col("doc_id"), folds) != held_out).alias("learn"))
-    counted = materialise(map_arrow(rows, partial(_count, order=order, parts=parts), _ROWS), "ngrams")
-    totals = counted.where("part >= 0").groupBy("part").applyInArrow(_total, _ROWS)
-    totals = materialise(totals, "totals")
+    counted = map_arrow(rows, partial(_count, order=order, parts=parts), _ROWS)
+    totals = materialise(counted.groupBy("part").applyInArrow(_total, _ROWS), "totals")
     sums = totals.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     n, v = int(sums.n or 0), int(sums.v or 0)
-    both = counted.where("part < 0").unionByName(totals)
+    both = map_arrow(rows, _texts, _ROWS).unionByName(totals)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return both.groupBy("block").applyInArrow(lambda rows: _score(rows, order, n, v, mu), out)
