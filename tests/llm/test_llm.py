@@ -293,7 +293,7 @@ def test_license_places_against_brute_force(spark):
         words, places = brute_scan(t or "")
         (r,) = got[i]
         assert r.n_words == len(words) and sorted((p.start, p.label) for p in r.places) == places
-    assert [(s.start, s.end, s.label) for s in got[len(texts) - 1][0].spans] == [(0, 11, "gpl-notice")]
+    assert [(s.start, s.end, s.label) for s in got[len(texts) - 1][0].spans] == [(0, 12, "gpl-notice")]
 
 
 def test_template_markup():

@@ -45,8 +45,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a scan (file sizes); needs no job and works for every store."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of a scan (file sizes); needs no job and works for every store.
+
+    Where there is no estimate: 16 MB for each shuffle partition that the session asks for.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) << 24
 
 
 def crc_fold(id_col: Column, folds: int) -> Column:

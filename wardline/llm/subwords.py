@@ -47,12 +47,12 @@ class Subwords:
     def each(self):
         b, n = self.buf.astype(np.uint32), len(self.buf)
         h = b + np.uint32(1)
-        clear = np.ones(n, bool)  # no space strictly inside
+        clear = ~(self.space[:-1] & self.space[1:])  # a letter in it, no space strictly inside
         for size in range(2, self.high + 1):
             if n < size:
                 return
             if size > 2:
-                clear = clear[: n - size + 1] & ~self.space[size - 2 : n - 1]
+                clear = clear[: n - size + 1] & ~self.space[1 : n - size + 2] & ~self.space[size - 2 : n - 1]
             h = h[: n - size + 1] * np.uint32(0x01000193) + b[size - 1 :] + np.uint32(1)
             if size >= self.low:
                 at = np.flatnonzero(clear[: n - size + 1])
