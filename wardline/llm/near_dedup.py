@@ -163,22 +163,22 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _possible(rows: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """(a, b): every pair of rows (id, l, minor), a minor, of different l whose bags can reach ``similarity``.
 
-    Exact: bags of na and nb items at that similarity share o = s / (1 + s) (na + nb) items at least, so of
-    any na - o + 1 items of a, b holds one. Those are taken from a's rarest: the k-th rarest (from 0) has
-    to be looked up only for partners of (na - k) (1 + s) / s - na items at most.
+    Exact: bags of na and nb items at that similarity share o = s / (1 + s) (na + nb) items at least. With all
+    bags in one order, rarest items first, let their first common item be a's k-th and b's j-th (from 0): they
+    share na - k and nb - j items at most, so b has (na - k) (1 + s) / s - na items at most, and likewise a.
     """
     known = bags.join(rows, "id")
     size = materialise(known.select("id", "l", "minor", (F.length("bag") / 8).cast("long").alias("n")), "bag-facts")
     items = materialise(map_arrow(known.select("id", "bag"), _elements, "element long, id long"), "elements")
     count = items.groupBy("element").agg(F.count(F.lit(1)).alias("f"))
-    own = items.join(size.where("minor").select("id", F.col("l").alias("la"), F.col("n").alias("na")), "id").join(count, "element")
     k = F.row_number().over(Window.partitionBy("id").orderBy("f", "element")) - 1
-    rare = own.withColumn("k", k).where((F.col("f") > 1) & (F.col("k") <= (1 - similarity) * F.col("na") + 1e-6))
-    most = (F.col("na") - F.col("k")) * ((1 + similarity) / similarity) - F.col("na") + 1e-6
-    rare = materialise(rare.select("element", F.col("id").alias("a"), "la", "na", most.alias("most")), "rare")
-    held = materialise(items.join(size.select("id", "l", "n"), "id"), "postings")
-    may = (F.col("la") != F.col("l")) & (F.col("n") <= F.col("most")) & (F.col("n") >= similarity * F.col("na") - 1e-6)
-    return rare.join(held, "element").where(may).select("a", F.col("id").alias("b"))
+    ranked = items.join(count, "element").join(size, "id").withColumn("k", k)
+    ranked = ranked.where((F.col("f") > 1) & (F.col("k") <= (1 - similarity) * F.col("n") + 1e-6))
+    most = (F.col("n") - F.col("k")) * ((1 + similarity) / similarity) - F.col("n") + 1e-6
+    rare = materialise(ranked.select("element", "id", "l", "minor", "n", most.alias("most")), "rare")
+    own = rare.where("minor").select("element", F.col("id").alias("a"), F.col("l").alias("la"), F.col("n").alias("na"), F.col("most").alias("most_a"))
+    may = (F.col("la") != F.col("l")) & (F.col("n") <= F.col("most_a")) & (F.col("na") <= F.col("most"))
+    return own.join(rare, "element").where(may).select("a", F.col("id").alias("b"))
 
 
 class _Verifier:
