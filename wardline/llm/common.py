@@ -53,6 +53,14 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) << 24
 
 
+def own_prefix(columns: Iterable[str]) -> str:
+    """A prefix that no column's name begins with, for helper columns beside them."""
+    names, out = [c.lower() for c in columns], "__"
+    while any(c.startswith(out) for c in names):
+        out += "_"
+    return out
+
+
 def crc_fold(id_col: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)

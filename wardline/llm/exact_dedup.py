@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import materialise, own_prefix, shared_dir
 
 
 def normalised(text: Column) -> Column:
@@ -81,10 +81,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 def keep_unique(docs: DataFrame) -> DataFrame:
     """The documents that exact dedup keeps, with all their columns."""
-    columns = docs.columns
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
-    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").select(key, F.col("text_sha256").alias("__sha")).distinct()
-    rows = docs.select("*", key, digest(F.col("text")).alias("__sha")).join(kept, ["__key", "__sha"], "left_semi")
+    columns, own = docs.columns, own_prefix(docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(f"{own}key")
+    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").select(key, F.col("text_sha256").alias(f"{own}sha")).distinct()
+    rows = docs.select("*", key, digest(F.col("text")).alias(f"{own}sha")).join(kept, [f"{own}key", f"{own}sha"], "left_semi")
     # rows that repeat an id and its text lie together already: this adds no exchange
-    first = F.row_number().over(Window.partitionBy("__key", "__sha").orderBy("__sha"))
-    return rows.withColumn("__copy", first).where("__copy = 1").select(*[F.col(f"`{c}`") for c in columns])
+    first = F.row_number().over(Window.partitionBy(f"{own}key", f"{own}sha").orderBy(f"{own}sha"))
+    return rows.withColumn(f"{own}copy", first).where(f"{own}copy = 1").select(*[F.col(f"`{c}`") for c in columns])

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, own_prefix
 
 #: Patterns whose totals are gathered on the driver, at most; more raise an error rather than being cut.
 MAX_PATTERNS = 20_000
@@ -177,9 +177,9 @@ def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
 
     Rows that share a doc_id are one document of several rows; each row follows its own size's choice.
     """
-    columns = docs.columns
-    chosen = mix_by_source(docs, seed).where("reps > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("reps").alias("__reps")).distinct()
-    rows = docs.withColumn("__n", word_count(F.col("text")))
-    both = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    both = both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__reps"))))
+    columns, own = docs.columns, own_prefix(docs.columns)
+    chosen = mix_by_source(docs, seed).where("reps > 0").select(F.col("doc_id").alias(f"{own}id"), F.col("size").alias(f"{own}size"), F.col("reps").alias(f"{own}reps")).distinct()
+    rows = docs.withColumn(f"{own}n", word_count(F.col("text")))
+    both = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col(f"{own}id")) & (F.col(f"{own}n") == F.col(f"{own}size")))
+    both = both.withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{own}reps"))))
     return both.select(*[F.col(f"`{c}`") for c in columns])

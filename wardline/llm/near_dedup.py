@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, mix64, pieces, texts_of, word_hashes
+from .common import map_arrow, materialise, mix64, own_prefix, pieces, texts_of, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -262,8 +262,8 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """The documents that near-dedup keeps, with all their columns: the smallest doc_id of each class."""
-    columns = docs.columns
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
+    columns, own = docs.columns, own_prefix(docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(f"{own}key")
     kept = near_dedup(docs.select("doc_id", "text")).where("kept").select(key).distinct()
-    rows = docs.select("*", key).join(kept, "__key", "left_semi")
+    rows = docs.select("*", key).join(kept, f"{own}key", "left_semi")
     return rows.select(*[F.col(f"`{c}`") for c in columns])

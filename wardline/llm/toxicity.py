@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, map_arrow, pieces, texts_of
+from .common import crc_fold, map_arrow, own_prefix, pieces, texts_of
 from .subwords import Subwords, words_only
 
 #: Labelled rows that a model is fitted on, at most: clean ones, toxic ones.
@@ -97,21 +97,21 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
     return fit([r.text for r in rows], [r.toxic for r in rows], totals.get(1, 0) / max(1, sum(totals.values())))
 
 
-def _score(batches: Iterator[pa.RecordBatch], table: np.ndarray, offset: float) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], table: np.ndarray, offset: float, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [words_only(t) for t in texts_of(batch)]
         out = np.zeros(len(texts))
         for a, b in pieces(texts, len, 1 << 20):
             out[a:b] = Subwords(texts[a:b], len(table)).text_means(table)
         score = 1 / (1 + np.exp(-np.clip(out + offset, -500, 500)))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "__score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, name])
 
 
 def with_score(docs: DataFrame, model: SubwordModel, name: str = "score") -> DataFrame:
     """All columns of ``docs`` and the text's score, 0 to 1. Reads nothing but ``text``; adds no exchange."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    out = map_arrow(docs, partial(_score, table=model.table(), offset=model.offset()), schema)
-    return out.withColumnRenamed("__score", name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    out = map_arrow(docs, partial(_score, table=model.table(), offset=model.offset(), name=name), schema)
+    return out
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -127,5 +127,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not predicted toxic, with all their columns."""
-    model = fit_on(docs, labels)
-    return with_score(docs, model, "__toxicity").where(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
+    model, name = fit_on(docs, labels), own_prefix(docs.columns) + "toxicity"
+    return with_score(docs, model, name).where(F.col(name) < THRESHOLD).drop(name)
