@@ -137,6 +137,21 @@ def test_near_dedup_against_all_pairs(spark):
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == set(got.values())
 
 
+def test_near_dedup_tells_rows_of_one_id_apart_by_their_texts(spark):
+    rng = random.Random(12)
+    a, b, c = (random_text(rng, 80) for _ in range(3))
+    near = lambda t: " ".join(t.split()[:-1] + ["zig"])
+    rows = [(None, ""), (None, a), (None, near(a)), (None, b), (7, ""), (7, c), (7, near(b)), (8, near(c)), (9, " ")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "x", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = near_dedup.near_dedup(df).collect()
+    want = [(None, None, 0), (None, None, 1), (None, None, 1), (None, None, 1), (7, None, 0), (7, 7, 1), (7, None, 1), (8, 7, 1), (9, None, 0)]
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter(want)
+    # one row of each of the four classes
+    assert Counter(r.doc_id for r in got if r.kept) == Counter({None: 3, 7: 1})
+    kept = [(r.doc_id, r.text) for r in near_dedup.keep_representatives(df).collect()]
+    assert len(kept) == 4 and {(None, ""), (None, b), (7, c)} <= set(kept) and len(set(kept) & {(None, a), (None, near(a))}) == 1
+
+
 def test_bag_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     items = rng.integers(0, 2**63, 300).astype(np.uint64)

@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise, mix64, own_prefix, pieces, texts_of, word_hashes
@@ -87,7 +87,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), [t.encode() for t in texts_of(batch)]
+        ids, t1, t2, texts = batch.column(0), batch.column(2), batch.column(3), [t.encode() for t in texts_of(batch)]
         for a, b in pieces(texts, len, _CHUNK):
             words, at = word_hashes(texts[a:b])
             bags, digests = [], []
@@ -99,7 +99,8 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
             sig = bag_signatures(np.repeat(np.arange(b - a), n), np.concatenate([u for u, _ in bags]), np.concatenate([c for _, c in bags]).astype(np.int64), b - a, bands * rows)
             keys = band_keys(sig, bands, rows)
             lists = [k if m else None for k, m in zip(keys, n)]  # without words: no keys, no links
-            yield pa.RecordBatch.from_arrays([ids[a:b], pa.array([x for x, _ in digests], pa.int64()), pa.array([y for _, y in digests], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "keys"])
+            d1, d2 = (pa.array([x[j] for x in digests], pa.int64()) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([ids[a:b], t1[a:b], t2[a:b], d1, d2, pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "d1", "d2", "keys"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,14 +211,21 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
+def _text_marks() -> list[Column]:
+    """128 bits of the text as it is written, which the rows of one word sequence may differ in."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest doc_id of its class), n_links, kept.
 
     Classes are the connected components of links: same word sequence, or multiset Jaccard of five-word
     shingles of at least ``similarity`` (texts of fewer words have one shingle: all their words). n_links:
     verified links of the row's text to other texts, at least those that hold its class together. Texts
-    without words are copies of each other and link to nothing else; null counts as empty. Rows that share
-    a doc_id count as one document; a null doc_id stands for one document too, and comes first.
+    without words are copies of each other and link to nothing else; null counts as empty. Rows are told
+    apart by their texts, also where they share a doc_id or have none; a null doc_id comes first. Of each
+    class one text of one doc_id is kept; rows that repeat both are one document.
 
     Same texts collapse before anything else. A band bucket's texts are first tried against its head, the one
     that shares most buckets with others (of a base and its variants, the base): a star, linear in the
@@ -225,11 +233,21 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     share one of their rarest shingles, which no pair similar enough can avoid. No link between components
     is lost, and a group of mutual copies never yields all its pairs.
     """
+    return _classes(docs, similarity, bands, rows).select("doc_id", "class_id", "n_links", "kept")
+
+
+def _classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """near_dedup with the marks of each row's text, t1 and t2."""
     none = -(2**63)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"), "text")
-    signed = materialise(map_arrow(docs, partial(_sign, bands=bands, rows=rows), "doc_id long, d1 long, d2 long, keys array<long>"), "signed")
-    reps = materialise(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "reps")
-    own = signed.join(reps, ["d1", "d2"]).where("doc_id = id").select("id", F.explode("keys").alias("key"))
+    t1, t2 = _text_marks()
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"), "text", t1.alias("t1"), t2.alias("t2"))
+    signed = materialise(map_arrow(docs, partial(_sign, bands=bands, rows=rows), "doc_id long, t1 long, t2 long, d1 long, d2 long, keys array<long>"), "signed")
+    # ids of distinct word sequences, in the order of their smallest doc_ids
+    reps = signed.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("m")).select(F.col("m.doc_id").alias("doc"), "d1", "d2", "m.t1", "m.t2")
+    reps = reps.repartitionByRange("doc", "d1", "d2").sortWithinPartitions("doc", "d1", "d2")
+    reps = materialise(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
+    keys = signed.where(F.col("keys").isNotNull()).groupBy("d1", "d2").agg(F.first("keys").alias("keys"))
+    own = keys.join(reps, ["d1", "d2"]).select("id", F.explode("keys").alias("key"))
     bucket = materialise(own, "buckets")
     sizes = materialise(bucket.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     bucket = materialise(bucket.join(sizes, "key"), "shared")
@@ -238,8 +256,8 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     heads = materialise(heads.select("key", (-F.col("h.a")).alias("a"), "h.w"), "heads")
     star = materialise(bucket.join(heads, "key").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("w").alias("w")), "star")
 
-    # rows sharing a doc_id: the least text stands for them
-    texts = docs.join(weight.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    wanted = reps.join(weight, "id").select("id", F.col("doc").alias("doc_id"), "t1", "t2")
+    texts = docs.join(wanted, ["doc_id", "t1", "t2"]).groupBy("id").agg(F.min("text").alias("text"))
     check = _Verifier(materialise(map_arrow(texts, _bags, "id long, bag binary"), "bags"), similarity)
     # 1: each text against its heaviest head; 2: against its other heads, unless it hangs on the same text already
     check.try_pairs(star.groupBy("b").agg(F.max(F.struct("w", (-F.col("a")).alias("a"))).alias("h")).select((-F.col("h.a")).alias("a"), "b"))
@@ -254,16 +272,22 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
 
     labels, links = check.labels(), check.links
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    named = reps.join(labels, "id", "left").join(degree, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = signed.select("doc_id", "d1", "d2").join(materialise(named, "named").hint("merge"), ["d1", "d2"])
+    named = reps.join(labels, "id", "left").join(degree, "id", "left").withColumn("first", F.coalesce("label", "id"))
+    named = named.join(reps.select(F.col("id").alias("first"), F.col("doc").alias("class_id")), "first")
+    # the row that a class keeps: of its first text, as its smallest doc_id writes it
+    head = F.when(F.col("first") == F.col("id"), F.struct("t1", "t2")).alias("head")
+    named = named.select("d1", "d2", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), head)
+    out = signed.drop("keys").join(materialise(named, "named").hint("merge"), ["d1", "d2"])
+    kept = (F.col("doc_id") == F.col("class_id")) & F.struct("t1", "t2").eqNullSafe(F.col("head"))
     real = lambda c: F.when(F.col(c) != none, F.col(c)).alias(c)
-    return out.select(real("doc_id"), real("class_id"), "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return out.select(real("doc_id"), real("class_id"), "n_links", kept.alias("kept"), "t1", "t2")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """The documents that near-dedup keeps, with all their columns: the smallest doc_id of each class."""
     columns, own = docs.columns, own_prefix(docs.columns)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(f"{own}key")
-    kept = near_dedup(docs.select("doc_id", "text")).where("kept").select(key).distinct()
-    rows = docs.select("*", key).join(kept, f"{own}key", "left_semi")
+    names = [f"{own}{c}" for c in ("key", "t1", "t2")]
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    kept = _classes(docs.select("doc_id", "text")).where("kept").select(key.alias(names[0]), F.col("t1").alias(names[1]), F.col("t2").alias(names[2])).distinct()
+    rows = docs.select("*", *[c.alias(n) for c, n in zip((key, *_text_marks()), names)]).join(kept, names, "left_semi")
     return rows.select(*[F.col(f"`{c}`") for c in columns])
