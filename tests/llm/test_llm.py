@@ -342,6 +342,23 @@ def test_nearest_against_brute_force(spark):
     assert ann_forest.nearest(df.where("vec_id >= 5000"), df.where("vec_id = 5001")).count() in (0,)
 
 
+def test_nearest_with_repeated_ids(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 8)).astype(np.float32)
+    rows = [(i, v) for i, v in enumerate(x)] * 2  # each row twice
+    rows += [(1, x[0] + np.float32(0.001 * j)) for j in range(1, 40)] + [(2, x[3])] * 40  # hot ids: other vectors, the same vector
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<float>")
+    got = by(ann_forest.nearest(df, df.where("vec_id in (0, 3, 50)").distinct()).collect(), "query_id")
+    for q in (0, 3, 50):
+        d = {}
+        for i, v in rows:
+            if i != q:
+                d[i] = min(d.get(i, np.inf), float(np.sqrt(((v.astype(float) - x[q].astype(float)) ** 2).sum())))
+        want = sorted(d, key=lambda i: (d[i], i))[:10]
+        assert [r.vec_id for r in sorted(got[q], key=lambda r: r.rank)] == want, q
+        assert all(r.score == pytest.approx(d[r.vec_id], abs=1e-12) for r in got[q])
+
+
 def test_toxicity_learns_and_ignores_held_out(spark):
     rng = random.Random(8)
     rows, labels = [], []

@@ -137,12 +137,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _tally(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(forest.leaves, np.int64)
+    """Rows by leaf and vec_id."""
     for batch in batches:
         if batch.num_rows:
-            np.add.at(total, forest.route(_matrix(batch.column(1))).ravel(), 1)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["leaf", "n"])
+            leaf = forest.route(_matrix(batch.column(1)))
+            ids = np.repeat(batch.column(0).to_numpy(), leaf.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel(), pa.int64()), pa.array(ids)], ["leaf", "vec_id"])
 
 
 def _place(batches: Iterator[pa.RecordBatch], forest: Forest, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -151,9 +151,9 @@ def _place(batches: Iterator[pa.RecordBatch], forest: Forest, blocks: np.ndarray
             part = batch.slice(at, 2048)
             leaf = forest.route(_matrix(part.column(1)))
             rows = np.repeat(np.arange(len(leaf)), leaf.shape[1])
-            ids = part.column(0).to_numpy()[rows]
+            ids, spread = (part.column(c).to_numpy()[rows] for c in (0, 2))
             leaf = leaf.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(ids % blocks[leaf]), pa.array(ids), part.column(1).take(pa.array(rows))], ["leaf", "block", "vec_id", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(spread % blocks[leaf]), pa.array(ids), part.column(1).take(pa.array(rows))], ["leaf", "block", "vec_id", "vector"])
 
 
 def _visit(batches: Iterator[pa.RecordBatch], forest: Forest, sizes: np.ndarray, blocks: np.ndarray, candidates: int) -> Iterator[pa.RecordBatch]:
@@ -169,14 +169,18 @@ def _visit(batches: Iterator[pa.RecordBatch], forest: Forest, sizes: np.ndarray,
 
 
 def _rank(rows: pa.Table, visits: pa.Table, k: int) -> pa.Table:
-    """The k nearest of one block of a leaf for each query that visits it."""
+    """The k nearest ids of one block of a leaf for each query that visits it, each at its smallest distance."""
     out: list[list] = [[], [], []]
     if rows.num_rows and visits.num_rows:
         ids, x = rows.column("vec_id").to_numpy(), _matrix(rows.column("vector").combine_chunks())
+        repeats = len(np.unique(ids)) < len(ids)
         for query, q in zip(visits.column("query_id").to_pylist(), _matrix(visits.column("vector").combine_chunks())):
             d = np.sqrt(((x - q) ** 2).sum(axis=1))
             best = np.lexsort((ids, d))
-            best = best[ids[best] != query][:k]
+            best = best[ids[best] != query]
+            if repeats:
+                best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+            best = best[:k]
             out[0] += [query] * len(best)
             out[1] += ids[best].tolist()
             out[2] += d[best].tolist()
@@ -187,9 +191,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = S
     """query_id, rank, vec_id, score: each query's k nearest among the candidates found, by exact distance.
 
     ``vectors``, ``queries``: (vec_id, embedding). The hyperplanes are fitted on at most ``sample`` vectors,
-    the first in a hashed order of their ids; all vectors are indexed. A query walks all trees through one
-    priority queue of margins until the leaves it has met hold a share of all rows; that share is tuned to
-    ``recall`` by brute force within the sample.
+    the first in a hashed order of the rows, one of each vec_id; all vectors are indexed. A query walks all
+    trees through one priority queue of margins until the leaves it has met hold a share of all ids (each leaf's
+    distinct ones); that share is tuned to ``recall`` by brute force within the sample.
     Leaves of any size are cut into blocks of some thousand rows. Ties go to the smaller vec_id; a query's own
     id is no candidate. Vectors that are null, zero, hold null or non-finite components or have another
     length than most take no part. Rows that repeat a vec_id count once per distinct vector, at its smallest distance.
@@ -201,15 +205,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = S
     if lengths is None:
         return spark.createDataFrame([], out)
     vectors, queries = (x.where(F.size("vector") == lengths.n) for x in (vectors, queries))
-    picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    known = _matrix(picked.column("vector").combine_chunks())
+    spread = F.xxhash64("vec_id", "vector")
+    vectors = materialise(vectors.distinct().withColumn("spread", spread), "vectors")
+    picked = vectors.orderBy("spread", "vec_id").limit(sample).toArrow()
+    once = np.sort(np.unique(picked.column("vec_id").to_numpy(), return_index=True)[1])
+    known = _matrix(picked.column("vector").combine_chunks())[once]
     forest = fit(known, trees, leaf)
     effort = tune(forest, known, k, recall)
-    tally = map_arrow(vectors, partial(_tally, forest=forest), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()  # leaves: bounded by the sample
-    sizes = np.zeros(forest.leaves, np.int64)
+    each = map_arrow(vectors, partial(_tally, forest=forest), "leaf long, vec_id long").groupBy("leaf", "vec_id").agg(F.count(F.lit(1)).alias("n"))
+    tally = each.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids")).collect()  # leaves: bounded by the sample
+    sizes, held = np.zeros(forest.leaves, np.int64), np.zeros(forest.leaves, np.int64)
     for r in tally:
-        sizes[r.leaf] = r.n
-    blocks = np.maximum(1, -(-sizes // _BLOCK_ROWS))
+        sizes[r.leaf], held[r.leaf] = r.ids, r.n
+    blocks = np.maximum(1, -(-held // _BLOCK_ROWS))
     candidates = max(10 * k, int(effort * sizes.sum() / trees))
     kind = vectors.schema["vector"].dataType.simpleString()
     placed = map_arrow(vectors, partial(_place, forest=forest, blocks=blocks), f"leaf long, block long, vec_id long, vector {kind}")
