@@ -302,3 +302,26 @@ def test_islands_are_linked(spark):
 def test_polygon_type_is_readable(spark):
     df = spark.createDataFrame([((SQUARE, []),)], f"p {POLYGON}")
     assert df.select(geo.polygon_area(F.col("p.hull"), F.col("p.holes")), geo.multipolygon_perimeter(F.array("p"))).first()[:] == (16, 16)
+
+
+def test_exchanges_go_on_until_none_improves():
+    square = lambda plan, c: float(len(plan.members[c]) ** 2)
+
+    def path(n):
+        return kernels.Plan(kernels.State({i: {i - 1, i + 1} & set(range(n)) for i in range(n)}), {i: int(i > 0) for i in range(n)})
+
+    for plan in (kernels.steepest(path(2100), square, maximize=False), kernels.improve_spread(path(500), square)):
+        a, b = map(len, plan.members.values())
+        assert a == b
+
+
+def test_refining_queries_run_at_full_length(monkeypatch):
+    from wardline import driver_queries as dq
+
+    seen = {}
+    monkeypatch.setattr(dq, "_refined", lambda spark, d, method, **options: seen.update({method: options}))
+    monkeypatch.setattr(dq, "_nodes", lambda spark, d: (None, None))
+    monkeypatch.setattr(dq.make, "generate_communities", lambda nodes, k, **options: seen.update(generate=options))
+    for name in ("refine_steepest", "refine_annealing", "refine_compactness", "refine_spread", "generate_communities"):
+        dq.queries()[name](None, "")
+    assert not {"rounds", "epochs", "patience"} & {o for options in seen.values() for o in options} and len(seen) == 5

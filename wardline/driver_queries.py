@@ -653,17 +653,17 @@ def _refined(spark, d, method, **options):
 
 @_query()
 def refine_steepest(spark, d):
-    return _refined(spark, d, "steepest", measure="quick_compactness", rounds=20)
+    return _refined(spark, d, "steepest", measure="quick_compactness")
 
 
 @_query()
 def refine_annealing(spark, d):
-    return _refined(spark, d, "anneal", measure="population_stdev", epochs=500)
+    return _refined(spark, d, "anneal", measure="population_stdev")
 
 
 @_query()
 def refine_compactness(spark, d):
-    return _refined(spark, d, "compactness", patience=3)
+    return _refined(spark, d, "compactness")
 
 
 @_query()
@@ -679,7 +679,7 @@ def refine_spread(spark, d):
 @_query()
 def generate_communities(spark, d):
     nodes, _ = _nodes(spark, d)
-    return make.generate_communities(nodes, 2, rounds=3)
+    return make.generate_communities(nodes, 2)
 
 
 def queries() -> dict[str, Query]:

@@ -6,6 +6,7 @@ import math
 import random
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 
@@ -78,7 +79,7 @@ Measure = Callable[[Plan, int], float]
 
 
 def population(plan: Plan, c: int) -> float:
-    return sum(plan.state.pop[n] for n in plan.members[c])
+    return sum(plan.state.pop[n] for n in sorted(plan.members[c]))
 
 
 def _deviation(values: Iterable[float | None]) -> float:
@@ -87,26 +88,26 @@ def _deviation(values: Iterable[float | None]) -> float:
 
 
 def population_stdev(plan: Plan, c: int) -> float:
-    return _deviation(plan.state.pop[n] for n in plan.members[c])
+    return _deviation(plan.state.pop[n] for n in sorted(plan.members[c]))
 
 
 def partisanship_stdev(plan: Plan, c: int) -> float:
-    rows = [plan.state.shares[n] for n in plan.members[c]]
+    rows = [plan.state.shares[n] for n in sorted(plan.members[c])]
     return float(np.mean([_deviation(col) for col in zip(*rows)])) if rows else 0.0
 
 
 def reock(plan: Plan, c: int) -> float:
     """[M16]"""
-    points = np.vstack([plan.state.vertices[n] for n in plan.members[c]])
+    points = np.vstack([plan.state.vertices[n] for n in sorted(plan.members[c])])
     _, _, r = smallest_circle(points)
-    return sum(plan.state.area[n] for n in plan.members[c]) / (math.pi * r * r) if r > 0 else 0.0
+    return sum(plan.state.area[n] for n in sorted(plan.members[c])) / (math.pi * r * r) if r > 0 else 0.0
 
 
 def quick_compactness(plan: Plan, c: int) -> float:
     """[M19]"""
-    p = np.array([plan.state.centre[n] for n in plan.members[c]], float)
+    p = np.array([plan.state.centre[n] for n in sorted(plan.members[c])], float)
     d2 = ((p - p.mean(axis=0)) ** 2).sum(axis=1).max()
-    return sum(plan.state.area[n] for n in plan.members[c]) / (math.pi * d2) if d2 > 0 else 0.0
+    return sum(plan.state.area[n] for n in sorted(plan.members[c])) / (math.pi * d2) if d2 > 0 else 0.0
 
 
 def average(plan: Plan, measure: Measure) -> float:
@@ -147,20 +148,26 @@ def random_contraction(state: State, k: int, seed: int = 0, tries: int = 100) ->
     return {n: order[g] for n, g in group.items()}
 
 
-def steepest(plan: Plan, measure: Measure, maximize: bool = True, rounds: int = 1000) -> Plan:
-    """[G21] The best strictly improving exchange of all, again and again until there is none.
+def _rounding(*scores: float) -> float:
+    """Differences of sums of these scores that are no more than this may come from rounding alone."""
+    return 1e-12 * max(1.0, *map(abs, scores))
+
+
+def steepest(plan: Plan, measure: Measure, maximize: bool = True, rounds: int | None = None) -> Plan:
+    """[G21] The best strictly improving exchange of all, again and again until there is none, or
+    ``rounds`` times. What rounding can make of the measures is no improvement.
 
     Only the two communities that an exchange touches are measured anew.
     """
     sign = 1 if maximize else -1
     score = {c: measure(plan, c) for c in plan.members}
-    for _ in range(rounds):
-        best = (1e-12, None)
+    for _ in count() if rounds is None else range(rounds):
+        best = (0.0, None)
         for node, to in plan.border():
             own = plan.of[node]
             if plan.move(node, to):
                 gain = sign * (measure(plan, own) + measure(plan, to) - score[own] - score[to])
-                if gain > best[0]:
+                if gain > max(best[0], _rounding(score[own], score[to])):
                     best = (gain, (node, to))
                 plan.members[to].discard(node)
                 plan.members[own].add(node)
@@ -262,10 +269,11 @@ def improve_population(plan: Plan, percent: float = 1.0, seed: int = 0, moves: i
     return best
 
 
-def improve_spread(plan: Plan, measure: Measure, rounds: int = 200) -> Plan:
-    """[G25, G26, O5] Greedy exchanges of the community with the largest measure that lower the mean measure."""
+def improve_spread(plan: Plan, measure: Measure, rounds: int | None = None) -> Plan:
+    """[G25, G26, O5] Greedy exchanges of the community with the largest measure that lower the mean measure, until
+    none does, or ``rounds`` times."""
     score = {c: measure(plan, c) for c in plan.members}
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         changed = False
         for c in sorted(score, key=lambda c: -score[c]):
             ways = [*plan.giveable(c).items(), *((n, c) for n in plan.takeable(c))]
@@ -273,7 +281,7 @@ def improve_spread(plan: Plan, measure: Measure, rounds: int = 200) -> Plan:
                 own = plan.of[node]
                 if own != to and plan.move(node, to):
                     a, b = measure(plan, own), measure(plan, to)
-                    if a + b < score[own] + score[to] - 1e-12:
+                    if a + b < score[own] + score[to] - _rounding(score[own], score[to]):
                         score[own], score[to], changed = a, b, True
                     else:
                         plan.members[to].discard(node)
