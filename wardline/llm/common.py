@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -25,18 +27,55 @@ _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one run below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (local tests), a temporary folder takes its place.
+    Where the setting is absent, a temporary folder takes its place on a local master; a cluster raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
         if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="wardline-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _hadoop(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that an operator wrote for itself and that no result reads any more."""
+    for path in paths:
+        files, where = _hadoop(spark, path)
+        files.delete(where, True)
+
+
+class Scratch:
+    """Tables that one run of an operator writes out; done() removes all but those that its result reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(path := shared_dir(self.spark, name))
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def done(self, *keep: DataFrame) -> None:
+        held = [f for df in keep for f in df.inputFiles()]
+        remove(self.spark, *[p for p in self.paths if not any(p.rsplit("/", 1)[1] in f for f in held)])
+        self.paths = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here, executors may be lost after it."""
     path = shared_dir(df.sparkSession, name)
@@ -61,12 +100,23 @@ def own_prefix(columns: Iterable[str]) -> str:
     return out
 
 
+def repeated(df: DataFrame, times: Column, name: str) -> DataFrame:
+    """Each row ``times`` times, numbered from 1 in ``name``; no array of more than 65,536 numbers is ever made."""
+    own, step = own_prefix([*df.columns, name]), 1 << 16
+    df = df.withColumn(f"{own}n", times.cast("long")).where(f"{own}n > 0")
+    df = df.withColumn(f"{own}block", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col(f"{own}n") - 1, 16))))
+    first = F.col(f"{own}block") * step + 1
+    last = F.least(F.col(f"{own}n"), first + (step - 1))
+    return df.withColumn(name, F.explode(F.sequence(first, last))).drop(f"{own}n", f"{own}block")
+
+
 def crc_fold(id_col: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
 _SLICE = 2 << 20
+_STRETCH = 1 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch], most: int = _SLICE) -> Iterator[pa.RecordBatch]:
@@ -87,8 +137,20 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = _SLICE) -> Iterator[pa
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow over small slices of the batches."""
-    return df.mapInArrow(lambda batches: fn(slices(batches)), schema)
+    """mapInArrow over small slices of the batches; the worker gives back what memory it can at the end of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(slices(batches))
+        trim()
+
+    return df.mapInArrow(run, schema)
+
+
+def trim() -> None:
+    """Freed memory goes back to the system, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -148,40 +210,75 @@ def word_hashes(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts in order, and offsets[i]: where text i's words begin.
 
     A word's hash is a polynomial in an odd base modulo 2^64, taken from one prefix sum over a buffer of
-    texts, then finalised; it depends on the word's bytes alone.
+    texts, then finalised; it depends on the word's bytes alone. Very long texts are worked through in
+    stretches that end with a word, so that memory besides the hashes themselves stays bounded.
     """
     texts = list(texts)
     hashes, counts = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
-    for a, b in pieces(texts, len, 1 << 20):
+    for a, b in pieces(texts, len, _STRETCH):
         buf = np.frombuffer(b"\n".join(texts[a:b]), np.uint8)
-        starts, ends = word_spans(buf)
-        up, down = _POWERS.get(len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        hashes.append(mix64((sums[ends] - sums[starts]) * down[starts]))
+        starts = []
+        for low, high in _stretches(buf):
+            first, found = _hash_stretch(buf[low:high])
+            starts.append(first + low)
+            hashes.append(found)
+        starts = np.concatenate(starts) if starts else np.empty(0, np.int64)
         bounds = np.cumsum(np.fromiter((len(t) + 1 for t in texts[a:b]), np.int64, b - a))
         counts.append(np.diff(np.searchsorted(starts, bounds), prepend=0))
     return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
 
+def _stretches(buf: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about _STRETCH bytes; each but the last ends before white space, a longer word stands whole."""
+    at = 0
+    while at < len(buf):
+        end = at + _STRETCH
+        while end < len(buf):
+            space = np.flatnonzero(_SPACE[buf[end : end + _STRETCH]])
+            if len(space):
+                end += int(space[0])
+                break
+            end += _STRETCH
+        end = min(end, len(buf))
+        yield at, end
+        at = end
+
+
+def _hash_stretch(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends = word_spans(buf)
+    up, down = _POWERS.get(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    return starts, mix64((sums[ends] - sums[starts]) * down[starts])
+
+
 class WordTable:
-    """What has been worked out for distinct words, in bounded memory.
+    """What has been worked out for distinct words, bytes or text, in memory bounded by bytes.
 
-    Beyond ``most`` words it keeps those that came up again since it last made room, then starts anew:
-    rare words may be worked out twice, results never differ.
+    Two generations: once the young one holds ``most`` bytes it becomes the old one, and an empty one takes
+    its place. Words met again move from the old into the young, so what drops out has not come up for a whole
+    generation. It may be worked out again; results never differ.
     """
 
+    #: Bytes of an entry besides its letters: two objects' heads and their share of the dictionary.
+    ENTRY = 200
+
     def __init__(self, most: int):
-        self.most, self.of, self.often = most, {}, set()
-
-    def fresh(self, lists: list[list[str]]) -> list[str]:
-        """The words of ``lists`` that are not in the table, which now has room for them."""
-        every = set().union(*lists)
-        fresh = [w for w in every if w not in self.of]
-        if len(self.of) + len(fresh) > self.most:
-            often = self.often if len(self.often) < self.most // 2 else ()
-            self.of = {w: self.of[w] for w in often}
-            self.often = set()
-            fresh = [w for w in every if w not in self.of]
-        self.often.update(every.difference(fresh))
-        return fresh
+        self.most, self.of, self.old, self.held = most, {}, {}, 0
+
+    def fresh(self, words: set[str]) -> list[str]:
+        """Those of ``words`` that have yet to be put() into the table; all others can be read from ``of`` from now on."""
+        if self.held > self.most:
+            self.old, self.of, self.held = self.of, {}, 0
+        out, old, of = [], self.old.get, self.of
+        for w in words.difference(of):
+            if (known := old(w)) is None:
+                out.append(w)
+            else:
+                of[w] = known
+                self.held += self.ENTRY + len(w) + len(known)
+        return out
+
+    def put(self, word: str, value: bytes | str) -> None:
+        self.of[word] = value
+        self.held += self.ENTRY + len(word) + len(value)

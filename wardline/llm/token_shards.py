@@ -24,18 +24,38 @@ _SHARD_BYTES = 16 << 20
 
 
 def _schema(length: int, kind: np.dtype) -> pa.Schema:
-    return pa.schema([pa.field("ids", pa.list_(pa.field("item", pa.from_numpy_dtype(kind), False), length), False), pa.field("mask", pa.list_(pa.field("item", pa.bool_(), False), length), False)])
+    return pa.schema([pa.field("ids", pa.list_(pa.field("item", pa.from_numpy_dtype(kind), False), length), False), pa.field("real", pa.int32(), False)])
+
+
+#: Schemes that Hadoop and Arrow call by different names.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss"}
+
+
+def arrow_uri(uri: str) -> str:
+    """A Hadoop URI as Arrow's file systems know it; paths without a scheme are local, as in ``file:/a``."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return "file://" + uri
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return f"{_SCHEMES.get(scheme, scheme)}:{rest}"
+
+
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 class ShardWriter:
-    """One shard: a stream of ids cut into sequences of ``length``; the last is padded, its mask says where.
+    """One shard: a stream of ids cut into sequences of ``length``; the last is padded.
+
+    ``real`` says how many ids of a sequence are no padding, which comes last: all that a mask holds.
 
     Each record batch holds ``_PER_BATCH`` sequences as fixed-size lists without offsets or nulls, so the
     place of any id follows from its number alone.
     """
 
     def __init__(self, folder: str, shard: int, length: int, kind: np.dtype):
-        self.fs, self.folder = fs.FileSystem.from_uri(folder)
+        self.fs, self.folder = filesystem(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.name = shard_name(shard)
         self.draft = f"{self.folder}/_{self.name}-{uuid.uuid4().hex}"
@@ -58,10 +78,11 @@ class ShardWriter:
         for at in range(0, whole, step):
             part = ids[at : min(at + step, whole)]
             room = -len(part) % self.length
-            mask = np.concatenate((np.ones(len(part), bool), np.zeros(room, bool)))
             values = np.concatenate((part, np.zeros(room, self.kind)))
-            cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((values, mask), self.schema)]
-            self.out.write_batch(pa.record_batch(cols, schema=self.schema))
+            real = np.full(len(values) // self.length, self.length, np.int32)
+            real[-1] -= room
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(values), type=self.schema.field("ids").type)
+            self.out.write_batch(pa.record_batch([lists, pa.array(real)], schema=self.schema))
         self.held, self.size = ([], 0) if last else ([ids[whole:].tobytes()], (len(ids) - whole) * self.kind.itemsize)
 
     def close(self) -> None:
@@ -80,11 +101,14 @@ class ShardReader:
     """Random access to a shard; arrays are views of the file's own memory where it can be mapped."""
 
     def __init__(self, folder: str, shard: int):
-        files, path = fs.FileSystem.from_uri(folder)
+        files, path = filesystem(folder)
         path = f"{path}/{shard_name(shard)}"
         self.source = pa.memory_map(path) if isinstance(files, fs.LocalFileSystem) else files.open_input_file(path)
         self.file = ipc.open_file(self.source)
         self.length = self.file.schema.field("ids").type.list_size
+        # the mask of a sequence with n real ids is a view of this from place length - n on
+        self._masks = np.repeat([True, False], self.length)
+        self._held: tuple = (-1, None)
 
     def __enter__(self) -> "ShardReader":
         return self
@@ -93,21 +117,38 @@ class ShardReader:
         self.source.close()
 
     def batch(self, i: int) -> pa.RecordBatch:
-        return self.file.get_batch(i)
+        if self._held[0] != i:
+            self._held = i, self.file.get_batch(i)
+        return self._held[1]
+
+    def _flat(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        b = self.batch(i)
+        return b.column(0).values.to_numpy(zero_copy_only=True), b.column(1).to_numpy(zero_copy_only=True)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i."""
-        b, row = self.batch(i // _PER_BATCH), i % _PER_BATCH
-        cut = slice(row * self.length, (row + 1) * self.length)
-        return b.column(0).values.to_numpy(zero_copy_only=True)[cut], b.column(1).values.to_numpy(zero_copy_only=False)[cut]
+        """Ids and mask of sequence i, both views."""
+        (ids, real), row = self._flat(i // _PER_BATCH), i % _PER_BATCH
+        first = self.length - int(real[row])
+        return ids[row * self.length : (row + 1) * self.length], self._masks[first : first + self.length]
+
+    def real(self, start: int, n: int) -> int:
+        """How many of the n places from ``start`` on the masks mark as ids."""
+        out = 0
+        for i in range(start // self.length, -(-(start + n) // self.length)) if n else ():
+            mask = self.sequence(i)[1]
+            low = i * self.length
+            out += int(mask[max(0, start - low) : start + n - low].sum())
+        return out
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """The n ids from the shard's id number ``start`` on: a view, unless they lie in several batches."""
         step = self.length * _PER_BATCH
         parts = []
         while n > 0:
-            flat = self.batch(start // step).column(0).values.to_numpy(zero_copy_only=True)
+            flat, _ = self._flat(start // step)
             parts.append(flat[start % step : start % step + n])
+            if not len(parts[-1]):
+                raise ValueError(f"the shard ends before id {start}")
             start, n = start + len(parts[-1]), n - len(parts[-1])
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint16)
 
@@ -150,18 +191,26 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end: int = 2
 def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     reader, held = None, None
     for batch in batches:
-        crc = []
+        crc, real = [], []
         for shard, offset, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
             if shard != held:
                 if reader:
                     reader.source.close()
                 reader, held = ShardReader(folder, shard), shard
+            real.append(reader.real(offset, n))
             crc.append(zlib.crc32(reader.ids(offset, n).astype("<u4").tobytes()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(crc, pa.int64())], [*batch.schema.names, "ids_crc32"])
+        columns = [*batch.columns[:3], pa.array(real, pa.int64()), pa.array(crc, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shard", "offset", "n_tokens", "ids_crc32"])
+    if reader:
+        reader.source.close()
 
 
 def read_back(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
-    """The index with ids_crc32 of each document's ids, read from the shards, and start: ids of all documents before it."""
+    """What the shards hold: doc_id, start (ids of all documents before it), n_tokens (places that masks mark), ids_crc32.
+
+    ``index``: as write_shards() returns it, and no other; an empty one gives no rows. Documents that repeat an id
+    have a row each; a shard that ends too early raises.
+    """
     rows = index.repartition("shard").sortWithinPartitions("shard", "offset")
     read = map_arrow(rows, partial(_read, folder=folder), "doc_id long, shard long, offset long, n_tokens long, ids_crc32 long")
     # one row per shard
@@ -172,6 +221,9 @@ def read_back(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end: int = 2) -> DataFrame:
-    """Write all documents as shards below the shared folder and describe each from what the files hold."""
+    """Write all documents as shards below the shared folder and describe each from what the files hold.
+
+    Null and empty texts are their end id alone; null ids come first; repeated rows each count; an empty table gives no rows.
+    """
     folder = shared_dir(docs.sparkSession, "tokens")
     return read_back(docs.sparkSession, write_shards(docs, tokenizer_path, folder, end), folder)
