@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cached_property, partial
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,8 +14,9 @@ from pyspark.sql import DataFrame
 from .common import WordTable, map_arrow, pieces, texts_of
 
 MARK = "▁"
-TABLE_WORDS = 250_000
-_LEARN_WORDS = 60_000
+#: Bytes that each of the table's two generations may hold.
+TABLE_BYTES = 32 << 20
+_LEARN_WORDS = 100_000
 _RUNS = re.compile(" *[^ ]+| +")
 _codecs: dict[str, "Codec"] = {}
 
@@ -32,7 +34,7 @@ class Codec:
 
     def __init__(self, model_path: str):
         self.path = model_path
-        self.words = WordTable(TABLE_WORDS)  # a word's ids in decimal, joined by commas
+        self.words = WordTable(TABLE_BYTES)  # a word's ids in decimal, joined by commas
         self.odd: dict[str, str] = {}  # what a word decodes to, unless that is the word
 
     @cached_property
@@ -80,7 +82,7 @@ class Codec:
         ids = self.library.encode(ask, num_threads=1)
         for w, i in zip(words, ids):
             i = [self.mark_id] if w == " " else i if w[0] == " " else i[1:]
-            self.words.of[w] = ",".join(map(str, i))
+            self.words.put(w, ",".join(map(str, i)))
             if (back := self._decode(i)) != w:
                 self.odd[w] = back
 
@@ -102,9 +104,9 @@ class Codec:
                 ids = self.library.encode(t)
                 out[i] = (",".join(map(str, ids)), self.library.decode(ids))
         for a, b in pieces(cut, lambda x: len(x[1]), _LEARN_WORDS):
-            fresh = self.words.fresh([words for _, words in cut[a:b]])
+            fresh = self.words.fresh(set(chain.from_iterable(words for _, words in cut[a:b])))
             if len(self.odd) > _LEARN_WORDS:
-                self.odd = {w: x for w, x in self.odd.items() if w in self.words.of}
+                self.odd = {w: x for w, x in self.odd.items() if w in self.words.of or w in self.words.old}
             self._learn(fresh)
             get = self.words.of.__getitem__
             for i, words in cut[a:b]:
