@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, own_prefix
+from .common import WORD, materialise, own_prefix, repeated
 
 #: Patterns whose totals are gathered on the driver, at most; more raise an error rather than being cut.
 MAX_PATTERNS = 20_000
@@ -99,38 +99,51 @@ def seeded_order(seed: int, *cols: Column) -> Column:
 
 
 def select_tokens(rows: DataFrame, wanted: dict[int, tuple[int, int]], seed: int) -> DataFrame:
-    """``rows`` (doc_id, pattern, size) with ``reps``: copies of each document.
+    """(doc_id, pattern, size, rows, base, extra) of ``rows`` (doc_id, pattern, size): ``rows`` of them are alike,
+    each is taken ``base`` times, and ``extra`` of them once more.
 
     ``wanted``: tokens that each pattern sends on, and its total. Every document of a pattern is taken
     tokens // total times; the rest goes to documents in seeded order until it is met as nearly as whole
     documents allow. The place where the order stops is found by adding up bins of the order's leading
-    digits, so no pattern is ever sorted as a whole: only the documents of one bin are.
+    digits, twice, so no pattern is ever sorted as a whole: only one in 16 million of its documents are.
     """
-    keyed = rows.withColumn("u", seeded_order(seed, F.col("doc_id"), F.col("size")))
-    keyed = keyed.withColumn("bin", F.conv(F.substring("u", 1, 3), 16, 10).cast("int"))
-    bins = keyed.groupBy("pattern", "bin").agg(F.sum("size").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("pattern").orderBy("bin")) - F.col("n")
-    left = {p: (t // n, t % n) if n else (0, 0) for p, (t, n) in wanted.items()}
     spark = rows.sparkSession
-    plan = spark.createDataFrame([(p, int(x)) for p, (_, x) in left.items()], "pattern int, rest long")
-    ends = bins.withColumn("before", before).join(F.broadcast(plan), "pattern")  # at most MAX_PATTERNS rows
-    ends = ends.where("0 < rest and before <= rest and rest < before + n").select("pattern", F.col("bin").alias("end"), "before")
-    stop = {r.pattern: (r.end, r.before) for r in ends.collect()}  # one row per pattern
-    plan = [(p, int(r), int(x), *map(int, stop.get(p, (-1, 0)))) for p, (r, x) in left.items()]
-    placed = keyed.join(F.broadcast(spark.createDataFrame(plan, "pattern int, base long, rest long, end int, before long")), "pattern")
-    clear = placed.where("bin <> end").withColumn("extra", (F.col("bin") < F.col("end")).cast("long"))
+    keyed = rows.groupBy("doc_id", "pattern", "size").agg(F.count(F.lit(1)).alias("rows")).withColumn("u", seeded_order(seed, F.col("doc_id"), F.col("size")))
+    for i in (0, 1):
+        keyed = keyed.withColumn(f"bin{i}", F.conv(F.substring("u", 1 + 3 * i, 3), 16, 10).cast("int"))
+    left = {p: (t // n, t % n) if n else (0, 0) for p, (t, n) in wanted.items()}
+    ends = {p: [-1, -1] for p in left}
+    before = dict.fromkeys(left, 0)
+    for i in (0, 1):
+        plan = spark.createDataFrame([(p, int(x), int(before[p]), ends[p][0]) for p, (_, x) in left.items()], "pattern int, rest long, start long, end0 int")
+        within = keyed.join(F.broadcast(plan), "pattern")  # at most MAX_PATTERNS rows
+        if i:
+            within = within.where("bin0 = end0")
+        bins = within.groupBy("pattern", f"bin{i}").agg(F.sum(F.col("size") * F.col("rows")).alias("n"), F.first("rest").alias("rest"), F.first("start").alias("start"))
+        at = F.col("start") + F.sum("n").over(Window.partitionBy("pattern").orderBy(f"bin{i}")) - F.col("n")
+        stop = bins.withColumn("at", at).where("0 < rest and at <= rest and rest < at + n")
+        for r in stop.select("pattern", F.col(f"bin{i}").alias("end"), "at").collect():  # one row per pattern
+            ends[r.pattern][i], before[r.pattern] = r.end, r.at
+    plan = [(p, int(r), int(x), *ends[p], int(before[p])) for p, (r, x) in left.items()]
+    placed = keyed.join(F.broadcast(spark.createDataFrame(plan, "pattern int, base long, rest long, end0 int, end1 int, before long")), "pattern")
+    edge = (F.col("bin0") == F.col("end0")) & (F.col("bin1") == F.col("end1"))
+    early = (F.col("bin0") < F.col("end0")) | ((F.col("bin0") == F.col("end0")) & (F.col("bin1") < F.col("end1")))
+    clear = placed.where(~edge).withColumn("extra", F.when(early, F.col("rows")).otherwise(F.lit(0).cast("long")))
     w = Window.partitionBy("pattern").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = F.col("before") + F.sum("size").over(w) - F.col("size")
-    edge = placed.where("bin = end").withColumn("extra", (at + F.col("size") / 2 <= F.col("rest")).cast("long"))
-    both = clear.unionByName(edge)
-    return both.select("doc_id", "pattern", "size", (F.col("base") + F.col("extra")).alias("reps"))
+    at = F.col("before") + F.sum(F.col("size") * F.col("rows")).over(w) - F.col("size") * F.col("rows")
+    # the k-th of equal rows (from 0) begins at ``at`` + k sizes and is taken where its middle is within the rest
+    fit = F.floor((F.col("rest") - at - F.col("size") / 2) / F.nullif(F.col("size"), F.lit(0))) + 1
+    fit = F.when(F.col("size") == 0, F.when(at <= F.col("rest"), F.col("rows")).otherwise(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("rows"), fit)))
+    rest = placed.where(edge).withColumn("extra", fit.cast("long"))
+    return clear.unionByName(rest).select("doc_id", "pattern", "size", "rows", "base", "extra")
 
 
 def mix(docs: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Choose how often each document is taken so that sources come near their targets.
 
     ``sources``: array column of the sources that a document belongs to (one or several; null entries
-    are a source of their own). Returns (per document: doc_id, pattern, size, reps; per source: source,
+    are a source of their own). Returns (per kind of document: doc_id, pattern, size, rows, base, extra, members,
+    where ``rows`` documents are alike, each is taken ``base`` times and ``extra`` of them once more; per source: source,
     source_size, target, flow). Sources in code-point order, null last, weigh ``weights`` in turn and
     share ``share`` times all sizes; none gets more than ``repeats`` times its size. A document counts
     to each source it belongs to, and is taken at most ``repeats`` times. Documents without words are
@@ -164,22 +177,41 @@ def mix(docs: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1),
     return chosen.join(F.broadcast(plan), "pattern"), per
 
 
-def mix_by_source(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """doc_id, size, source_size, target, taken: mixing where each document has the one source it names."""
+def _by_source(docs: DataFrame, seed: int) -> DataFrame:
     chosen, per = mix(docs, F.array("source"), seed=seed)
     per = F.broadcast(per)  # one row per source, at most MAX_PATTERNS
-    out = chosen.join(per, F.col("members")[0].eqNullSafe(F.col("source")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("reps")).alias("taken"), "reps")
+    return chosen.withColumn("own", F.col("members")[0]).join(per, F.col("own").eqNullSafe(F.col("source"))).drop("own", "members")
+
+
+def mix_by_source(docs: DataFrame, seed: int = 42) -> DataFrame:
+    """doc_id, size, source_size, target, taken: mixing where each document has the one source it names.
+
+    One row per input row: repeated rows are documents of their own. Null texts have size 0, a null source is
+    a source; an empty table gives no rows, a source without words a target of 0. Extra columns are not read.
+    """
+    each = repeated(_by_source(docs, seed), F.col("rows"), "nth")
+    reps = F.col("base") + (F.col("nth") <= F.col("extra")).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * reps).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """The mix itself: every document with all its columns, as many times as it is taken.
+    """The mix itself: every document with all its columns, as many times as it is taken, twice at most.
 
-    Rows that share a doc_id are one document of several rows; each row follows its own size's choice.
+    Of rows that share doc_id, size and source and of which only some are taken once more, those whose text
+    comes first are: one such group per source at most. An empty table gives no rows; nulls as in mix_by_source.
     """
     columns, own = docs.columns, own_prefix(docs.columns)
-    chosen = mix_by_source(docs, seed).where("reps > 0").select(F.col("doc_id").alias(f"{own}id"), F.col("size").alias(f"{own}size"), F.col("reps").alias(f"{own}reps")).distinct()
-    rows = docs.withColumn(f"{own}n", word_count(F.col("text")))
-    both = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col(f"{own}id")) & (F.col(f"{own}n") == F.col(f"{own}size")))
-    both = both.withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{own}reps"))))
-    return both.select(*[F.col(f"`{c}`") for c in columns])
+    names = [f"{own}{c}" for c in ("id", "size", "source")]
+    base, extra, some_of, nth = (f"{own}{c}" for c in ("base", "extra", "some", "nth"))
+    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    chosen = _by_source(docs, seed).select(
+        told("doc_id").alias(names[0]), F.col("size").alias(names[1]), told("source").alias(names[2]),
+        (F.col("base") + (F.col("extra") == F.col("rows")).cast("long")).alias(base),
+        F.when(F.col("extra") < F.col("rows"), F.col("extra")).otherwise(0).alias(extra),
+    )
+    chosen = chosen.where(f"{base} > 0 or {extra} > 0")
+    rows = docs.withColumns(dict(zip(names, (told("doc_id"), word_count(F.col("text")), told("source"))))).join(chosen, names)
+    whole = rows.where(F.col(extra) == 0).withColumn(nth, F.lit(1))
+    some = rows.where(F.col(extra) > 0).withColumn(nth, F.row_number().over(Window.partitionBy(*names).orderBy("text")))
+    reps = F.col(base) + (F.col(nth) <= F.col(extra)).cast("long")
+    return repeated(whole.unionByName(some).withColumn(some_of, reps), F.col(some_of), f"{own}copy").select(*[F.col(f"`{c}`") for c in columns])
