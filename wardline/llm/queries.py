@@ -72,7 +72,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_by_source(_table(spark, sf_dir, "documents")).drop("reps")
+    return mixing.mix_by_source(_table(spark, sf_dir, "documents"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,21 +142,26 @@ WITH d AS (
          list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') AS w
   FROM documents
 ), t AS (
-  SELECT r, held_out, unnest(w) AS tok, unnest(list_concat([NULL], w[1:len(w) - 1])) AS prev FROM d
+  SELECT r, held_out, unnest(w) AS tok, unnest(list_concat([NULL], w)[1:len(w)]) AS prev, unnest(list_concat([NULL, NULL], w)[1:len(w)]) AS prev2 FROM d
 ), u AS (
   SELECT tok, count(*) AS c FROM t WHERE NOT held_out GROUP BY tok
 ), b AS (
   SELECT prev, tok, count(*) AS c FROM t WHERE NOT held_out AND prev IS NOT NULL GROUP BY prev, tok
+), g AS (
+  SELECT prev2, prev, tok, count(*) AS c FROM t WHERE NOT held_out AND prev2 IS NOT NULL GROUP BY prev2, prev, tok
 ), n AS (
   SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM u
 ), p AS (
-  SELECT t.r, coalesce(u.c, 0) AS c, coalesce(h.c, 0) AS ch, coalesce(b.c, 0) AS cb,
+  SELECT t.r, coalesce(u.c, 0) AS c, coalesce(h.c, 0) AS ch, coalesce(b.c, 0) AS cb, coalesce(x.c, 0) AS cx, coalesce(g.c, 0) AS cg,
          (coalesce(u.c, 0) + 1)::DOUBLE / (n.n + n.v + 1) AS p1
   FROM t CROSS JOIN n LEFT JOIN u USING (tok) LEFT JOIN u h ON t.prev = h.tok LEFT JOIN b ON t.prev = b.prev AND t.tok = b.tok
+  LEFT JOIN b x ON t.prev2 = x.prev AND t.prev = x.tok LEFT JOIN g ON t.prev2 = g.prev2 AND t.prev = g.prev AND t.tok = g.tok
+), q AS (
+  SELECT *, CASE WHEN ch > 0 THEN (cb + 40.0::DOUBLE * p1) / (ch + 40.0::DOUBLE) ELSE p1 END AS p2 FROM p
 ), s AS (
   SELECT r, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, fsum(log10(p1)) AS base_score,
-         fsum(CASE WHEN ch > 0 THEN log10((cb + 40.0::DOUBLE * p1) / (ch + 40.0::DOUBLE)) ELSE log10(p1) END) AS score
-  FROM p GROUP BY r
+         fsum(log10(CASE WHEN cx > 0 THEN (cg + 40.0::DOUBLE * p2) / (cx + 40.0::DOUBLE) ELSE p2 END)) AS score
+  FROM q GROUP BY r
 )
 SELECT doc_id, held_out, n_tokens, n_known, n.n AS train_tokens, round(base_score, 8) AS base_score, round(score, 8) AS score
 FROM d JOIN s USING (r) CROSS JOIN n
