@@ -12,16 +12,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import map_arrow, materialise, mix64
 
 #: Vectors that the trees' hyperplanes are fitted on, at most; every vector is indexed.
 SAMPLE = 20_000
-TREES, LEAF = 12, 400
+TREES = 12
+#: Rows of a leaf that the trees aim at, and sampled rows that a leaf keeps at least.
+LEAF, _LEAST = 400, 16
 #: Recall that the search is tuned to on the sample, and how many of its vectors are asked for that.
 RECALL, _ASKED = 0.93, 100
-#: Rows met per row indexed, from which tuning chooses. Rows met in several trees count each time.
-_EFFORTS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 1.0, 1.3, 1.7, 2.5, 4.0)
-_BLOCK_ROWS = 4_096
+#: Rows and visiting queries that one task meets at a time.
+_BLOCK_ROWS, _BLOCK_VISITS = 4_096, 8_192
 
 
 @dataclass
@@ -98,30 +99,36 @@ def fit(x: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 11) ->
     return Forest(np.array(normals).reshape(-1, d), np.array(offsets), np.array(left, np.int64), np.array(right, np.int64), roots, leaves)
 
 
-def tune(forest: Forest, x: np.ndarray, k: int, recall: float = RECALL, seed: int = 5) -> float:
-    """Rows that a query has to meet per row indexed, for ``recall`` of its k nearest among the sample ``x``.
-
-    Structured data need few; without structure no tree helps much, and the answer says so. Among more rows
-    the same effort finds at least as much: nearest neighbours then are nearer.
-    """
+def _needed(forest: Forest, x: np.ndarray, k: int, recall: float, seed: int) -> float:
+    """Rows that a query has to meet, over all trees, for ``recall`` of its k nearest among ``x``."""
     leaf = forest.route(x)
     sizes = np.bincount(leaf.ravel(), minlength=forest.leaves)
-    asked = np.random.default_rng(seed).permutation(len(x))[:_ASKED]
-    true, ranks = [], []
-    for i in asked:
+    met = [np.zeros(1)]
+    for i in np.random.default_rng(seed).permutation(len(x))[:_ASKED] if len(x) > 1 else ():
         d = ((x - x[i]) ** 2).sum(axis=1)
         d[i] = np.inf
-        true.append(np.argsort(d, kind="stable")[: min(k, len(x) - 1)])
+        true = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
         # when each leaf is met
         order = forest.search(x[i], sizes, int(sizes.sum()), 0)
         when = np.full(forest.leaves, np.inf)
-        when[order] = np.cumsum(sizes[order]) - sizes[order]
-        ranks.append(when[leaf[true[-1]]].min(axis=1))
-    met = np.concatenate(ranks) if ranks else np.zeros(1)
-    for effort in _EFFORTS:
-        if (met < effort * len(x)).mean() >= recall:
-            return effort
-    return float(len(forest.roots))
+        when[order] = np.cumsum(sizes[order])
+        met.append(when[leaf[true]].min(axis=1))
+    return float(np.quantile(np.concatenate(met), recall))
+
+
+def tune(forest: Forest, x: np.ndarray, rows: int, k: int, recall: float = RECALL, seed: int = 5) -> int:
+    """Rows that a query has to meet among ``rows`` indexed ones for ``recall`` of its k nearest.
+
+    Measured by brute force within the sample ``x`` and within a quarter of it; the power by which the two
+    differ, from 0 to 1, carries on to all rows. Structured data need few rows however many there are; without
+    structure no tree helps much, the power is 1, and the answer says so.
+    """
+    whole = max(1.0, _needed(forest, x, k, recall, seed))
+    if rows <= len(x):
+        return int(np.ceil(whole))
+    part = max(1.0, _needed(forest, x[:: 4], k, recall, seed))
+    power = float(np.clip(np.log(whole / part) / np.log(4), 0, 1))
+    return int(np.ceil(1.1 * whole * (rows / len(x)) ** power))
 
 
 def usable(vector: Column) -> Column:
@@ -145,27 +152,42 @@ def _tally(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel(), pa.int64()), pa.array(ids)], ["leaf", "vec_id"])
 
 
-def _place(batches: Iterator[pa.RecordBatch], forest: Forest, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _place(batches: Iterator[pa.RecordBatch], forest: Forest, blocks: np.ndarray, visits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Every vector in its leaf of each tree, in one of the leaf's blocks, once for each block of visiting queries."""
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
             leaf = forest.route(_matrix(part.column(1)))
             rows = np.repeat(np.arange(len(leaf)), leaf.shape[1])
-            ids, spread = (part.column(c).to_numpy()[rows] for c in (0, 2))
             leaf = leaf.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(spread % blocks[leaf]), pa.array(ids), part.column(1).take(pa.array(rows))], ["leaf", "block", "vec_id", "vector"])
+            times = visits[leaf]  # a leaf that no query visits needs no rows
+            rows, leaf = np.repeat(rows, times), np.repeat(leaf, times)
+            asked = np.arange(len(leaf)) - np.repeat(np.cumsum(times) - times, times)
+            ids, spread = (part.column(c).to_numpy()[rows] for c in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(spread % blocks[leaf]), pa.array(asked, pa.int64()), pa.array(ids), part.column(1).take(pa.array(rows))], ["leaf", "block", "asked", "vec_id", "vector"])
+
+
+def _search(batches: Iterator[pa.RecordBatch], forest: Forest, sizes: np.ndarray, candidates: int) -> Iterator[pa.RecordBatch]:
+    """The leaves that each query visits."""
+    for batch in batches:
+        found = [forest.search(q, sizes, candidates, len(forest.roots)) for q in (_matrix(batch.column(1)) if batch.num_rows else ())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], ["query_id", "vector", "leaves"])
 
 
-def _visit(batches: Iterator[pa.RecordBatch], forest: Forest, sizes: np.ndarray, blocks: np.ndarray, candidates: int) -> Iterator[pa.RecordBatch]:
+def _visit(batches: Iterator[pa.RecordBatch], blocks: np.ndarray, visits: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        leaf, block, rows = [], [], []
-        for i, q in enumerate(_matrix(batch.column(1)) if batch.num_rows else ()):
-            for x in forest.search(q, sizes, candidates, len(forest.roots)):
-                leaf += [x] * blocks[x]
-                block += range(blocks[x])
-                rows += [i] * blocks[x]
-        rows = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(block, pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows)], ["leaf", "block", "query_id", "vector"])
+        spread = mix64(batch.column(0).to_numpy().astype(np.uint64)) >> np.uint64(1)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            lists = part.column(2)
+            leaf = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+            n = blocks[leaf]
+            block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            leaf, row = np.repeat(leaf, n), np.repeat(row, n)
+            asked = spread[at + row].astype(np.int64) % visits[leaf]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(block), pa.array(asked), part.column(0).take(take), part.column(1).take(take)], ["leaf", "block", "asked", "query_id", "vector"])
 
 
 def _rank(rows: pa.Table, visits: pa.Table, k: int) -> pa.Table:
@@ -191,12 +213,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = S
     """query_id, rank, vec_id, score: each query's k nearest among the candidates found, by exact distance.
 
     ``vectors``, ``queries``: (vec_id, embedding). The hyperplanes are fitted on at most ``sample`` vectors,
-    the first in a hashed order of the rows, one of each vec_id; all vectors are indexed. A query walks all
-    trees through one priority queue of margins until the leaves it has met hold a share of all ids (each leaf's
-    distinct ones); that share is tuned to ``recall`` by brute force within the sample.
-    Leaves of any size are cut into blocks of some thousand rows. Ties go to the smaller vec_id; a query's own
+    the first in a hashed order of the rows, one of each vec_id; all vectors are indexed. The more rows there
+    are per sampled one, the finer the trees, down to leaves of a few sampled rows. A query walks all
+    trees through one priority queue of margins until the leaves it has met hold as many ids (each leaf's
+    distinct ones) as ``recall`` needs by brute force within the sample, carried on to all rows by the power
+    at which it grows there. Leaves of any size are cut into blocks of some thousand rows, and their visitors
+    too. Ties go to the smaller vec_id; a query's own
     id is no candidate. Vectors that are null, zero, hold null or non-finite components or have another
     length than most take no part. Rows that repeat a vec_id count once per distinct vector, at its smallest distance.
+    An empty table, of vectors or of queries, gives no rows.
     """
     fine = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")).where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
     vectors, queries = fine(vectors), fine(queries)
@@ -205,24 +230,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = S
     if lengths is None:
         return spark.createDataFrame([], out)
     vectors, queries = (x.where(F.size("vector") == lengths.n) for x in (vectors, queries))
-    spread = F.xxhash64("vec_id", "vector")
+    spread = F.xxhash64("vec_id", "vector").bitwiseAND((1 << 63) - 1)
     vectors = materialise(vectors.distinct().withColumn("spread", spread), "vectors")
+    total = vectors.count()
     picked = vectors.orderBy("spread", "vec_id").limit(sample).toArrow()
     once = np.sort(np.unique(picked.column("vec_id").to_numpy(), return_index=True)[1])
     known = _matrix(picked.column("vector").combine_chunks())[once]
-    forest = fit(known, trees, leaf)
-    effort = tune(forest, known, k, recall)
+    forest = fit(known, trees, max(min(leaf, _LEAST), leaf * len(known) // total))
     each = map_arrow(vectors, partial(_tally, forest=forest), "leaf long, vec_id long").groupBy("leaf", "vec_id").agg(F.count(F.lit(1)).alias("n"))
     tally = each.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids")).collect()  # leaves: bounded by the sample
     sizes, held = np.zeros(forest.leaves, np.int64), np.zeros(forest.leaves, np.int64)
     for r in tally:
         sizes[r.leaf], held[r.leaf] = r.ids, r.n
-    blocks = np.maximum(1, -(-held // _BLOCK_ROWS))
-    candidates = max(10 * k, int(effort * sizes.sum() / trees))
+    candidates = max(10 * k, tune(forest, known, int(sizes.sum() // trees), k, recall))
     kind = vectors.schema["vector"].dataType.simpleString()
-    placed = map_arrow(vectors, partial(_place, forest=forest, blocks=blocks), f"leaf long, block long, vec_id long, vector {kind}")
-    visits = map_arrow(queries, partial(_visit, forest=forest, sizes=sizes, blocks=blocks, candidates=candidates), f"leaf long, block long, query_id long, vector {kind}")
-    found = placed.groupBy("leaf", "block").cogroup(visits.groupBy("leaf", "block")).applyInArrow(lambda a, b: _rank(a, b, k), "query_id long, vec_id long, score double")
+    asked = materialise(map_arrow(queries, partial(_search, forest=forest, sizes=sizes, candidates=candidates), f"query_id long, vector {kind}, leaves array<long>"), "visits")
+    met = np.zeros(forest.leaves, np.int64)
+    for r in asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():
+        met[r.leaf] = r["count"]
+    blocks, visits = np.maximum(1, -(-held // _BLOCK_ROWS)), -(-met // _BLOCK_VISITS)
+    key = "leaf long, block long, asked long"
+    placed = map_arrow(vectors, partial(_place, forest=forest, blocks=blocks, visits=visits), f"{key}, vec_id long, vector {kind}")
+    visiting = map_arrow(asked, partial(_visit, blocks=blocks, visits=visits), f"{key}, query_id long, vector {kind}")
+    names = ["leaf", "block", "asked"]
+    found = placed.groupBy(*names).cogroup(visiting.groupBy(*names)).applyInArrow(lambda a, b: _rank(a, b, k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
