@@ -17,6 +17,7 @@ from .common import map_arrow, materialise, pieces, texts_of
 #: Weakly labelled rows that the scorer is fitted on, at most.
 SAMPLE = 6_000
 _BUCKETS = 1 << 14
+_STRETCH = 200
 _UPPER = bytes(range(65, 91))
 _DIGITS = b"0123456789"
 _SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -41,14 +42,15 @@ def votes(text: str) -> list[int]:
     count = lambda of: size - len(raw.translate(None, of)) if raw else 0
     signs, upper, digits = (count(x) / letters for x in (_SIGNS, _UPPER, _DIGITS))
     lower = raw.lower().split()
-    kinds = len(set(lower)) / n
+    # share of distinct words in stretches of a fixed length: long texts are no less varied for being long
+    kinds = sum(len(set(lower[i : i + _STRETCH])) for i in range(0, n, _STRETCH)) / n
     ends = count(_STOPS) / n
     mean = letters / n
     common = sum(map(_COMMON.__contains__, lower)) / n
     return [
         _vote(signs, signs > 0.12, signs < 0.06),
         _vote(mean, mean < 2.5 or mean > 9.5, 3.5 < mean < 8),
-        _vote(kinds, kinds < 0.25 and n < 5000, kinds > 0.35),
+        _vote(kinds, kinds < 0.25, kinds > 0.35),
         _vote(upper, upper > 0.3, upper < 0.1),
         _vote(digits, digits > 0.15, digits < 0.03),
         _vote(ends, ends > 0.5 or (ends < 0.01 and n > 60), 0.03 < ends < 0.3),
@@ -160,8 +162,8 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     votes: one sign per labeller (1, 0 or ? for none). Counts of all vote patterns in the corpus (3 to the
     number of labellers at most) tell, by expectation-maximisation, how often each labeller is right;
     posterior is P(good) given the votes. The linear scorer learns the posteriors of at most ``sample``
-    rows, the first in a hashed order of ids; score is its P(good), predicted whether that is 0.5 or more.
-    Null and empty texts get the length labeller's vote alone. With no rows at all nothing is returned.
+    rows, one of each id (of its texts the first), the first in a hashed order of ids; score is its P(good), predicted whether that is 0.5 or more.
+    Null and empty texts get the length labeller's vote alone. With no rows at all nothing is returned; repeated rows repeat, extra columns are not read.
     """
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -171,8 +173,9 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, votes string, posterior double, score double, predicted int")
     patterns = np.array([["?01".index(c) - 1 for c in r.votes] for r in counted])
     model = expectation_maximisation(patterns, np.array([r.n for r in counted], float))
-    chosen = F.broadcast(labelled.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    texts = sorted(tuple(r) for r in rows.join(chosen.distinct(), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect())
+    chosen = F.broadcast(labelled.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    one = rows.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = sorted(tuple(r) for r in one.collect())  # ``sample`` rows at most
     texts = [t for _, t in texts]
     w, bias = fit_scorer(texts, model.posterior(np.array([votes(t) for t in texts]).reshape(-1, len(LABELLERS))) if texts else [])
     schema = f"doc_id {kind}, votes string, posterior double, score double"

@@ -93,7 +93,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
     picks = [open_.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[k]) for k in (0, 1)]
     picked = F.broadcast(picks[0].union(picks[1]))  # as many rows as ``sample`` at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
-    rows = sorted(rows.select("doc_id", "text", "toxic").collect())  # the bounded sample
+    # one text of each id, the first: at most ``sample`` rows reach the driver, however often an id repeats
+    rows = sorted(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic").collect())
     return fit([r.text for r in rows], [r.toxic for r in rows], totals.get(1, 0) / max(1, sum(totals.values())))
 
 
@@ -126,6 +127,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents not predicted toxic, with all their columns."""
+    """The documents not predicted toxic, with all their columns; repeated rows stay or go together, null texts count as empty."""
     model, name = fit_on(docs, labels), own_prefix(docs.columns) + "toxicity"
     return with_score(docs, model, name).where(F.col(name) < THRESHOLD).drop(name)
