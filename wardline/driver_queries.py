@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .functions import colour, stats, text
 from .functions import geometry as geo
 from .functions import votes as vt
-from .operators import community, fairness, graph, merge, shapes, spatial
+from .operators import community, drawing, fairness, graph, merge, shapes, spatial
 from .plans import make
 from .schema import SCALE
+from .session import cut, shared_path
 from .sources import geojson, tables, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,8 +51,10 @@ VOTE = f"vote AS (SELECT c_nationkey AS district, {_PARTY} AS party, count(*) AS
 TV = "tv AS (SELECT id, party, votes, community_id, sum(votes) OVER (PARTITION BY id)::BIGINT AS total FROM pv JOIN pre USING (id))"
 CELL = f"cell AS (SELECT s_suppkey AS id, s_suppkey % 10 AS gx, s_suppkey // 10 AS gy, s_nationkey AS community_id, s_acctbal AS bal, (s_suppkey % 10) * {SCALE}::BIGINT AS xmin, (s_suppkey // 10) * {SCALE}::BIGINT AS ymin, ((s_suppkey % 10) + 1) * {SCALE}::BIGINT AS xmax, ((s_suppkey // 10) + 1) * {SCALE}::BIGINT AS ymax FROM supplier)"
 MASK = "mask AS (SELECT n_nationkey AS mask_id, (n_nationkey % 5) * 655360 + 65536 AS xmin, (n_nationkey // 5) * 655360 + 65536 AS ymin, (n_nationkey % 5 + 1) * 655360 + 65536 AS xmax, (n_nationkey // 5 + 1) * 655360 + 65536 AS ymax FROM nation)"
-LAND = "land AS (SELECT * FROM cell WHERE bal >= 4000)"
-STRIP = "land AS (SELECT * REPLACE (gx // 4 AS community_id) FROM cell WHERE bal >= 4000)"
+_SHIFT = f"gx + gx // 4 AS gx, gy + gy // 4 AS gy, xmin + gx // 4 * {SCALE}::BIGINT AS xmin, ymin + gy // 4 * {SCALE}::BIGINT AS ymin, xmax + gx // 4 * {SCALE}::BIGINT AS xmax, ymax + gy // 4 * {SCALE}::BIGINT AS ymax"
+#: All cells, with a gap after every fourth column and row: islands of up to sixteen.
+LAND = f"land AS (SELECT * REPLACE ({_SHIFT}) FROM cell)"
+STRIP = f"land AS (SELECT * REPLACE ({_SHIFT}, gx // 3 AS community_id) FROM cell)"
 EDGE = "edge AS (SELECT a.id AS src, b.id AS dst FROM land a JOIN land b ON (a.gy = b.gy AND abs(a.gx - b.gx) = 1) OR (a.gx = b.gx AND abs(a.gy - b.gy) = 1))"
 OVER = "ov AS (SELECT id, mask_id, (least(c.xmax, m.xmax) - greatest(c.xmin, m.xmin))::DOUBLE * (least(c.ymax, m.ymax) - greatest(c.ymin, m.ymin)) / (262144.0::DOUBLE * 262144) AS ratio FROM cell c JOIN mask m ON least(c.xmax, m.xmax) > greatest(c.xmin, m.xmin) AND least(c.ymax, m.ymax) > greatest(c.ymin, m.ymin))"
 
@@ -92,10 +95,12 @@ def _total_votes(spark: SparkSession, d: str) -> DataFrame:
     return v.join(c, "id")
 
 
-def cells(spark: SparkSession, d: str) -> DataFrame:
-    """Unit squares, scaled: id, community_id, bal, hull, holes, box, area, cx, cy, pop."""
+def cells(spark: SparkSession, d: str, islands: bool = False) -> DataFrame:
+    """Unit squares, scaled: id, community_id, bal, hull, holes, box, area, cx, cy, pop; ``islands``: with gaps after every fourth column and row."""
     s = _table(spark, d, "supplier")
     gx, gy = F.col("s_suppkey") % 10, F.expr("s_suppkey div 10")
+    if islands:
+        gx, gy = gx + F.expr("s_suppkey % 10 div 4"), gy + F.expr("s_suppkey div 10 div 4")
     s = s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("community_id"), F.col("s_acctbal").alias("bal"), (gx * SCALE).alias("xmin"), (gy * SCALE).alias("ymin"), ((gx + 1) * SCALE).alias("xmax"), ((gy + 1) * SCALE).alias("ymax"))
     ring = geo.box_ring(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"))
     s = s.withColumn("hull", ring).withColumn("holes", F.filter(F.array("hull"), lambda _: F.lit(False)))
@@ -111,7 +116,7 @@ def masks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def land(spark: SparkSession, d: str) -> DataFrame:
-    return cells(spark, d).where("bal >= 4000")
+    return cells(spark, d, islands=True)
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -119,8 +124,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assignment(spark: SparkSession, d: str) -> DataFrame:
-    """Three vertical strips of the grid as communities."""
-    return land(spark, d).select(F.col("id").alias("node_id"), F.expr("id % 10 div 4").alias("community_id"))
+    """Vertical strips of three columns as communities."""
+    return land(spark, d).select(F.col("id").alias("node_id"), F.expr("id % 10 div 3").alias("community_id"))
 
 
 # ---- elections and populations ------------------------------------------------------------------------
@@ -525,10 +530,19 @@ def closest_island_pair(spark, d):
     return graph.closest_pairs(graph.components(nodes, edges(spark, d)).join(nodes.select("id", "cx", "cy"), "id"))
 
 
-@_query("SELECT 1 AS components, true AS connected")
+_REACH = "reach AS (SELECT id, id AS component FROM land UNION SELECT dst, component FROM reach JOIN edge ON src = reach.id), c AS (SELECT id, min(component) AS component FROM reach GROUP BY 1)"
+
+
+# neighbouring islands are two cells apart, so a shortest tree between k of them has k - 1 links of that length
+@_query(f"WITH RECURSIVE {CELL}, {LAND}, {EDGE}, {_REACH} SELECT 1 AS components, true AS connected, count(DISTINCT component) - 1 AS added, coalesce((count(DISTINCT component) - 1) * 4::DOUBLE * {SCALE} * {SCALE}, 0) AS total FROM c")
 def linked_islands(spark, d):
     nodes = land(spark, d).select("id", "cx", "cy")
-    return graph.component_count(graph.components(nodes, graph.link_islands(nodes, edges(spark, d))))
+    linked = graph.link_islands(nodes, edges(spark, d))
+    place = lambda e: nodes.select(F.col("id").alias(e), F.col("cx").alias(f"{e}x"), F.col("cy").alias(f"{e}y"))
+    d2 = F.pow(F.expr("srcx - dstx"), 2) + F.pow(F.expr("srcy - dsty"), 2)
+    new = linked.where("src < dst").join(place("src"), "src").join(place("dst"), "dst").select(d2.alias("d2")).where(F.col("d2") > float(SCALE) * SCALE)
+    added = new.agg(F.count(F.lit(1)).alias("added"), F.coalesce(F.sum("d2"), F.lit(0.0)).alias("total"))
+    return graph.component_count(graph.components(nodes, linked)).join(F.broadcast(added))  # one row each
 
 
 @_query(f"WITH {CELL}, {LAND}, {EDGE} SELECT src AS id, count(*) AS degree FROM edge GROUP BY 1")
@@ -582,7 +596,15 @@ def reock_of_rows(spark, d):
     return shapes.reock(c).withColumn("reock", r6("reock"))
 
 
-@_query()
+@_query(f"""WITH {CELL}, corner AS (SELECT DISTINCT community_id AS k, gx + i AS x, gy + j AS y FROM cell, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j)),
+pt AS (SELECT k, min(x)::DOUBLE AS x, y::DOUBLE AS y FROM corner GROUP BY k, y UNION SELECT k, max(x), y FROM corner GROUP BY k, y),
+two AS (SELECT a.k, (a.x + b.x) / 2 AS u, (a.y + b.y) / 2 AS v, ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 4 AS r2 FROM pt a JOIN pt b ON a.k = b.k AND (a.x, a.y) < (b.x, b.y)),
+tri AS (SELECT a.k, a.x, a.y, a.x ** 2 + a.y ** 2 AS a2, b.x ** 2 + b.y ** 2 AS b2, c.x ** 2 + c.y ** 2 AS c2, b.x AS bx, b.y AS b_y, c.x AS cx, c.y AS cy, 2 * (a.x * (b.y - c.y) + b.x * (c.y - a.y) + c.x * (a.y - b.y)) AS d FROM pt a JOIN pt b ON a.k = b.k AND (a.x, a.y) < (b.x, b.y) JOIN pt c ON b.k = c.k AND (b.x, b.y) < (c.x, c.y)),
+mid AS (SELECT k, x, y, (a2 * (b_y - cy) + b2 * (cy - y) + c2 * (y - b_y)) / d AS u, (a2 * (cx - bx) + b2 * (x - cx) + c2 * (bx - x)) / d AS v FROM tri WHERE d <> 0),
+circle AS (SELECT DISTINCT * FROM two UNION SELECT k, u, v, (x - u) ** 2 + (y - v) ** 2 FROM mid),
+fits AS (SELECT c.k, c.r2 FROM circle c JOIN pt USING (k) GROUP BY c.k, u, v, r2 HAVING max((x - u) ** 2 + (y - v) ** 2) <= r2 * (1 + 1e-9)),
+n AS (SELECT community_id AS k, count(*) AS n FROM cell GROUP BY 1)
+SELECT k AS community_id, round(any_value(n) / (pi() * min(r2)), 6) AS reock FROM fits JOIN n USING (k) GROUP BY k""")
 def reock(spark, d):
     return shapes.reock(cells(spark, d)).withColumn("reock", r6("reock"))
 
@@ -631,55 +653,241 @@ def absorbed_population(spark, d):
 
 
 def _nodes(spark, d):
-    """Connected states of the land: its components with at least four nodes."""
+    """The islands of the land as states, whatever their size."""
     nodes, e = land(spark, d), edges(spark, d)
     rows = nodes.join(graph.components(nodes, e).withColumnRenamed("component", "state"), "id")
-    big = rows.groupBy("state").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").select("state")
-    rows = rows.join(big, "state").select("state", F.col("id").alias("node_id"), "pop", "area", "cx", "cy", "hull")
+    rows = rows.select("state", F.col("id").alias("node_id"), "pop", "area", "cx", "cy", "hull")
     return make.with_neighbours(rows, e), e
 
 
-@_query(f"WITH RECURSIVE {CELL}, {LAND}, {EDGE}, reach AS (SELECT id, id AS component FROM land UNION SELECT dst, component FROM reach JOIN edge ON src = reach.id), c AS (SELECT id, min(component) AS component FROM reach GROUP BY 1) SELECT component AS state, count(*) AS nodes, 2::BIGINT AS communities FROM c GROUP BY 1 HAVING count(*) >= 4")
+@_query(f"WITH RECURSIVE {CELL}, {LAND}, {EDGE}, {_REACH} SELECT component AS state, count(*) AS nodes, least(2, count(*))::BIGINT AS communities FROM c GROUP BY 1")
 def contraction_invariants(spark, d):
     nodes, _ = _nodes(spark, d)
     return make.initial_plans(nodes, 2).groupBy("state").agg(F.count_distinct("node_id").alias("nodes"), F.count_distinct("community_id").alias("communities"))
 
 
-def _refined(spark, d, method, **options):
-    nodes, _ = _nodes(spark, d)
-    start = make.initial_plans(nodes, 2).select("state", "node_id", "community_id")
-    return make.refine(nodes.join(start, ["state", "node_id"]), method, **options)
+#: Every node once, as many communities as asked for (two, where there are two nodes), each in one piece, and the measure no worse than before.
+_KEPT = f"WITH RECURSIVE {CELL}, {LAND}, {EDGE}, {_REACH} SELECT component AS state, count(*) AS nodes, least(2, count(*))::BIGINT AS communities, least(2, count(*))::BIGINT AS pieces, true AS no_worse FROM c GROUP BY 1"
+
+
+def _compactness(members):
+    return community.quick_compactness(members, by="own").select("own", F.coalesce("compactness", F.lit(0.0)).alias("m"))
+
+
+def _stdev(members):
+    return community.population_deviation(members, by="own").select("own", F.col("stdev").alias("m"))
+
+
+def _population(members):
+    return community.population(members, by="own").select("own", F.col("pop").cast("double").alias("m"))
+
+
+def _kept(spark, d, method, score, gain, **options):
+    """What a refined plan keeps. ``score``: (own, m) of the communities; ``gain``: of their scores, what must not fall."""
+    nodes, e = _nodes(spark, d)
+    nodes = cut(nodes, "states")
+    start = cut(make.initial_plans(nodes, 2).select("state", "node_id", "community_id"), "start")
+    if method == "generate":
+        plan = make.generate_communities(nodes, 2, **options)
+    else:
+        plan = make.refine(nodes.join(start, ["state", "node_id"]), method, **options)
+    plan = cut(plan.select("state", "node_id", "community_id"), "plan")
 
+    def scored(of):
+        rows = nodes.join(of, ["state", "node_id"]).withColumn("own", F.concat_ws(":", "state", "community_id"))
+        return rows.select("state", "own").distinct().join(score(rows), "own").groupBy("state").agg(gain(F.col("m")).alias("score"))
 
-@_query()
+    ends = plan.select(F.col("node_id").alias("id"), F.concat_ws(":", "state", "community_id").alias("own"))
+    inner = e.join(ends.select(F.col("id").alias("src"), F.col("own").alias("a")), "src").join(ends.select(F.col("id").alias("dst"), F.col("own").alias("b")), "dst").where("a = b").select("src", "dst")
+    pieces = graph.components(ends, inner).join(plan.select(F.col("node_id").alias("id"), "state"), "id").groupBy("state").agg(F.count_distinct("component").alias("pieces"))
+    rows = plan.groupBy("state").agg(F.count_distinct("node_id").alias("nodes"), F.count_distinct("community_id").alias("communities"))
+    better = scored(plan).join(scored(start).withColumnRenamed("score", "before"), "state").select("state", (F.col("score") >= F.col("before") - 1e-9).alias("no_worse"))
+    return rows.join(pieces, "state").join(better, "state")
+
+
+@_query(_KEPT)
 def refine_steepest(spark, d):
-    return _refined(spark, d, "steepest", measure="quick_compactness")
+    return _kept(spark, d, "steepest", _compactness, F.sum, measure="quick_compactness")
 
 
-@_query()
+@_query(_KEPT)
 def refine_annealing(spark, d):
-    return _refined(spark, d, "anneal", measure="population_stdev")
+    return _kept(spark, d, "anneal", _stdev, lambda m: -F.avg(m), measure="population_stdev")
 
 
-@_query()
+@_query(_KEPT)
 def refine_compactness(spark, d):
-    return _refined(spark, d, "compactness")
+    return _kept(spark, d, "compactness", _compactness, F.min)
 
 
-@_query()
+@_query(_KEPT)
 def refine_population(spark, d):
-    return _refined(spark, d, "population", percent=5.0)
+    return _kept(spark, d, "population", _population, lambda m: F.min(m) - F.max(m), percent=5.0)
 
 
-@_query()
+@_query(_KEPT)
 def refine_spread(spark, d):
-    return _refined(spark, d, "spread", measure="population_stdev")
+    return _kept(spark, d, "spread", _stdev, lambda m: -F.avg(m), measure="population_stdev")
 
 
-@_query()
+@_query(_KEPT)
 def generate_communities(spark, d):
-    nodes, _ = _nodes(spark, d)
-    return make.generate_communities(nodes, 2)
+    # rounds trade compactness against balance: of either alone nothing is promised
+    return _kept(spark, d, "generate", _population, lambda m: F.lit(0.0) * F.sum(m))
+
+
+# ---- equality, editing, drawing ----------------------------------------------------------------------
+
+
+@_query(f"WITH {CELL} SELECT id, id % 3 <> 0 AS ring, id % 3 <> 0 AS polygon FROM cell")
+def equal_shapes(spark, d):
+    c = cells(spark, d)
+    moved = F.when(F.col("id") % 3 == 0, geo.affine(F.col("hull"), F.lit(1), F.lit(1.0), F.lit(1), F.lit(0.0))).otherwise(geo.affine(F.col("hull"), F.lit(1), F.lit(0.0), F.lit(1), F.lit(0.0)))
+    own = geo.affine(F.col("hull"), F.lit(1), F.lit(0.0), F.lit(1), F.lit(0.0))
+    shape = lambda r: F.struct(r.alias("hull"), F.col("holes").alias("holes"))
+    return c.select("id", geo.equal(own, moved).alias("ring"), geo.equal(shape(own), shape(moved)).alias("polygon"))
+
+
+@_query(f"WITH {CELL}, {LAND} SELECT a.id AS a, b.id AS b, abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1 AS one FROM land a JOIN land b ON a.id < b.id AND abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1")
+def union_test(spark, d):
+    a = land(spark, d).select(F.col("id").alias("a"), F.col("hull").alias("ring"), "xmin", "xmax", "ymin", "ymax")
+    b = land(spark, d).select(F.col("id").alias("b"), "hull", "xmin", "xmax", "ymin", "ymax")
+    return spatial.box_join(a, b).where("a < b").select("a", "b", geo.union_is_one(F.col("ring"), F.col("hull")).alias("one"))
+
+
+@_query(f"WITH {CELL} SELECT id, 2 AS rings, 2::DOUBLE * {SCALE} * {SCALE} AS area, 0 AS touches FROM cell")
+def split_touching_rings(spark, d):
+    """A cell and the one diagonally above it as one ring that touches itself in their common corner."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
+    x2, y2 = x1 + SCALE, y1 + SCALE
+    eight = F.array(*[geo.point(x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1), (x0, y1))])
+    rings = F.col("rings")
+    total = F.aggregate(rings, F.lit(0.0), lambda t, r: t + geo.area(r))
+    left = F.aggregate(rings, F.lit(0), lambda t, r: t + F.size(geo.repeated_vertices(r)))
+    return cells(spark, d).select("id", geo.simple_rings(eight).alias("rings")).select("id", F.size(rings).alias("rings"), total.alias("area"), left.alias("touches"))
+
+
+@_query(f"WITH {CELL} SELECT id AS node_id, CASE WHEN id = 2 THEN 99 ELSE gx // 3 END AS community_id FROM cell WHERE id <> 1")
+def precinct_moves(spark, d):
+    a = assignment(spark, d)
+    return community.with_precinct(community.without_precinct(a, 1, 0), 2, 99)
+
+
+@_query(f"WITH {PV}, {PRE}, {TV}, m AS (SELECT community_id, party, avg(votes::DOUBLE / total) AS mean FROM tv GROUP BY ALL), l AS (SELECT k.community_id, p.ordinal, p.party, coalesce(m.mean, 0) AS mean FROM (SELECT DISTINCT community_id FROM m) k CROSS JOIN (VALUES (1, 'dem'), (2, 'rep'), (3, 'green')) p(ordinal, party) LEFT JOIN m USING (community_id, party)) SELECT community_id, ordinal, party, round(mean, 6) AS mean FROM l UNION ALL SELECT community_id, 0, 'other', round(1 - sum(mean), 6) FROM l GROUP BY 1")
+def ordered_parties(spark, d):
+    means = community.party_means(_total_votes(spark, d))
+    return community.ordered_parties(means, ["dem", "rep", "green"]).withColumn("mean", r6("mean"))
+
+
+@_query(f"WITH {_PT}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, least(800::DOUBLE / (max(x) - min(x)), 600::DOUBLE / (max(y) - min(y))) AS s FROM pt) SELECT vec_id, round((x - x0) * s + (800 - (x1 - x0) * s) / 2, 6) AS x, round(600 - ((y - y0) * s + (600 - (y1 - y0) * s) / 2), 6) AS y FROM pt, b")
+def canvas_points(spark, d):
+    return drawing.fit_to_canvas(points(spark, d).select("vec_id", "x", "y"), 800, 600).select("vec_id", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@_query("WITH x AS (SELECT vec_id, embedding[1]::DOUBLE AS t FROM embeddings) SELECT vec_id, trunc(255 * least(1, 1 + greatest(least(t, 1), -1)))::INT AS red, trunc(255 * least(1, 1 - greatest(least(t, 1), -1)))::INT AS blue, rpad(repeat('=', floor(greatest(least(t, 1), 0) * 30)::INT), 30, ' ') AS bar, round(10 + 30 * t, 6) AS mixed FROM x")
+def lean_colours(spark, d):
+    t = F.col("embedding")[0].cast("double")
+    rows = drawing.coloured_by_lean(_table(spark, d, "embeddings"), t)
+    return rows.select("vec_id", F.col("colour.r").alias("red"), F.col("colour.b").alias("blue"), text.progress_bar(t).alias("bar"), r6(colour.lerp(F.lit(10.0), F.lit(40.0), t)).alias("mixed"))
+
+
+@_query(f"WITH {CELL} SELECT id, (id % 7 + 1) * pow({SCALE}, 2) AS area, 4 * (3 + id % 5)::DOUBLE AS hull, 'M ' || xmin || ' ' || ymin AS start FROM cell")
+def shape_rows(spark, d):
+    """Areas of multipolygons, perimeters with holes, and SVG paths of the cells."""
+    c = cells(spark, d)
+    part = F.struct("hull", "holes")
+    many = F.transform(F.sequence(F.lit(1), F.col("pop").cast("int")), lambda _: part)
+    side = (3 + F.col("id") % 5) / 2.0
+    box = lambda r: geo.box_ring(-r, -r, r, r)
+    ring = geo.polygon_perimeter(box(side / 2), F.array(box(side / 2)))
+    rows = drawing.map_rows(c, F.col("hull"), F.lit("grey"), id=F.col("id"), area=geo.multipolygon_area(many), hull=ring)
+    return rows.select("id", "area", "hull", F.substring_index(F.regexp_replace("path", r"\.0", ""), " L ", 1).alias("start"))
+
+
+@_query("SELECT vec_id, 3 + vec_id % 6 AS n, round((3 + vec_id % 6) * 2 * sin(pi() / (3 + vec_id % 6)), 6) AS length, round((3 + vec_id % 6) / 2.0::DOUBLE * sin(2 * pi() / (3 + vec_id % 6)), 6) AS area, true AS holds FROM embeddings")
+def regular_rings(spark, d):
+    n = (3 + F.col("vec_id") % 6).cast("int")
+    ring = geo.regular_ring(n, F.lit(1.0))
+    big = geo.box_ring(F.lit(-2.0), F.lit(-2.0), F.lit(2.0), F.lit(2.0))
+    return _table(spark, d, "embeddings").select("vec_id", F.size(ring).cast("long").alias("n"), r6(geo.perimeter(ring)).alias("length"), r6(geo.area(ring)).alias("area"), geo.first_inside(ring, big).alias("holds"))
+
+
+@_query(f"WITH {CELL}, m AS (SELECT community_id, avg(xmin + {SCALE // 2}) AS mx, avg(ymin + {SCALE // 2}) AS my, count(*) * {SCALE}::DOUBLE * {SCALE} AS area, sum(id % 7 + 1)::BIGINT AS pop FROM cell GROUP BY 1), k AS (SELECT any_value(area) / nullif(pi() * max((xmin + {SCALE // 2} - mx) ** 2 + (ymin + {SCALE // 2} - my) ** 2), 0) AS c FROM cell JOIN m USING (community_id) GROUP BY community_id), i AS (SELECT sum(pop)::BIGINT // count(*) AS ideal FROM m), r AS (SELECT 1 - abs(1 - pop::DOUBLE / ideal) AS r FROM m, i) SELECT round(((SELECT avg(c) FROM k) + avg(CASE WHEN r >= 0.99 THEN 1.0::DOUBLE ELSE r END)) / 2, 6) AS metric, (SELECT sum(area) FROM m) AS area FROM r")
+def scalarized_metric(spark, d):
+    c = cells(spark, d)
+    metric = community.scalarized(community.quick_compactness(c), community.population(c))
+    return metric.select(r6("metric").alias("metric")).join(community.areas(c).agg(F.sum("area").alias("area")))  # one row each
+
+
+# ---- files --------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {PV} SELECT id, party, votes FROM pv WHERE party IN ('dem', 'rep', 'green')")
+def delimited_source(spark, d):
+    """An election table written as tab-separated text, its source kind told by suffix, read under a key map."""
+    wide = _wide(spark, d, ("dem", "rep", "green"))
+    name = shared_path(spark, "votes") + ".tab"
+    line = F.concat_ws("\t", F.concat(F.lit('"'), "id", F.lit('"')), *[F.when(F.col(c) > 0, F.col(c).cast("string")).otherwise("none") for c in ("dem", "rep", "green")])
+    head = spark.range(1).select(F.lit("id\tD08\tR08\tG08").alias("line"))
+    writers.write_text(head.union(wide.select(line)).coalesce(1), name)
+    assert tables.reader_for(name) == ("tab", "none")
+    keys = tables.parse_keys('{"ELE": "id", "DEM": "D08", "REP": "R08", "GRE": "G08"}')
+    rows = tables.read_delimited(spark, name).where(F.col("cells")[0] != "id")
+    cells_ = rows.select(*[F.col("cells")[i].alias(c) for i, c in enumerate(("id", "D08", "R08", "G08"))])
+    return tables.votes_long(cells_, keys["ELE"], tables.party_columns(keys)).select(F.col("id").cast("long").alias("id"), "party", "votes")
+
+
+@_query(f"WITH {CELL}, k AS (SELECT DISTINCT gy FROM cell), n AS (SELECT gy, row_number() OVER (ORDER BY gy) - 1 AS p FROM k) SELECT id, p AS community_id, CASE WHEN gy % 3 = 1 THEN NULL ELSE gy + 0.5::DOUBLE END AS absolute, CASE WHEN gy % 3 = 1 THEN NULL ELSE gy * 2.0::DOUBLE END AS collapsed, CASE WHEN gy % 3 = 1 THEN NULL ELSE gy::DOUBLE END AS dem FROM cell JOIN n USING (gy)")
+def quantified_plan(spark, d):
+    """Scores written as the three lines of a score file, some of them no numbers, read and put to a plan by position."""
+    c = cells(spark, d).withColumn("gy", F.expr("id div 10"))
+    s = c.select("gy").distinct()
+    odd = F.col("gy") % 3 == 1
+    scores = s.select(F.col("gy").alias("district_id"), F.when(odd, "x").otherwise((F.col("gy") + 0.5).cast("string")).alias("absolute"), (F.col("gy") * 2.0).alias("collapsed"), F.create_map(F.lit("DEM"), F.col("gy").cast("double")).alias("parties"))
+    table = tables.quantification_table(writers.quantification_text(scores))
+    first = s.select("gy", (F.rank().over(_window("gy")) - 1).alias("community_id"))  # one row per line of cells
+    plan = c.drop("community_id").join(first, "gy").select("id", "community_id")
+    return tables.quantified_plan(plan, table).select("id", F.col("community_id").cast("long").alias("community_id"), "absolute", "collapsed", F.col("parties")["DEM"].alias("dem"))
+
+
+@_query(f"WITH {CELL} SELECT id, 2 AS parts, 2::DOUBLE * {SCALE} * {SCALE} - {SCALE // 2}::DOUBLE * {SCALE // 2} AS area, (id % 7 + 1)::DOUBLE AS pop FROM cell")
+def geojson_source(spark, d):
+    """Cells with a hole and a second part written as GeoJSON features and read again."""
+    q = SCALE // 4
+    c = cells(spark, d)
+    hole = geo.box_ring(F.col("xmin") + q, F.col("ymin") + q, F.col("xmax") - q, F.col("ymax") - q)
+    away = geo.box_ring(F.col("xmin") + 100 * SCALE, F.col("ymin"), F.col("xmax") + 100 * SCALE, F.col("ymax"))
+    shapes_ = F.array(F.struct(F.col("hull").alias("hull"), F.array(hole).alias("holes")), F.struct(away.alias("hull"), F.col("holes").alias("holes")))
+    f = writers.multipolygon_feature(shapes_, F.struct(F.col("id").cast("string").alias("GEOID"), F.col("pop").cast("string").alias("POP100")))
+    name = shared_path(spark, "precincts") + ".json"
+    whole = F.concat(F.lit('{"type":"FeatureCollection","features":['), f, F.lit("]}"))
+    writers.write_text(c.select(whole), name)
+    # one collection per line and file part: lines are files of their own to a JSON reader
+    rows = geojson.read_precincts(spark, name, {"GEO": "GEOID", "POP": "POP100"}, lines=True)
+    area = geo.polygon_area(F.col("hull"), F.col("holes"))
+    return rows.groupBy(F.col("id").cast("long").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("parts"), F.sum(area).alias("area"), F.max("pop").alias("pop"))
+
+
+@_query(f"WITH {CELL}, {LAND}, {EDGE} SELECT src, dst, a.community_id FROM edge JOIN cell a ON a.id = src")
+def state_files(spark, d):
+    """States written and read again, and a graph from its node and edge lists."""
+    name = shared_path(spark, "state")
+    writers.write_state(cells(spark, d).select("id", "community_id", F.col("community_id").alias("state")), name)
+    back = spark.read.parquet(name)
+    e = graph.light_copy(edges(spark, d))
+    texts = e.groupBy("src").agg(F.to_json(F.collect_list(F.array("src", "dst"))).alias("edges")).withColumn("nodes", F.to_json(F.array("src")))
+    nodes, pairs = tables.read_graph(F.col("nodes"), F.col("edges"))
+    read = texts.select(nodes[0].alias("id"), F.explode(pairs).alias("p")).select("id", F.col("p")[0].alias("src"), F.col("p")[1].alias("dst"))
+    return graph.precincts_of(read, back.select("id", "community_id").withColumnRenamed("id", "own").withColumn("id", F.col("own"))).join(read, "id").select("src", "dst", "community_id").distinct()
+
+
+@_query(f"WITH {CELL} SELECT id, round((xmin / {SCALE}::DOUBLE - a.x0) / (a.x1 - a.x0), 9) AS x, round((ymin / {SCALE}::DOUBLE - a.y0) / (a.y1 - a.y0), 9) AS y FROM cell, (SELECT min(gx) AS x0, max(gx) + 1 AS x1, min(gy) AS y0, max(gy) + 1 AS y1 FROM cell) a")
+def fitted_rings(spark, d):
+    """Rings stretched to the unit box."""
+    c = cells(spark, d)
+    unit = spark.range(1).select(F.lit(0.0).alias("xmin"), F.lit(1.0).alias("xmax"), F.lit(0.0).alias("ymin"), F.lit(1.0).alias("ymax"))
+    out = merge.fit_to_box(c.select("id", "hull", "xmin", "xmax", "ymin", "ymax"), unit)
+    return out.select("id", F.round(F.col("hull")[0].x, 9).alias("x"), F.round(F.col("hull")[0].y, 9).alias("y"))
 
 
 def queries() -> dict[str, Query]:

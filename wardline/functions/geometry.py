@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import RING_OPEN, SEVERAL_PARTS
 from ..schema import SCALE
 
 
@@ -203,3 +204,49 @@ def rook_overlap(a: Column, b: Column) -> Column:
     t2 = (dx * (b.x2 - a.x1) + dy * (b.y2 - a.y1)) / size2
     both = F.least(F.lit(1.0), F.greatest(t1, t2)) - F.greatest(F.lit(0.0), F.least(t1, t2))
     return F.when(flat, F.greatest(both, F.lit(0.0)) * F.sqrt(size2)).otherwise(F.lit(0.0))
+
+
+def equal(a: Column, b: Column) -> Column:
+    """Points by coordinates, rings by their vertices in order, polygons by hull and holes; nulls equal each other."""
+    return a.eqNullSafe(b)
+
+
+def checked_closed(ring: Column) -> Column:
+    """[G33] The ring; one whose last vertex is not its first raises."""
+    return F.when(ring[0] == F.element_at(ring, -1), ring).otherwise(F.raise_error(F.lit(RING_OPEN)))
+
+
+def only_part(parts: Column) -> Column:
+    """[G34] A precinct's single part; several raise."""
+    return F.when(F.size(parts) == 1, parts[0]).otherwise(F.raise_error(F.lit(SEVERAL_PARTS)))
+
+
+def crossing(a: Column, b: Column) -> Column:
+    """Whether two segments cross within both."""
+    side = lambda s, x, y: F.signum((s.x2 - s.x1).cast("double") * (y - s.y1) - (s.y2 - s.y1).cast("double") * (x - s.x1))
+    return (side(a, b.x1, b.y1) * side(a, b.x2, b.y2) < 0) & (side(b, a.x1, a.y1) * side(b, a.x2, a.y2) < 0)
+
+
+def union_is_one(a: Column, b: Column) -> Column:
+    """[X3] Whether two rings' union is a single shape: a common line, a crossing, or one within the other. Common points are not enough."""
+    meet = F.exists(segments(a), lambda s: F.exists(segments(b), lambda t: (rook_overlap(s, t) > 0) | crossing(s, t)))
+    return meet | ring_inside(a, b) | ring_inside(b, a)
+
+
+def simple_rings(ring: Column) -> Column:
+    """[X9] The open ring split at vertices that it visits again: array of rings that touch themselves nowhere.
+
+    Walked once: coming back to a vertex of the way so far cuts off the loop in between. Loops of fewer than
+    three vertices hold no area and go.
+    """
+    none = F.slice(F.array(ring), 1, 0)
+    start = F.struct(F.slice(ring, 1, 0).alias("way"), none.alias("found"))
+
+    def step(t: Column, p: Column) -> Column:
+        at = F.array_position(t.way, p).cast("int")
+        loop = F.slice(t.way, F.greatest(at, F.lit(1)), F.size(t.way))
+        found = F.when((at > 0) & (F.size(loop) > 2), F.concat(t.found, F.array(loop))).otherwise(t.found)
+        way = F.when(at > 0, F.slice(t.way, 1, at)).otherwise(F.concat(t.way, F.array(p)))
+        return F.struct(way.alias("way"), found.alias("found"))
+
+    return F.aggregate(ring, start, step, lambda t: F.when(F.size(t.way) > 2, F.concat(t.found, F.array(t.way))).otherwise(t.found))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import PrecinctNotInGroup
 from ..functions import stats
 from ..functions.votes import community_lean, share
 
@@ -122,3 +123,30 @@ def party_totals(votes: DataFrame) -> DataFrame:
 def plan_score(members: DataFrame, score: Callable[[DataFrame], DataFrame]) -> float:
     """[U2] A whole plan's score as a number, for optimisers that take any such callable."""
     return float(score(members).first()[0])
+
+
+def with_precinct(assignment: DataFrame, node: int, community: int) -> DataFrame:
+    """[G20] The assignment with a precinct in a community, wherever it was before."""
+    kinds = assignment.schema
+    own = assignment.sparkSession.range(1).select(F.lit(node).cast(kinds["node_id"].dataType).alias("node_id"), F.lit(community).cast(kinds["community_id"].dataType).alias("community_id"))
+    return assignment.where(F.col("node_id") != node).select("node_id", "community_id").union(own)
+
+
+def without_precinct(assignment: DataFrame, node: int, community: int) -> DataFrame:
+    """[G20, G33] The assignment without a precinct of a community; raises where the community does not hold it."""
+    held = (F.col("node_id") == node) & (F.col("community_id") == community)
+    if assignment.where(held).isEmpty():
+        raise PrecinctNotInGroup(f"{node} is not in {community}")
+    return assignment.where(~held)
+
+
+def ordered_parties(means: DataFrame, parties: Sequence[str], by: str = "community_id") -> DataFrame:
+    """[G30] (by, ordinal, party, mean): what the listed parties leave of the whole first, as 'other', then the parties as listed.
+
+    ``means``: by, party, mean, as party_means() gives them; a party that a community lacks has 0.
+    """
+    order = F.array(*[F.struct(F.lit(i + 1).alias("ordinal"), F.lit(p).alias("party")) for i, p in enumerate(parties)])
+    wanted = means.select(by).distinct().withColumn("p", F.explode(order)).select(by, "p.ordinal", "p.party")
+    listed = wanted.join(means.select(by, "party", "mean"), [by, "party"], "left").select(by, "ordinal", "party", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+    rest = listed.groupBy(by).agg(F.lit(0).alias("ordinal"), F.lit("other").alias("party"), (1 - F.sum("mean")).alias("mean"))
+    return rest.unionByName(listed)

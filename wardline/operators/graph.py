@@ -31,6 +31,11 @@ def light_copy(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst")
 
 
+def precincts_of(nodes: DataFrame, precincts: DataFrame, key: str = "id") -> DataFrame:
+    """[G28] The precincts that a graph's nodes stand for."""
+    return nodes.select(key).join(precincts, key)
+
+
 def contract(edges: DataFrame, a: int, b: int, new: int) -> DataFrame:
     """[G12, X8] Two nodes become one; its neighbours are theirs, without loops or repetitions."""
     one = lambda c: F.when(F.col(c).isin(a, b), F.lit(new)).otherwise(F.col(c)).alias(c)
@@ -51,19 +56,18 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame
     node with many neighbours is only ever aggregated, never gathered.
     """
     links = cut(edges.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "links")
-    mark = None
     while True:
+        # done once nobody has a smaller neighbour and a larger one, or two smaller ones
+        ends = links.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("n").agg(F.max("up").alias("up"), F.sum("down").alias("down")).where("down > 1 or (up = 1 and down = 1)").isEmpty():
+            break
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "low")
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = cut(both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").distinct(), "large")
-        low = cut(large.groupBy("b").agg(F.min("a").alias("m")), "low")
+        low = large.groupBy("b").agg(F.min("a").alias("m"))
         near = large.join(low, "b")
         small = near.select(F.col("m").alias("a"), F.col("a").alias("b")).union(near.select(F.col("m").alias("a"), "b"))
         links = cut(small.where("a < b").distinct(), "links")
-        now = links.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == mark:
-            break
-        mark = now
     named = links.select(F.col("b").alias(key), F.col("a").alias("component"))
     return nodes.select(key).distinct().join(named, key, "left").select(key, F.coalesce("component", key).alias("component"))
 

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import point_in_ring, polygon_area, ring_inside
+from ..functions.geometry import area as ring_area
+from ..functions.geometry import bounding_box, point_in_ring, polygon_area, ring_inside
 from ..functions.text import contains_any
+from ..session import cut
 from .spatial import box_join
 
 
@@ -58,26 +60,37 @@ def apportion(parts: DataFrame, columns: Sequence[str], key: str = "id", whole:
 def absorb(precincts: DataFrame, columns: Sequence[str], rule: str = "centroid_in_hole", key: str = "id") -> DataFrame:
     """[J5, J6] Precincts within others are absorbed: the container gains their values, they go, holes go.
 
-    ``precincts``: key, hull, holes, cx, cy, bounding box and ``columns``. ``rule``: 'centroid_in_hole', or
-    'vertices_in_hull'. Each inner precinct goes to one container, the smallest key; containers that are
-    themselves absorbed pass on what they would have gained.
+    ``precincts``: key, hull, holes, cx, cy, bounding box and ``columns``. ``rule``: 'centroid_in_hole' (and
+    its box within the hole's), or 'vertices_in_hull'. A container is larger than what it holds, of equal
+    rings the smaller key. However deeply precincts nest, the outermost container gets the values.
     """
     a = precincts.select(F.col(key).alias("inner"), F.col("hull").alias("ring"), "cx", "cy", "xmin", "xmax", "ymin", "ymax")
     b = precincts.select(F.col(key).alias("outer"), "hull", "holes", "xmin", "xmax", "ymin", "ymax")
-    pairs = box_join(a, b).where("inner <> outer")
+    size, other = ring_area(F.col("hull")), ring_area(F.col("ring"))
+    pairs = box_join(a, b).where((size > other) | ((size == other) & (F.col("outer") < F.col("inner"))))
     if rule == "centroid_in_hole":
-        held = F.exists(F.coalesce(F.col("holes"), F.array()), lambda h: point_in_ring(F.col("cx"), F.col("cy"), h))
+
+        def within(hole: Column) -> Column:
+            box = bounding_box(hole)
+            fits = (F.col("xmin") >= box["xmin"]) & (F.col("xmax") <= box["xmax"]) & (F.col("ymin") >= box["ymin"]) & (F.col("ymax") <= box["ymax"])
+            return fits & point_in_ring(F.col("cx"), F.col("cy"), hole)
+
+        held = F.exists(F.coalesce(F.col("holes"), F.array()), within)
     elif rule == "vertices_in_hull":
         held = ring_inside(F.col("ring"), F.col("hull"))
     else:
         raise ValueError(f"unknown rule: {rule}")
-    inner = pairs.where(held).groupBy("inner").agg(F.min("outer").alias("outer"))
-    up = inner.select(F.col("inner").alias("outer"), F.col("outer").alias("next"))
-    inner = inner.join(up, "outer", "left").select("inner", F.coalesce("next", "outer").alias("outer"))
-    gain = precincts.join(inner, precincts[key] == inner["inner"]).groupBy("outer").agg(*[F.sum(c).alias(f"gain_{c}") for c in columns])
-    kept = precincts.join(inner, precincts[key] == inner["inner"], "left_anti").join(gain, F.col(key) == F.col("outer"), "left").drop("outer")
-    for c in columns:
-        kept = kept.withColumn(c, F.col(c) + F.coalesce(f"gain_{c}", F.lit(0))).drop(f"gain_{c}")
+    inner = cut(pairs.where(held).groupBy("inner").agg(F.min("outer").alias("outer")), "absorbed")
+    while True:  # pointers double: as many turns as the depth has binary digits
+        up = inner.select(F.col("inner").alias("outer"), F.col("outer").alias("next"))
+        if inner.join(up, "outer", "left_semi").isEmpty():
+            break
+        inner = cut(inner.join(up, "outer", "left").select("inner", F.coalesce("next", "outer").alias("outer")), "absorbed")
+    own = [f"__gain_{i}" for i in range(len(columns))]
+    gain = precincts.join(inner, precincts[key] == inner["inner"]).groupBy(F.col("outer").alias("__outer")).agg(*[F.sum(c).alias(g) for c, g in zip(columns, own)])
+    kept = precincts.join(inner, precincts[key] == inner["inner"], "left_anti").join(gain, F.col(key) == F.col("__outer"), "left").drop("__outer")
+    for c, g in zip(columns, own):
+        kept = kept.withColumn(c, F.col(c) + F.coalesce(g, F.lit(0))).drop(g)
     return kept.withColumn("holes", F.filter("holes", lambda _: F.lit(False)))
 
 

@@ -220,8 +220,9 @@ def _some_border(plan: Plan, rng: random.Random) -> list[tuple[int, int]]:
 
 def improve_compactness(plan: Plan, rounds: int = 10, patience: int = 20) -> Plan:
     """[G23] Each community gives border nodes beyond the radius of a circle of its area and takes those within;
-    the best state so far is kept, and ``patience`` rounds without improvement end it."""
-    best, top, idle = plan.copy(), average(plan, quick_compactness), 0
+    the state whose least compact community is best so far is kept, and ``patience`` rounds without improvement end it."""
+    least = lambda: min(quick_compactness(plan, c) for c in plan.members)
+    best, top, idle = plan.copy(), least(), 0
     while idle < patience:
         for c in sorted(plan.members):
             for _ in range(rounds):
@@ -233,7 +234,7 @@ def improve_compactness(plan: Plan, rounds: int = 10, patience: int = 20) -> Pla
                 moved += sum(plan.move(n, c) for n in plan.takeable(c) if far(n) < radius)
                 if not moved:
                     break
-        now = average(plan, quick_compactness)
+        now = least()
         if now > top + 1e-12:
             best, top, idle = plan.copy(), now, 0
         else:

@@ -28,10 +28,13 @@ def parts(kind: Column, coordinates: Column, scale: str | None = None) -> Column
     return F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many).otherwise(F.raise_error(F.lit("invalid geojson")))
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Features of one or many collections: path, feature (position), kind, coordinates (JSON text), properties (map)."""
+def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Features of one or many collections: path, feature (position), kind, coordinates (JSON text), properties (map).
+
+    A collection is a file, or, with ``lines``, a line: then large files are read in pieces.
+    """
     schema = "features array<struct<geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.posexplode("features").alias("feature", "f")).select(
         "path", "feature", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties")
     )
@@ -42,12 +45,12 @@ def missing(value: Column) -> Column:
     return value.isNull() | value.isin("NA", "", " ")
 
 
-def read_precincts(spark: SparkSession, path: str, keys: dict[str, str], scale: str | None = None) -> DataFrame:
+def read_precincts(spark: SparkSession, path: str, keys: dict[str, str], scale: str | None = None, lines: bool = False) -> DataFrame:
     """[S5, S6] One row per polygon part: id, part, n_parts, hull, holes, pop and one column per mapped party.
 
     Missing values are null. ``keys``: role -> property; roles GEO, POP and parties.
     """
-    rows = read_features(spark, path).withColumn("parts", parts(F.col("kind"), F.col("coordinates"), scale))
+    rows = read_features(spark, path, lines).withColumn("parts", parts(F.col("kind"), F.col("coordinates"), scale))
     values = []
     for role, name in keys.items():
         v = F.col("properties")[name]

@@ -102,11 +102,12 @@ def plan_assignment(plans: DataFrame, precincts: DataFrame | None = None, text:
 
 
 def quantification_rows(texts: DataFrame, text: str = "text") -> DataFrame:
-    """[S14] (community_id, absolute, collapsed) from the first two tab-separated lines."""
+    """[S14] (community_id, absolute, collapsed) from the first two tab-separated lines; ids are positions, cells that
+    are no numbers have no row."""
     lines = F.split(F.col(text), "\n")
     cells = lambda i: F.transform(F.split(F.get(lines, F.lit(i)), "\t"), lambda c: F.trim(c).try_cast("double"))
     both = F.arrays_zip(cells(0).alias("absolute"), cells(1).alias("collapsed"))
-    return texts.select(F.posexplode(F.filter(both, lambda p: p.absolute.isNotNull())).alias("community_id", "v")).select("community_id", "v.absolute", "v.collapsed")
+    return texts.select(F.posexplode(both).alias("community_id", "v")).select("community_id", "v.absolute", "v.collapsed").where("absolute is not null")
 
 
 def quantified_plan(assignment: DataFrame, quantified: DataFrame) -> DataFrame:
