@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import exists, materialise, own_prefix, repeated, shared_dir
+from .common import Scratch, exists, materialise, own_prefix, remove, repeated, shared_dir
 
 
 def normalised(text: Column) -> Column:
@@ -66,13 +66,16 @@ class DigestIndex:
         ids only where no other exists); one that an earlier batch brought keeps that batch's id.
         """
         groups = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        groups = materialise(groups, "groups")
+        scratch = Scratch(self.spark)
+        groups = scratch.write(groups, "groups")
         known = self.table().hint("merge")
         fresh = groups.join(known, "digest", "left_anti").select("digest", "keep_id")
         # the files being appended to are also read by the anti-join, so the new rows settle first
-        materialise(fresh, "fresh").repartition(self.buckets, "digest").write.insertInto(self.name)
+        scratch.write(fresh, "fresh").repartition(self.buckets, "digest").write.insertInto(self.name)
         # written out: the joins that follow then have exchanges on both sides, which AQE may split
-        return materialise(groups.drop("keep_id").join(self.table().hint("merge"), "digest"), "resolved")
+        out = materialise(groups.drop("keep_id").join(self.table().hint("merge"), "digest"), "resolved")
+        scratch.done()
+        return out
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
@@ -89,6 +92,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     resolved = index.add(digests)
     if own:
         index.close()  # what it holds has been written out
+        remove(docs.sparkSession, index.path)
     counted = digests.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
     out = counted.join(resolved.hint("merge"), "digest")
     return repeated(out, F.col("copies"), "copy").select(

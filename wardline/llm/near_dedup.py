@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, mix64, own_prefix, pieces, texts_of, word_hashes
+from .common import Scratch, map_arrow, mix64, own_prefix, pieces, texts_of, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -128,11 +128,13 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], ["a", "b", "score"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, label): the smallest id of each id's connected component, for ids that edges (a, b) name.
 
     Large-star and small-star turns until all that is left are stars; every turn is written to the shared folder.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
+    materialise = scratch.write
     low, high = F.least("a", "b"), F.greatest("a", "b")
     links = materialise(edges.select(low.alias("a"), high.alias("b")).where("a < b").distinct(), "links")
     while True:
@@ -161,13 +163,14 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(items[a:b])), batch.column(0)[a:b].take(pa.array(np.repeat(np.arange(b - a), n[a:b])))], ["element", "id"])
 
 
-def _possible(rows: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+def _possible(rows: DataFrame, bags: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(a, b): every pair of rows (id, l, minor), a minor, of different l whose bags can reach ``similarity``.
 
     Exact: bags of na and nb items at that similarity share o = s / (1 + s) (na + nb) items at least. With all
     bags in one order, rarest items first, let their first common item be a's k-th and b's j-th (from 0): they
     share na - k and nb - j items at most, so b has (na - k) (1 + s) / s - na items at most, and likewise a.
     """
+    materialise = scratch.write
     known = bags.join(rows, "id")
     size = materialise(known.select("id", "l", "minor", (F.length("bag") / 8).cast("long").alias("n")), "bag-facts")
     items = materialise(map_arrow(known.select("id", "bag"), _elements, "element long, id long"), "elements")
@@ -185,23 +188,23 @@ def _possible(rows: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
 class _Verifier:
     """Exact multiset overlap of candidate pairs; remembers the links found."""
 
-    def __init__(self, bags: DataFrame, similarity: float):
-        self.bags, self.similarity, self.links, self.tried = bags, similarity, None, None
+    def __init__(self, bags: DataFrame, similarity: float, scratch: Scratch):
+        self.bags, self.similarity, self.scratch, self.links, self.tried = bags, similarity, scratch, None, None
 
     def try_pairs(self, pairs: DataFrame) -> None:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+        pairs = self.scratch.write(pairs, "pairs")
         one = self.bags.select(F.col("id").alias("a"), F.col("bag").alias("x"))
         two = self.bags.select(F.col("id").alias("b"), F.col("bag").alias("y"))
         rows = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-        links = materialise(map_arrow(rows, _overlap, "a long, b long, score double").where(F.col("score") >= self.similarity), "similar")
+        links = self.scratch.write(map_arrow(rows, _overlap, "a long, b long, score double").where(F.col("score") >= self.similarity), "similar")
         self.tried = pairs if self.tried is None else self.tried.union(pairs)
         self.links = links if self.links is None else self.links.union(links)
 
     def labels(self) -> DataFrame:
-        return materialise(components(self.links.select("a", "b")), "labels")
+        return self.scratch.write(components(self.links.select("a", "b"), self.scratch), "labels")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -225,7 +228,8 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     verified links of the row's text to other texts, at least those that hold its class together. Texts
     without words are copies of each other and link to nothing else; null counts as empty. Rows are told
     apart by their texts, also where they share a doc_id or have none; a null doc_id comes first. Of each
-    class one text of one doc_id is kept; rows that repeat both are one document.
+    class one text of one doc_id is kept; rows that repeat both are one document. doc_ids count as whole numbers: text that is
+    none raises, as casts do. Extra columns are not read; an empty table gives no rows.
 
     Same texts collapse before anything else. A band bucket's texts are first tried against its head, the one
     that shares most buckets with others (of a base and its variants, the base): a star, linear in the
@@ -239,6 +243,8 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
 def _classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """near_dedup with the marks of each row's text, t1 and t2."""
     none = -(2**63)
+    scratch = Scratch(docs.sparkSession)
+    materialise = scratch.write
     t1, t2 = _text_marks()
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"), "text", t1.alias("t1"), t2.alias("t2"))
     signed = materialise(map_arrow(docs, partial(_sign, bands=bands, rows=rows), "doc_id long, t1 long, t2 long, d1 long, d2 long, keys array<long>"), "signed")
@@ -258,7 +264,7 @@ def _classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
 
     wanted = reps.join(weight, "id").select("id", F.col("doc").alias("doc_id"), "t1", "t2")
     texts = docs.join(wanted, ["doc_id", "t1", "t2"]).groupBy("id").agg(F.min("text").alias("text"))
-    check = _Verifier(materialise(map_arrow(texts, _bags, "id long, bag binary"), "bags"), similarity)
+    check = _Verifier(materialise(map_arrow(texts, _bags, "id long, bag binary"), "bags"), similarity, scratch)
     # 1: each text against its heaviest head; 2: against its other heads, unless it hangs on the same text already
     check.try_pairs(star.groupBy("b").agg(F.max(F.struct("w", (-F.col("a")).alias("a"))).alias("h")).select((-F.col("h.a")).alias("a"), "b"))
     check.try_pairs(_apart(star, check.links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))))
@@ -268,7 +274,7 @@ def _classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     most = inside.groupBy("key", "l").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "l")).alias("top"), F.count(F.lit(1)).alias("k"))
     inside = inside.join(most.where("k > 1").select("key", F.col("top.l").alias("main")), "key")
     open_ = materialise(inside.groupBy("id").agg(F.min("l").alias("l"), F.max(F.col("l") != F.col("main")).alias("minor")), "open")
-    check.try_pairs(_possible(open_, check.bags, similarity))
+    check.try_pairs(_possible(open_, check.bags, similarity, scratch))
 
     labels, links = check.labels(), check.links
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
@@ -280,11 +286,15 @@ def _classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     out = signed.drop("keys").join(materialise(named, "named").hint("merge"), ["d1", "d2"])
     kept = (F.col("doc_id") == F.col("class_id")) & F.struct("t1", "t2").eqNullSafe(F.col("head"))
     real = lambda c: F.when(F.col(c) != none, F.col(c)).alias(c)
+    scratch.done(out)
     return out.select(real("doc_id"), real("class_id"), "n_links", kept.alias("kept"), "t1", "t2")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The documents that near-dedup keeps, with all their columns: the smallest doc_id of each class."""
+    """The documents that near-dedup keeps, with all their columns: the smallest doc_id of each class.
+
+    Rows that repeat a kept row's id and text all stay; an empty table gives no rows; ids and nulls as in near_dedup.
+    """
     columns, own = docs.columns, own_prefix(docs.columns)
     names = [f"{own}{c}" for c in ("key", "t1", "t2")]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
