@@ -325,3 +325,45 @@ def test_refining_queries_run_at_full_length(monkeypatch):
     for name in ("refine_steepest", "refine_annealing", "refine_compactness", "refine_spread", "generate_communities"):
         dq.queries()[name](None, "")
     assert not {"rounds", "epochs", "patience"} & {o for options in seen.values() for o in options} and len(seen) == 5
+
+
+def _nested(spark, n):
+    rows = []
+    for i in range(n):
+        ring = lambda a: [(float(a), float(a)), (100.0 - a, float(a)), (100.0 - a, 100.0 - a), (float(a), 100.0 - a)]
+        holes = [ring(10 * i + 6)] if i < n - 1 else []
+        rows.append((f"p{i}", ring(10 * i), holes, 50.0, 50.0, 10.0 * i, 100.0 - 10 * i, 10.0 * i, 100.0 - 10 * i, float(2**i)))
+    ring = "array<struct<x: double, y: double>>"
+    return spark.createDataFrame(rows, f"id string, hull {ring}, holes array<{ring}>, cx double, cy double, xmin double, xmax double, ymin double, ymax double, pop double")
+
+
+def test_absorb_of_four_nested_precincts(spark):
+    df = _nested(spark, 4)
+    for rule in ("centroid_in_hole", "vertices_in_hull"):
+        assert [(r.id, r.pop) for r in merge.absorb(df, ["pop"], rule).collect()] == [("p0", 15.0)]
+    twice = df.where("id = 'p3'").union(df.where("id = 'p3'").selectExpr("'q3' id", "hull", "holes", "cx", "cy", "xmin", "xmax", "ymin", "ymax", "pop"))
+    assert [(r.id, r.pop) for r in merge.absorb(twice, ["pop"], "vertices_in_hull").collect()] == [("p3", 16.0)]
+
+
+def test_scores_keep_their_positions(spark):
+    from wardline.sources import tables
+
+    df = spark.createDataFrame([("0.1\tx\t0.3\n1\t2\t3\n[\"DEM\":1]\t[\"DEM\":2]\t[\"DEM\":3]",)], "text string")
+    assert sorted(map(tuple, tables.quantification_rows(df).collect())) == [(0, 0.1, 1.0), (2, 0.3, 3.0)]
+    assert {r.community_id: r.parties for r in tables.quantification_table(df).collect()} == {0: {"DEM": 1.0}, 2: {"DEM": 3.0}}
+
+
+def test_shape_and_plan_errors(spark):
+    from wardline.errors import PrecinctNotInGroup
+    from wardline.functions import geometry as g
+    from wardline.operators import community
+
+    a = spark.createDataFrame([(1, 0), (2, 0)], "node_id long, community_id int")
+    assert sorted(map(tuple, community.with_precinct(a, 2, 5).collect())) == [(1, 0), (2, 5)]
+    with pytest.raises(PrecinctNotInGroup):
+        community.without_precinct(a, 1, 7)
+    ring = spark.createDataFrame([([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)],)], "r array<struct<x: double, y: double>>")
+    with pytest.raises(Exception, match="not closed"):
+        ring.select(g.checked_closed(F.col("r"))).collect()
+    with pytest.raises(Exception, match="several parts"):
+        ring.select(g.only_part(F.array("r", "r"))).collect()

@@ -26,7 +26,7 @@ def rows(df):
     return cols, sorted(tuple(key(v) for v in r) for r in df[cols].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(driver_queries.oracle_sql()) - {"linked_islands"}))
+@pytest.mark.parametrize("name", sorted(driver_queries.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     got, want = rows(driver_queries.queries()[name](spark, D).toPandas()), rows(duck.execute(driver_queries.oracle_sql()[name]).df())
     assert got[0] == want[0] and len(got[1]) == len(want[1])

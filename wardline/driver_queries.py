@@ -682,8 +682,16 @@ def _population(members):
     return community.population(members, by="own").select("own", F.col("pop").cast("double").alias("m"))
 
 
-def _kept(spark, d, method, score, gain, **options):
-    """What a refined plan keeps. ``score``: (own, m) of the communities; ``gain``: of their scores, what must not fall."""
+#: By method: (own, m) of the communities, and of their m what must not fall. Generating trades compactness against balance: of either alone nothing is promised.
+_SCORES = {
+    "steepest": (_compactness, F.sum), "compactness": (_compactness, F.min), "anneal": (_stdev, lambda m: -F.avg(m)), "spread": (_stdev, lambda m: -F.avg(m)),
+    "population": (_population, lambda m: F.min(m) - F.max(m)), "generate": (_population, lambda m: 0.0 * F.sum(m)),
+}
+
+
+def _refined(spark, d, method, **options):
+    """What a refined plan keeps."""
+    score, gain = _SCORES[method]
     nodes, e = _nodes(spark, d)
     nodes = cut(nodes, "states")
     start = cut(make.initial_plans(nodes, 2).select("state", "node_id", "community_id"), "start")
@@ -707,33 +715,32 @@ def _kept(spark, d, method, score, gain, **options):
 
 @_query(_KEPT)
 def refine_steepest(spark, d):
-    return _kept(spark, d, "steepest", _compactness, F.sum, measure="quick_compactness")
+    return _refined(spark, d, "steepest", measure="quick_compactness")
 
 
 @_query(_KEPT)
 def refine_annealing(spark, d):
-    return _kept(spark, d, "anneal", _stdev, lambda m: -F.avg(m), measure="population_stdev")
+    return _refined(spark, d, "anneal", measure="population_stdev")
 
 
 @_query(_KEPT)
 def refine_compactness(spark, d):
-    return _kept(spark, d, "compactness", _compactness, F.min)
+    return _refined(spark, d, "compactness")
 
 
 @_query(_KEPT)
 def refine_population(spark, d):
-    return _kept(spark, d, "population", _population, lambda m: F.min(m) - F.max(m), percent=5.0)
+    return _refined(spark, d, "population", percent=5.0)
 
 
 @_query(_KEPT)
 def refine_spread(spark, d):
-    return _kept(spark, d, "spread", _stdev, lambda m: -F.avg(m), measure="population_stdev")
+    return _refined(spark, d, "spread", measure="population_stdev")
 
 
 @_query(_KEPT)
 def generate_communities(spark, d):
-    # rounds trade compactness against balance: of either alone nothing is promised
-    return _kept(spark, d, "generate", _population, lambda m: F.lit(0.0) * F.sum(m))
+    return _refined(spark, d, "generate")
 
 
 # ---- equality, editing, drawing ----------------------------------------------------------------------
