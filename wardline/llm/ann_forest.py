@@ -20,7 +20,7 @@ TREES = 12
 #: Rows of a leaf that the trees aim at, and sampled rows that a leaf keeps at least.
 LEAF, _LEAST = 400, 16
 #: Recall that the search is tuned to on the sample, and how many of its vectors are asked for that.
-RECALL, _ASKED = 0.93, 100
+RECALL, _ASKED = 0.96, 100
 #: Rows and visiting queries that one task meets at a time.
 _BLOCK_ROWS, _BLOCK_VISITS = 4_096, 8_192
 
