@@ -145,6 +145,70 @@ def test_graph_operators(spark):
     assert graph.component_count(graph.components(nodes, edge)).first().connected
 
 
+@pytest.mark.parametrize("few", [0, graph.FEW])
+def test_components_by_turns_and_in_one_task(spark, few):
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))]
+    nodes = spark.createDataFrame([(i,) for i in range(300)], "id long")
+    edges = spatial.edges_both_ways(spark.createDataFrame(pairs, "src long, dst long"))
+    want = list(range(300))
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert {r.id: r.component for r in graph.components(nodes, edges, few=few).collect()} == dict(enumerate(want))
+
+
+def nearest_by_brute_force(rows):
+    best = {}
+    for a, of, ax, ay in rows:
+        for b, other, bx, by in rows:
+            if of != other and None not in (ax, ay, bx, by):
+                found = ((ax - bx) * (ax - bx) + (ay - by) * (ay - by), min(a, b), max(a, b))
+                best[of] = min(best.get(of, found), found)
+    return best
+
+
+def scattered(kind, rng):
+    if kind == "far clusters":
+        return [(i, i % 2, float(x + 1000 * (i % 2)), float(y)) for i, (x, y) in enumerate(rng.normal(0, 30, (300, 2)))]
+    if kind == "ties":
+        return [(i, i // 60, float(i // 20), float(i % 20)) for i in range(240)]
+    if kind == "repeated":
+        return [(i, int(rng.integers(4)), float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 3, (200, 2)))]
+    if kind == "mixed sizes":
+        return [(i, 0 if i < 200 else i, float(x), float(y)) for i, (x, y) in enumerate(rng.lognormal(3, 2, (240, 2)))] + [(999, 5, None, 1.0)]
+    return [(i, 0, float(i), 0.0) for i in range(5)] if kind == "one component" else []
+
+
+@pytest.mark.parametrize("pairs", [0, graph.PAIRS])
+@pytest.mark.parametrize("kind", ["far clusters", "ties", "repeated", "mixed sizes", "one component", "none"])
+def test_nearest_components_against_brute_force(spark, monkeypatch, kind, pairs):
+    rows = scattered(kind, np.random.default_rng(8))
+    want = nearest_by_brute_force(rows)
+    points = spark.createDataFrame(rows, "id long, component long, cx double, cy double")
+    monkeypatch.setattr(graph, "_DEPTH", 30 if pairs else 14)
+    got = {r.component: (r.d2, r.a, r.b) for r in graph.nearest_other(points, pairs=pairs).collect()}
+    assert got == want
+    assert [(r.d2, r.a, r.b) for r in graph.closest_pairs(points, pairs=pairs).collect()] == ([min(want.values())] if want else [])
+
+
+@pytest.mark.parametrize("cell", [None, 0.5, 500.0])
+def test_boxes_of_all_sizes_meet_once(spark, cell):
+    rng = np.random.default_rng(4)
+
+    def boxes(n, sizes):
+        low = rng.uniform(-100, 100, (n, 2))
+        side = rng.lognormal(0, sizes, (n, 2))
+        return [(i, float(x), float(x + w), float(y), float(y + h)) for i, ((x, y), (w, h)) in enumerate(zip(low, side))]
+
+    for a, b in ((boxes(150, 2), boxes(150, 2)), (boxes(200, 0), [(0, -200.0, 200.0, -200.0, 200.0), (1, 5.0, 5.0, 5.0, 5.0)])):
+        for one, two in ((a, b), (b, a)):
+            left = spark.createDataFrame([*one, (-1, None, None, None, None)], "a long, xmin double, xmax double, ymin double, ymax double")
+            right = spark.createDataFrame(two, "b long, xmin double, xmax double, ymin double, ymax double")
+            got = sorted((r.a, r.b) for r in spatial.box_join(left, right, cell).collect())
+            assert got == sorted((i[0], j[0]) for i in one for j in two if i[1] <= j[2] and j[1] <= i[2] and i[3] <= j[4] and j[3] <= i[4])
+
+
 def grid(n=10):
     near = {i: set() for i in range(n * n)}
     for i in near:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .spatial import edges_both_ways
 
+#: Links that one task contracts, and pairs of points that one join compares, where no more are left.
+FEW, PAIRS = 500_000, 1_000_000
+#: Levels of the quadtree, and how many a turn goes down.
+_DEPTH, _STEP = 30, 2
+
 
 def add_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
     """[G1, G2] With further undirected edges."""
@@ -49,14 +57,32 @@ def contract_nodes(nodes: DataFrame, a: int, b: int, new: int) -> DataFrame:
     return rest.select("id", "attrs").union(both.select(F.lit(new).cast(nodes.schema["id"].dataType), "attrs"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
+def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(a, b) for every node b of the links: a is the smallest id it reaches, where that is another one."""
+    above: dict = {}
+
+    def root(x):
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for f in frames:
+        for a, b in zip(f["a"].tolist(), f["b"].tolist()):
+            a, b = root(above.setdefault(a, a)), root(above.setdefault(b, b))
+            above[max(a, b)] = min(a, b)
+    ends = [(root(x), x) for x in above]
+    yield pd.DataFrame([e for e in ends if e[0] != e[1]], columns=["a", "b"])
+
+
+def components(nodes: DataFrame, edges: DataFrame, key: str = "id", few: int = FEW) -> DataFrame:
     """[G6, G9, G10] (id, component): the smallest id that a node reaches; nodes without edges are their own.
 
     Turns of large-star and small-star over edges written between turns: few turns, bounded lineage, and a
-    node with many neighbours is only ever aggregated, never gathered.
+    node with many neighbours is only ever aggregated, never gathered. Once no more than ``few`` links are
+    left, counted where they are written, one task contracts them.
     """
     links = cut(edges.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "links")
-    while True:
+    while links.count() > few:
         # done once nobody has a smaller neighbour and a larger one, or two smaller ones
         ends = links.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
         if ends.groupBy("n").agg(F.max("up").alias("up"), F.sum("down").alias("down")).where("down > 1 or (up = 1 and down = 1)").isEmpty():
@@ -68,6 +94,8 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame
         near = large.join(low, "b")
         small = near.select(F.col("m").alias("a"), F.col("a").alias("b")).union(near.select(F.col("m").alias("a"), "b"))
         links = cut(small.where("a < b").distinct(), "links")
+    else:
+        links = links.coalesce(1).mapInPandas(_contracted, links.schema)
     named = links.select(F.col("b").alias(key), F.col("a").alias("component"))
     return nodes.select(key).distinct().join(named, key, "left").select(key, F.coalesce("component", key).alias("component"))
 
@@ -131,37 +159,13 @@ def renumber_edges(edges: DataFrame, numbers: DataFrame, key: str = "id") -> Dat
     return edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
 
 
-def closest_pairs(points: DataFrame, key: str = "id") -> DataFrame:
+def closest_pairs(points: DataFrame, key: str = "id", pairs: int = PAIRS) -> DataFrame:
     """[J9, J10, O3, O6] (a, b, d2): the closest two points of different components, smallest ids on ties.
 
-    ``points``: key, component, cx, cy. A grid whose cells grow by doublings until cells and their
-    neighbours hold a pair of two components, then once more so that no closer pair is missed.
+    ``points``: key, component, cx, cy. No row where there are not two components.
     """
-    box = points.agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"), F.count(F.lit(1)).alias("n"), F.count_distinct("component").alias("k")).first()
-    empty = points.sparkSession.createDataFrame([], f"a {points.schema[key].dataType.simpleString()}, b {points.schema[key].dataType.simpleString()}, d2 double")
-    if (box.k or 0) < 2:
-        return empty
-    extent = max(float(box.x1 - box.x0), float(box.y1 - box.y0), 1e-9)
-    cell = extent / max(1.0, box.n**0.5)
-    while True:
-        found = _closest_within(points, key, cell)
-        best = found.first()
-        if best is not None and best.d2 <= cell * cell:
-            return found
-        if cell > 2 * extent:
-            return found
-        cell = max(2 * cell, best.d2**0.5 * (1 + 1e-9)) if best is not None else 2 * cell
-
-
-def _closest_within(points: DataFrame, key: str, cell: float) -> DataFrame:
-    """The best pair among points of neighbouring cells; exact for distances up to the cell's side."""
-    gx, gy = F.floor(F.col("cx") / cell), F.floor(F.col("cy") / cell)
-    a = points.select(F.col(key).alias("a"), F.col("component").alias("ca"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), gx.alias("gx"), gy.alias("gy"))
-    near = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    b = points.select(F.col(key).alias("b"), F.col("component").alias("cb"), F.col("cx").alias("bx"), F.col("cy").alias("by"), gx.alias("gx"), gy.alias("gy"))
-    b = b.withColumn("i", near).withColumn("j", near).select("b", "cb", "bx", "by", (F.col("gx") + F.col("i")).alias("gx"), (F.col("gy") + F.col("j")).alias("gy"))
-    d2 = (F.col("ax") - F.col("bx")).cast("double") * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")).cast("double") * (F.col("ay") - F.col("by"))
-    return a.join(b, ["gx", "gy"]).where("ca <> cb and a < b").select("a", "b", d2.alias("d2")).orderBy("d2", "a", "b").limit(1)
+    best = nearest_other(points, key, pairs).agg(F.min(F.struct("d2", "a", "b")).alias("r"))
+    return best.where("r is not null").select("r.a", "r.b", "r.d2")
 
 
 def link_islands(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
@@ -179,27 +183,44 @@ def link_islands(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFra
         edges = cut(add_edges(edges, pair.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "edges")
 
 
-def nearest_other(points: DataFrame, key: str = "id") -> DataFrame:
+def nearest_other(points: DataFrame, key: str = "id", pairs: int = PAIRS) -> DataFrame:
     """(component, a, b, d2): each component's closest pair with another one, by a total order on pairs.
 
-    Cells double until every component has found its pair within a cell's side.
+    ``points``: key, component, cx, cy; points without coordinates take no part. A quadtree is walked from its
+    root, two levels a turn. A component's cells meet the cells that hold points of others; of such pairs of
+    cells those go whose boxes lie further apart than the component's nearest pair can, so that far clusters
+    meet by their facing sides only. Points are compared once what is left makes no more than ``pairs`` pairs,
+    or eight a point.
     """
-    box = points.agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"), F.count(F.lit(1)).alias("n")).first()
-    extent = max(float(box.x1 - box.x0), float(box.y1 - box.y0), 1e-9)
-    cell, done, open_ = extent / max(1.0, box.n**0.5), None, points
-    while True:
-        gx, gy = F.floor(F.col("cx") / cell), F.floor(F.col("cy") / cell)
-        a = open_.select(F.col(key).alias("a"), F.col("component").alias("component"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), gx.alias("gx"), gy.alias("gy"))
-        step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-        b = points.select(F.col(key).alias("b"), F.col("component").alias("cb"), F.col("cx").alias("bx"), F.col("cy").alias("by"), gx.alias("gx"), gy.alias("gy"))
-        b = b.withColumn("i", step).withColumn("j", step).select("b", "cb", "bx", "by", (F.col("gx") + F.col("i")).alias("gx"), (F.col("gy") + F.col("j")).alias("gy"))
-        d2 = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)
-        rank = F.struct(d2.alias("d2"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        best = a.join(b, ["gx", "gy"]).where("component <> cb").groupBy("component").agg(F.min(rank).alias("r"))
-        wide = cell > 2 * extent
-        near = cut(best.where(F.lit(wide) | (F.col("r.d2") <= cell * cell)).select("component", "r.a", "r.b", "r.d2"), "near")
-        done = near if done is None else done.union(near)
-        open_ = cut(open_.join(near, "component", "left_anti"), "open")
-        if wide or open_.isEmpty():
-            return done
-        cell *= 2
+    cx, cy = (F.col(c).cast("double") for c in ("cx", "cy"))
+    box = points.agg(F.min(cx).alias("x0"), F.max(cx).alias("x1"), F.min(cy).alias("y0"), F.max(cy).alias("y1"), F.count(F.lit(1)).alias("n")).first()
+    x0, y0 = box.x0 or 0.0, box.y0 or 0.0
+    extent = max((box.x1 or 0.0) - x0, (box.y1 or 0.0) - y0, 1e-9)
+    cell = lambda c, low: F.least(F.floor((c - F.lit(low)) / F.lit(extent) * F.lit(float(1 << _DEPTH))), F.lit((1 << _DEPTH) - 1))
+    spots = points.groupBy("component", cx.alias("x"), cy.alias("y")).agg(F.min(key).alias("id")).where("x is not null and y is not null")
+    spots = cut(spots.withColumn("gx", cell(F.col("x"), x0)).withColumn("gy", cell(F.col("y"), y0)), "spots")
+    at = lambda level: [F.shiftright(c, _DEPTH - level).alias(c) for c in ("gx", "gy")]
+    spans = [f(c).alias(f"{c}{n}") for c in ("x", "y") for f, n in ((F.min, "min"), (F.max, "max"))] + [F.count(F.lit(1)).alias("n")]
+    sided = lambda df, side: df.withColumnsRenamed({c: f"{side}_{c}" for c in df.columns if c != "component"})
+    where, above = (["a_gx", "a_gy"], ["b_gx", "b_gy"]), (["a_ux", "a_uy"], ["b_ux", "b_uy"])
+    up = lambda df, side: df.withColumns({f"{side}_u{c}": F.shiftright(f"{side}_g{c}", _STEP) for c in ("x", "y")})
+    apart = lambda c: F.greatest(F.lit(0.0), F.col(f"b_{c}min") - F.col(f"a_{c}max"), F.col(f"a_{c}min") - F.col(f"b_{c}max"))
+    reach = lambda c: F.greatest(F.col(f"b_{c}max") - F.col(f"a_{c}min"), F.col(f"a_{c}max") - F.col(f"b_{c}min"))
+    held, level, cost = spots.select("component", *[F.lit(0).cast("long").alias(c) for c in (*where[0], *where[1])]).distinct(), 0, box.n**2
+    while cost > max(pairs, 8 * box.n) and level < _DEPTH:
+        level += _STEP
+        own = up(sided(spots.groupBy("component", *at(level)).agg(*spans), "a"), "a")
+        others = up(sided(spots.groupBy(*at(level)).agg(*spans, F.min("component").alias("low"), F.max("component").alias("high")), "b"), "b")
+        held = held.withColumnsRenamed(dict(zip((*where[0], *where[1]), (*above[0], *above[1]))))
+        met = held.join(own, ["component", *above[0]]).join(others, above[1]).where("b_low <> component or b_high <> component")
+        least, most = (c("x") * c("x") + c("y") * c("y") for c in (apart, reach))
+        met = cut(met.select("component", *where[0], *where[1], (F.col("a_n") * F.col("b_n")).alias("cost"), least.alias("least"), most.alias("most")), "cells")
+        limit = met.groupBy("component").agg(F.min("most").alias("limit"))
+        held = cut(met.join(limit, "component").where("least <= limit").select("component", *where[0], *where[1], "cost"), "cells")
+        cost = held.agg(F.sum("cost")).first()[0] or 0
+    a = sided(spots.select("component", "id", "x", "y", *at(level)), "a")
+    b = sided(spots.select(F.col("component").alias("of"), "id", "x", "y", *at(level)), "b")
+    dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
+    rank = F.struct((dx * dx + dy * dy).alias("d2"), F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    found = held.join(a, ["component", *where[0]]).join(b, where[1]).where("component <> b_of")
+    return found.groupBy("component").agg(F.min(rank).alias("r")).select("component", "r.a", "r.b", "r.d2")

@@ -12,33 +12,49 @@ from pyspark.sql import functions as F
 from ..functions.geometry import polygon_area, rook_overlap, segments
 
 
-def _cells(df: DataFrame, cell: float) -> DataFrame:
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    return df.withColumn("__gx", F.explode(span("xmin", "xmax"))).withColumn("__gy", F.explode(span("ymin", "ymax")))
-
-
-def cell_size(*sides: DataFrame) -> float:
-    """Twice the mean extent of the boxes: most boxes then lie in few cells, and a cell holds few boxes."""
-    sizes = []
-    for df in sides:
-        r = df.agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))).alias("m")).first()
-        sizes.append(float(r.m or 0))
-    return 2 * max(sizes) or 1.0
+#: Boxes (columns of a row) in the order in which helpers take them.
+_BOX = ("xmin", "xmax", "ymin", "ymax")
+#: Doublings of the cell's side up to which large boxes are dealt out in as many copies.
+_COPIES = 12
 
 
 def box_join(a: DataFrame, b: DataFrame, cell: float | None = None) -> DataFrame:
     """Pairs of rows whose closed boxes (xmin, xmax, ymin, ymax) overlap.
 
-    Boxes go to all grid cells they cover and meet by cell; a pair counts in the first cell they share
-    only, so no distinct is needed. Columns of both sides; b's box as b_xmin and so on.
+    Grids whose cells' sides double from ``cell`` on, by default twice the mean extent of the boxes. A box is
+    at home in the grid whose cells are no smaller than it, so it covers four cells or so however large it is;
+    two boxes meet in the coarser of their grids, by cell. A grid of side 2^l cells is dealt into 2^l parts:
+    boxes at home there go to all of them (no more than half of all boxes in sum, as their mean extent tells),
+    smaller ones to one by hash. A pair counts in the first cell they share
+    only, so no distinct is needed. Columns of both sides; b's box as b_xmin and so on. Rows without a box meet none.
     """
-    cell = cell or cell_size(a, b)
-    box = ("xmin", "xmax", "ymin", "ymax")
-    right = _cells(b, cell).withColumnsRenamed({c: f"b_{c}" for c in box})
-    out = _cells(a, cell).join(right, ["__gx", "__gy"])
+    size = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")).cast("double")
+    known = [df.agg(F.avg(size).alias("mean"), F.max(size).alias("most")).first() for df in (a, b)]
+    cell = cell or 2 * max(r.mean or 0.0 for r in known) or 1.0
+    home = F.greatest(F.lit(0), F.ceil(F.log2(size / F.lit(cell)))).cast("int")
+    # a table of boxes has as many levels as doublings at most
+    levels = [[r[0] for r in df.select(home).distinct().collect()] if (r.most or 0) > cell else [0] for df, r in zip((a, b), known)]
+    own = "_" * (1 + max(len(c) for c in (*a.columns, *b.columns)))
+    at = [level, part, gx, gy] = [f"{own}{n}" for n in ("level", "part", "gx", "gy")]
+    side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col(level))
+    parts = F.pow(F.lit(2), F.least(F.col(level), F.lit(_COPIES))).cast("int")
+
+    def dealt(df: DataFrame, part_of: Column) -> DataFrame:
+        span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / side), F.floor(F.col(high) / side)))
+        return df.withColumn(part, part_of).withColumn(gx, span("xmin", "xmax")).withColumn(gy, span("ymin", "ymax"))
+
+    def settled(df: DataFrame) -> DataFrame:
+        return dealt(df.withColumn(level, home), F.explode(F.sequence(F.lit(0), parts - 1)))
+
+    def visiting(df: DataFrame, grids: list[int], least: Column) -> DataFrame:
+        grids = F.filter(F.array(*[F.lit(n) for n in grids]), lambda n: n >= least)
+        return dealt(df.withColumn(level, F.explode(grids)), F.pmod(F.xxhash64(*_BOX), parts).cast("int"))
+
     meet = (F.col("xmin") <= F.col("b_xmax")) & (F.col("b_xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("b_ymax")) & (F.col("b_ymin") <= F.col("ymax"))
-    first = (F.col("__gx") == F.floor(F.greatest("xmin", "b_xmin") / cell)) & (F.col("__gy") == F.floor(F.greatest("ymin", "b_ymin") / cell))
-    return out.where(meet & first).drop("__gx", "__gy")
+    first = (F.col(gx) == F.floor(F.greatest("xmin", "b_xmin") / side)) & (F.col(gy) == F.floor(F.greatest("ymin", "b_ymin") / side))
+    pair = lambda x, y: x.join(y.withColumnsRenamed({c: f"b_{c}" for c in _BOX}), at).where(meet & first).drop(*at)
+    out = pair(settled(a), visiting(b, levels[0] or [0], home))
+    return out.union(pair(visiting(a, levels[1], home + 1), settled(b.where(home > 0)))) if any(levels[1]) else out
 
 
 def edges_both_ways(pairs: DataFrame) -> DataFrame:
@@ -165,4 +181,5 @@ def areal_votes(overlaps: DataFrame, votes: DataFrame, key: str = "id", mask_key
 def best_overlap(populations: DataFrame, by: str = "district_id", choice: str = "community_id") -> DataFrame:
     """[J14] Per ``by`` the ``choice`` with the largest population; ties go to the smaller one."""
     w = Window.partitionBy(by).orderBy(F.desc("pop"), choice)
-    return populations.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    own = "_" * (1 + max(len(c) for c in populations.columns))
+    return populations.withColumn(own, F.row_number().over(w)).where(F.col(own) == 1).drop(own)
