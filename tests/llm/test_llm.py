@@ -453,6 +453,21 @@ def test_mixed_documents_with_repeated_rows(spark):
     assert got == Counter(map(tuple, mixing.mixed_documents(df.repartition(3)).select("doc_id", "text", "source").collect()))
 
 
+def test_flow_by_parts_is_that_of_the_whole():
+    rng = random.Random(9)
+    for _ in range(60):
+        n_p, n_s = rng.randint(0, 12), rng.randint(1, 9)
+        cap, quota = [rng.randint(0, 9) for _ in range(n_p)], [rng.randint(0, 25) for _ in range(n_s)]
+        member = [sorted(rng.sample(range(n_s), rng.randint(0, min(2, n_s)))) for _ in range(n_p)]
+        of = [[sum(f.values()) for f in way(cap, member, quota, 2)] for way in (mixing.route, mixing.min_cost_flow)]
+        assert sum(of[0]) == sum(of[1])
+        assert sum(max(0, t - c) for t, c in zip(of[0], cap)) == sum(max(0, t - c) for t, c in zip(of[1], cap))
+        flow = mixing.route(cap, member, quota, 2)
+        assert all(set(f) <= set(own) for f, own in zip(flow, member)) and all(sum(f.get(s, 0) for f in flow) <= q for s, q in enumerate(quota))
+    many = 50_000
+    assert mixing.route([3] * many, [[s] for s in range(many)], [4] * many, 2) == [{s: 4} for s in range(many)]
+
+
 def test_flow_over_overlapping_sources_is_optimal():
     rng = random.Random(3)
     for _ in range(40):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import WORD, materialise, own_prefix, repeated
 
 #: Patterns whose totals are gathered on the driver, at most; more raise an error rather than being cut.
-MAX_PATTERNS = 20_000
+MAX_PATTERNS = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -93,6 +93,36 @@ def min_cost_flow(capacity: Sequence[int], member: Sequence[Sequence[int]], quot
     return [{s: room[e ^ 1] for s, e in own.items() if room[e ^ 1]} for own in links]
 
 
+def route(capacity: Sequence[int], member: Sequence[Sequence[int]], quota: Sequence[int], repeats: int) -> list[dict[int, int]]:
+    """min_cost_flow() over each connected part of the network by itself.
+
+    Parts share no arc but those at start and end, which are a pattern's or a source's own, so their optima add
+    up to the whole network's; a path search then walks one part only, and sources without overlap cost next to nothing.
+    """
+    above = list(range(len(quota)))
+
+    def root(s: int) -> int:
+        while above[s] != s:
+            above[s] = s = above[above[s]]
+        return s
+
+    for own in member:
+        for s in own[1:]:
+            above[root(s)] = root(own[0])
+    parts = defaultdict(list)
+    for p, own in enumerate(member):
+        if own:
+            parts[root(own[0])].append(p)
+    out: list[dict[int, int]] = [{} for _ in capacity]
+    for part in parts.values():
+        used = sorted({s for p in part for s in member[p]})
+        at = {s: i for i, s in enumerate(used)}
+        flow = min_cost_flow([capacity[p] for p in part], [[at[s] for s in member[p]] for p in part], [quota[s] for s in used], repeats)
+        for p, sent in zip(part, flow):
+            out[p] = {used[i]: n for i, n in sent.items()}
+    return out
+
+
 def seeded_order(seed: int, *cols: Column) -> Column:
     """A fixed pseudo-random order: md5 of the seed and the columns' text, as hex."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]))
@@ -163,7 +193,7 @@ def mix(docs: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1),
         for x in r.members:
             sizes[at[x]] += r.n
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share, repeats) if names else []
-    flow = min_cost_flow([r.n for r in found], [[at[x] for x in r.members] for r in found], [round(t) for t in wanted], repeats)
+    flow = route([r.n for r in found], [[at[x] for x in r.members] for r in found], [round(t) for t in wanted], repeats)
     spark = docs.sparkSession
     plan = spark.createDataFrame([(r.members, i) for i, r in enumerate(found)], "members array<string>, pattern int")
     same = F.coalesce(F.to_json("members", {"ignoreNullFields": "false"}), F.lit(""))
