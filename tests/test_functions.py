@@ -323,6 +323,12 @@ def test_tables(spark, tmp_path):
     q = spark.createDataFrame([(0, 0.5, 0.1, {"DEM": 0.4, "REP": 0.6}), (1, 0.25, 0.2, {"DEM": 1.0})], "district_id int, absolute double, collapsed double, parties map<string, double>")
     back = tables.quantification_table(writers.quantification_text(q)).orderBy("community_id").collect()
     assert [(r.absolute, r.collapsed, r.parties) for r in back] == [(0.5, 0.1, {"DEM": 0.4, "REP": 0.6}), (0.25, 0.2, {"DEM": 1.0})]
+    two = a.withColumn("state", F.lit("x")).union(a.withColumn("state", F.lit("y")).where("precinct_id <> 'b'"))
+    texts = writers.plan_text(two, ["state"])
+    assert {r.state: r.text for r in texts.collect()} == {"x": "[['a', 'b'], ['c']]", "y": "[['a'], ['c']]"}
+    assert sorted(map(tuple, tables.plan_assignment(texts, by=["state"]).collect())) == sorted((r.state, r.precinct_id, r.community_id) for r in two.collect())
+    by_state = writers.quantification_text(q.withColumn("state", F.concat(F.lit("s"), "district_id")), ["state"])
+    assert {r.state: r.text for r in by_state.collect()} == {"s0": '0.5\n0.1\n["DEM":0.4,"REP":0.6]', "s1": '0.25\n0.2\n["DEM":1.0]'}
     m = writers.append_measures(spark.range(1), F.lit(0.1), F.lit(0.2), F.lit(0.3))
     assert writers.append_measures(m, F.lit(9), F.lit(9), F.lit(9)).first().DECLINATION == 0.2
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -93,12 +94,12 @@ def parse_plan(text: Column) -> Column:
     return F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<array<string>>")
 
 
-def plan_assignment(plans: DataFrame, precincts: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """[S12, S15] (precinct_id, community_id) of a plan text; ids that no precinct has are left out."""
-    out = plans.select(F.posexplode(parse_plan(F.col(text))).alias("community_id", "ids")).select("community_id", F.explode("ids").alias("precinct_id"))
+def plan_assignment(plans: DataFrame, precincts: DataFrame | None = None, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """[S12, S15] (by, precinct_id, community_id) of plan texts; ids that no precinct has are left out."""
+    out = plans.select(*by, F.posexplode(parse_plan(F.col(text))).alias("community_id", "ids")).select(*by, "community_id", F.explode("ids").alias("precinct_id"))
     if precincts is not None:
         out = out.join(precincts.select(F.col("precinct_id")).distinct(), "precinct_id", "left_semi")
-    return out.select("precinct_id", "community_id")
+    return out.select(*by, "precinct_id", "community_id")
 
 
 def quantification_rows(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -131,6 +132,7 @@ def read_graph(nodes: Column, edges: Column) -> tuple[Column, Column]:
 def last_row_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key, the latest by ``order``."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    own = "_" * (1 + max(len(c) for c in df.columns))
+    return df.withColumn(own, F.row_number().over(w)).where(F.col(own) == 1).drop(own)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,13 @@ def write_state(df: DataFrame, path: str) -> None:
     (w.partitionBy("state") if "state" in df.columns else w).parquet(path)
 
 
-def plan_text(assignment: DataFrame) -> DataFrame:
-    """[K3] (text): ``[['a', 'b'], ['c']]``, communities and ids in order. One row: for plans of one state at a time."""
-    inner = assignment.groupBy("community_id").agg(F.array_sort(F.collect_list(F.col("precinct_id").cast("string"))).alias("ids"))
-    one = inner.select(F.struct("community_id", F.concat(F.lit("['"), F.array_join("ids", "', '"), F.lit("']")).alias("t")).alias("c"))
+def plan_text(assignment: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """[K3] (by, text): ``[['a', 'b'], ['c']]``, communities and ids in order. A text is one plan: ``by`` names what tells plans
+    (states, seeds) apart, and each is put together by itself; without it there is one row for all."""
+    inner = assignment.groupBy(*by, "community_id").agg(F.array_sort(F.collect_list(F.col("precinct_id").cast("string"))).alias("ids"))
+    one = inner.select(*by, F.struct("community_id", F.concat(F.lit("['"), F.array_join("ids", "', '"), F.lit("']")).alias("t")).alias("c"))
     texts = F.transform(F.array_sort(F.collect_list("c")), lambda c: c.t)
-    return one.agg(F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]")).alias("text"))
+    return one.groupBy(*by).agg(F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]")).alias("text"))
 
 
 def ring_json(ring: Column) -> Column:
@@ -49,22 +52,22 @@ def multipolygon_feature(parts: Column, properties: Column | None = None) -> Col
     return feature("MultiPolygon", F.concat(F.lit("["), inner, F.lit("]")), properties)
 
 
-def feature_collection(df: DataFrame, key: str = "id", by: list[str] | None = None) -> DataFrame:
-    """[K4, K8] (text): a collection of one feature per precinct, holes included, ordered by key."""
-    f = df.select(*(by or []), F.struct(F.col(key).alias("k"), polygon_feature(F.col("hull"), F.col("holes"), F.struct(F.col(key))).alias("f")).alias("s"))
+def feature_collection(df: DataFrame, key: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """[K4, K8] (by, text): a collection of one feature per precinct, holes included, ordered by key; ``by`` as in plan_text()."""
+    f = df.select(*by, F.struct(F.col(key).alias("k"), polygon_feature(F.col("hull"), F.col("holes"), F.struct(F.col(key))).alias("f")).alias("s"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s.f), ",")
-    return f.groupBy(*(by or [])).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), text, F.lit("]}")).alias("text"))
+    return f.groupBy(*by).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), text, F.lit("]}")).alias("text"))
 
 
-def quantification_text(scores: DataFrame) -> DataFrame:
-    """[K9] (text): lines of absolute values, collapsed values and party maps; a tab between districts.
+def quantification_text(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """[K9] (by, text): lines of absolute values, collapsed values and party maps; a tab between districts. ``by`` as in plan_text().
 
     ``scores``: district_id, absolute, collapsed, parties map<string, double>.
     """
     pairs = F.array_join(F.transform(F.array_sort(F.map_entries("parties")), lambda e: F.concat(F.lit('"'), e.key, F.lit('":'), e.value.cast("string"))), ",")
-    rows = scores.select(F.struct("district_id", F.col("absolute").cast("string").alias("a"), F.col("collapsed").cast("string").alias("c"), F.concat(F.lit("["), pairs, F.lit("]")).alias("p")).alias("s"))
+    rows = scores.select(*by, F.struct("district_id", F.col("absolute").cast("string").alias("a"), F.col("collapsed").cast("string").alias("c"), F.concat(F.lit("["), pairs, F.lit("]")).alias("p")).alias("s"))
     line = lambda n: F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s[n]), "\t")
-    return rows.agg(F.concat_ws("\n", line("a"), line("c"), line("p")).alias("text"))
+    return rows.groupBy(*by).agg(F.concat_ws("\n", line("a"), line("c"), line("p")).alias("text"))
 
 
 def append_measures(table: DataFrame, efficiency_gap: Column, declination: Column, votes_to_seats: Column) -> DataFrame:
