@@ -35,25 +35,27 @@ def box_join(a: DataFrame, b: DataFrame, cell: float | None = None) -> DataFrame
     # a table of boxes has as many levels as doublings at most
     levels = [[r[0] for r in df.select(home).distinct().collect()] if (r.most or 0) > cell else [0] for df, r in zip((a, b), known)]
     own = "_" * (1 + max(len(c) for c in (*a.columns, *b.columns)))
-    at = [level, part, gx, gy] = [f"{own}{n}" for n in ("level", "part", "gx", "gy")]
-    side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col(level))
+    level, part, gx, gy = (f"{own}{n}" for n in ("level", "part", "gx", "gy"))
+    flat = not any(levels[0] + levels[1])  # one grid, in one part
+    at = [gx, gy] if flat else [level, part, gx, gy]
+    side = F.lit(float(cell)) * (F.lit(1.0) if flat else F.pow(F.lit(2.0), F.col(level)))
     parts = F.pow(F.lit(2), F.least(F.col(level), F.lit(_COPIES))).cast("int")
 
-    def dealt(df: DataFrame, part_of: Column) -> DataFrame:
+    def dealt(df: DataFrame) -> DataFrame:
         span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / side), F.floor(F.col(high) / side)))
-        return df.withColumn(part, part_of).withColumn(gx, span("xmin", "xmax")).withColumn(gy, span("ymin", "ymax"))
+        return df.withColumn(gx, span("xmin", "xmax")).withColumn(gy, span("ymin", "ymax"))
 
     def settled(df: DataFrame) -> DataFrame:
-        return dealt(df.withColumn(level, home), F.explode(F.sequence(F.lit(0), parts - 1)))
+        return dealt(df if flat else df.withColumn(level, home).withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1))))
 
     def visiting(df: DataFrame, grids: list[int], least: Column) -> DataFrame:
-        grids = F.filter(F.array(*[F.lit(n) for n in grids]), lambda n: n >= least)
-        return dealt(df.withColumn(level, F.explode(grids)), F.pmod(F.xxhash64(*_BOX), parts).cast("int"))
+        coarser = F.filter(F.array(*[F.lit(n) for n in grids]), lambda n: n >= least)
+        return dealt(df if flat else df.withColumn(level, F.explode(coarser)).withColumn(part, F.pmod(F.xxhash64(*_BOX), parts).cast("int")))
 
     meet = (F.col("xmin") <= F.col("b_xmax")) & (F.col("b_xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("b_ymax")) & (F.col("b_ymin") <= F.col("ymax"))
     first = (F.col(gx) == F.floor(F.greatest("xmin", "b_xmin") / side)) & (F.col(gy) == F.floor(F.greatest("ymin", "b_ymin") / side))
     pair = lambda x, y: x.join(y.withColumnsRenamed({c: f"b_{c}" for c in _BOX}), at).where(meet & first).drop(*at)
-    out = pair(settled(a), visiting(b, levels[0] or [0], home))
+    out = pair(settled(a), visiting(b, levels[0], home))
     return out.union(pair(visiting(a, levels[1], home + 1), settled(b.where(home > 0)))) if any(levels[1]) else out
 
 
