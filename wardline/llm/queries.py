@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, exact_dedup, licenses, lm_scoring, mixing, near_dedup, quality, sentencepiece_codec, token_shards, toxicity
+from . import ann_forest, bpe_trie, exact_dedup, importance, licenses, lm_scoring, mixing, near_dedup, quality, sentencepiece_codec, token_shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,8 +79,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_trie.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_token_shards, op3_exact_dedup, op4_toxicity, op5_nearest, op6_lm_scoring, op7_licenses, op8_sentencepiece, op9_mixing, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_token_shards, op3_exact_dedup, op4_toxicity, op5_nearest, op6_lm_scoring, op7_licenses, op8_sentencepiece, op9_mixing, op10_near_dedup, op11_importance, op13_byte_bpe)}
 
 
 _EXACT_DEDUP = r"""
@@ -168,5 +178,45 @@ FROM d JOIN s USING (r) CROSS JOIN n
 """.replace("CRC", _CRC.format(x="doc_id::VARCHAR"))
 )
 
+
+#: crc32 of a text's UTF-8 bytes, half a byte at a time.
+_CRC_TABLE = [0]
+for _i in range(1, 16):
+    _x = _i
+    for _ in range(4):
+        _x = _x >> 1 ^ (0xEDB88320 if _x & 1 else 0)
+    _CRC_TABLE.append(_x)
+_HALF = lambda x: f"xor({_CRC_TABLE}[({x} & 15) + 1], {x} >> 4)"
+_BYTES_CRC = (
+    "xor(list_reduce(list_transform(range(strlen({g})), lambda i: ('0x' || substr(hex({g}), 2 * i + 1, 2))::BIGINT), "
+    "lambda c, b: {step}, 4294967295::BIGINT), 4294967295)"
+)
+
+_IMPORTANCE = r"""
+WITH x AS (
+  SELECT row_number() OVER () AS r, true AS own, doc_id, WORDS AS w FROM documents
+  UNION ALL SELECT 0, false, NULL, WORDS FROM benchmark
+), f AS (
+  SELECT r, own, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM x
+), c AS (
+  SELECT g, CRC % 10000 AS bucket FROM (SELECT DISTINCT g FROM f)
+), n AS (
+  SELECT count(*) FILTER (WHERE own)::BIGINT AS s, count(*) FILTER (WHERE NOT own)::BIGINT AS t FROM f
+), b AS (
+  SELECT bucket, floor(1000 * ln((count(*) FILTER (WHERE NOT own) + 1)::DOUBLE * (any_value(n.s) + 10000) / ((count(*) FILTER (WHERE own) + 1)::DOUBLE * (any_value(n.t) + 10000))))::BIGINT AS gain
+  FROM f JOIN c USING (g) CROSS JOIN n GROUP BY bucket
+), v AS (
+  SELECT r, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN c USING (g) JOIN b USING (bucket) WHERE own GROUP BY r
+), d AS (
+  SELECT doc_id, len(w) >= 20 AS fit, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM x LEFT JOIN v USING (r) WHERE own
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, count(*) OVER (PARTITION BY fit) AS total FROM d
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 25 * total // 100 THEN place END AS rank FROM k
+""".replace("WORDS", r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')").replace("CRC", _BYTES_CRC.format(g="g", step=_HALF(_HALF("xor(c, b)"))))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _EXACT_DEDUP, "op6_lm_scoring": _LM, "op9_mixing": _MIXING}
+    return {"op3_exact_dedup": _EXACT_DEDUP, "op6_lm_scoring": _LM, "op9_mixing": _MIXING, "op11_importance": _IMPORTANCE}
