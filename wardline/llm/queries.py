@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, bpe_trie, exact_dedup, importance, licenses, lm_scoring, mixing, near_dedup, quality, sentencepiece_codec, token_shards, toxicity
+from . import ann_forest, bpe_trie, conversations, exact_dedup, importance, licenses, lm_scoring, mixing, near_dedup, quality, sentencepiece_codec, token_shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,7 +94,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_token_shards, op3_exact_dedup, op4_toxicity, op5_nearest, op6_lm_scoring, op7_licenses, op8_sentencepiece, op9_mixing, op10_near_dedup, op11_importance, op13_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_token_shards, op3_exact_dedup, op4_toxicity, op5_nearest, op6_lm_scoring, op7_licenses, op8_sentencepiece, op9_mixing, op10_near_dedup, op11_importance, op12_conversations, op13_byte_bpe)}
 
 
 _EXACT_DEDUP = r"""
@@ -218,5 +222,60 @@ SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 25 * total
 """.replace("WORDS", r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')").replace("CRC", _BYTES_CRC.format(g="g", step=_HALF(_HALF("xor(c, b)"))))
 
 
+def _chart_sql() -> str:
+    """The weighted chart as a recursion over turns: per conversation the cheapest (cost, audit) of nothing, system, asked and answered."""
+    item = lambda x, cost, letter: f"{{'c': ({x}).c + {cost}, 'a': ({x}).a || '{letter}'}}"
+    kept = lambda x, initial: f"CASE WHEN fault NOT IN (1, 2) AND initial = '{initial}' THEN {item(x, '(fault = 3)::INT', 'K')} END"
+    other = lambda x: f"CASE WHEN fault NOT IN (1, 2) THEN {item(x, '2 + (fault = 3)::INT', 'R')} END"
+    least = lambda *x: f"list_min([{', '.join(x)}])"
+    before = [kept(x, "u") for x in "nsa"] + [other(x) for x in "nsa"]
+    return rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, CRC % 20 AS h FROM conversations
+), r AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, range(2) c(i) WHERE h <> 0 AND (i = 0 OR h = 3)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM r
+), f AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY p) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 2
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault
+  FROM o
+), chart AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS p, {{'c': 0::BIGINT, 'a': ''}} AS n, {{'c': 1000000000::BIGINT, 'a': ''}} AS s, {{'c': 2::BIGINT, 'a': 'I'}} AS u, {{'c': 4::BIGINT, 'a': 'II'}} AS a FROM conversations
+  UNION ALL
+  SELECT conv_id, p, n, s, u, {least("a", item("u", 2, "I"))} FROM (
+    SELECT conv_id, p, n, s, {least("u", item("n", 2, "I"), item("s", 2, "I"), item("a", 2, "I"))} AS u, a FROM (
+      SELECT c.conv_id, f.p, {item("n", 3, "D")} AS n, {least(item("s", 3, "D"), kept("n", "s"))} AS s,
+             {least(item("u", 3, "D"), *before)} AS u, {least(item("a", 3, "D"), kept("u", "a"), other("u"))} AS a
+      FROM chart c JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.p = c.p + 1))
+), best AS (
+  SELECT conv_id, list_min([arg_max(n, p), arg_max(a, p)]) AS b FROM chart GROUP BY conv_id
+), e AS (
+  SELECT conv_id, (b).a AS audit, unnest(range(1, len((b).a) + 1)) AS i FROM best
+), q AS (
+  SELECT conv_id, i, audit[i] AS letter, count(*) FILTER (WHERE audit[i] <> 'I') OVER w AS p, count(*) FILTER (WHERE audit[i] <> 'D') OVER w AS pos
+  FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+), l AS (
+  SELECT q.*, f.role, CASE WHEN letter <> 'I' THEN f.text ELSE '' END AS text,
+         max(CASE WHEN pos = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY q.conv_id) AS led
+  FROM q LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.p = q.p
+), t AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (pos - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS repaired
+  FROM l WHERE letter <> 'D' GROUP BY conv_id
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+         count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id
+)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       (b).c AS cost, (b).a AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM best b LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
+""".replace("CRC", _CRC.format(x="(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))"))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _EXACT_DEDUP, "op6_lm_scoring": _LM, "op9_mixing": _MIXING, "op11_importance": _IMPORTANCE}
+    return {"op3_exact_dedup": _EXACT_DEDUP, "op6_lm_scoring": _LM, "op9_mixing": _MIXING, "op11_importance": _IMPORTANCE, "op12_conversations": _chart_sql()}
