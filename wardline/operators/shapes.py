@@ -9,27 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import oriented, segments
 from ..schema import RING
+from .noding import grid_scale, union_border
 
 
 def outline(precincts: DataFrame, by: str = "community_id") -> DataFrame:
-    """[X4, X6, X7, A24] (by, x1, y1, x2, y2): directed border segments of each group.
+    """[X4, X6, X7, A24] (by, x1, y1, x2, y2): directed border segments of the union of each group's precincts.
 
-    Segments that two precincts of a group share run in opposite directions and cancel, so adding or taking
-    away precincts only means another assignment. Hulls are turned counter-clockwise, holes clockwise.
+    Borders are cut where they meet first, so they need not share vertices; adding or taking away precincts only
+    means another assignment. Coordinates are whole numbers of the grid; such in floating point are rounded to multiples of
+    2^-18. A group without area has no border; its shapes may overlap. Holes stay out; hulls may run either way.
     """
-    hulls = precincts.select(by, F.explode(segments(oriented(F.col("hull")))).alias("s"))
-    if "holes" in precincts.columns:
-        holes = precincts.select(by, F.explode(F.coalesce("holes", F.array())).alias("h")).select(by, F.explode(segments(oriented(F.col("h"), clockwise=True))).alias("s"))
-        hulls = hulls.union(holes)
-    s = hulls.select(by, "s.*")
-    forth = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
-    low = lambda n: F.when(forth, F.col(f"{n}1")).otherwise(F.col(f"{n}2"))
-    high = lambda n: F.when(forth, F.col(f"{n}2")).otherwise(F.col(f"{n}1"))
-    net = s.groupBy(by, low("x").alias("px"), low("y").alias("py"), high("x").alias("qx"), high("y").alias("qy")).agg(F.sum(F.when(forth, 1).otherwise(-1)).alias("n"))
-    a = [F.when(F.col("n") > 0, F.col(p)).otherwise(F.col(q)).alias(o) for p, q, o in (("px", "qx", "x1"), ("py", "qy", "y1"), ("qx", "px", "x2"), ("qy", "py", "y2"))]
-    return net.where("n <> 0").select(by, *a)
+    scale = grid_scale(precincts.schema["hull"].dataType)
+    out = union_border(precincts, by)
+    return out if scale == 1 else out.select(by, *[(F.col(c) / scale).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 def outline_length(precincts: DataFrame, by: str = "community_id") -> DataFrame:
