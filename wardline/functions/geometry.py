@@ -195,15 +195,19 @@ def repeated_vertices(ring: Column) -> Column:
     return F.array_distinct(F.filter(ring, lambda p: F.size(F.filter(ring, lambda q: q == p)) > 1))
 
 
-def rook_overlap(a: Column, b: Column) -> Column:
-    """Length that two segments share on one line; 0 if they do not lie on one line."""
+def rook_overlap(a: Column, b: Column, pixel: float = 1 / SCALE) -> Column:
+    """Length that two segments share on one line; 0 if they do not lie on one line or share less than a pixel.
+
+    On one line: both ends of the other lie within half a ``pixel`` of it, so that borders in decimals are found whose
+    ends lie on the line but for rounding.
+    """
     dx, dy = a.x2 - a.x1, a.y2 - a.y1
-    flat = (dx * (b.y1 - a.y1) == dy * (b.x1 - a.x1)) & (dx * (b.y2 - a.y1) == dy * (b.x2 - a.x1))
+    near = lambda x, y: 2 * F.abs(dx * (y - a.y1) - dy * (x - a.x1)).cast("double") <= pixel * (F.abs(dx) + F.abs(dy))
     size2 = (dx * dx + dy * dy).cast("double")
     t1 = (dx * (b.x1 - a.x1) + dy * (b.y1 - a.y1)) / size2
     t2 = (dx * (b.x2 - a.x1) + dy * (b.y2 - a.y1)) / size2
-    both = F.least(F.lit(1.0), F.greatest(t1, t2)) - F.greatest(F.lit(0.0), F.least(t1, t2))
-    return F.when(flat, F.greatest(both, F.lit(0.0)) * F.sqrt(size2)).otherwise(F.lit(0.0))
+    shared = (F.least(F.lit(1.0), F.greatest(t1, t2)) - F.greatest(F.lit(0.0), F.least(t1, t2))) * F.sqrt(size2)
+    return F.when(near(b.x1, b.y1) & near(b.x2, b.y2) & (shared > pixel), shared).otherwise(F.lit(0.0))
 
 
 def equal(a: Column, b: Column) -> Column:

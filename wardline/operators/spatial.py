@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,53 +39,102 @@ def rook_adjacency(precincts: DataFrame, key: str = "id", ring: str = "hull", co
     return shared_segments(precincts, key, ring).select("src", "dst")
 
 
-def _levels(rings: list[np.ndarray]) -> np.ndarray:
+#: Vertices to a slab, and numbers that one step may hold.
+_SLAB, _BLOCK = 16, 1 << 20
+
+
+def _edges(rings: list[np.ndarray]) -> np.ndarray:
+    """Edges from their lower to their upper end, without level ones, by their lower ends: columns x1, y1, x2, y2."""
+    parts = [np.hstack((r, np.roll(r, -1, axis=0))) for r in rings]
+    e = np.vstack(parts) if parts else np.empty((0, 4))
+    down = e[:, 1] > e[:, 3]
+    e[down] = e[down][:, [2, 3, 0, 1]]
+    e = e[e[:, 1] < e[:, 3]]
+    return e[np.argsort(e[:, 1], kind="stable")]
+
+
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Heights at which edges of a cross edges of b, in blocks of their pairs."""
     out = []
-    for r in rings:
-        a, b = r, np.roll(r, -1, axis=0)
-        out.append(np.hstack((a, b)))
-    return np.vstack(out) if out else np.empty((0, 4))
+    step = max(1, _BLOCK // max(1, len(b)))
+    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+    for i in range(0, len(a), step):
+        p, q = a[i : i + step, None], b[None]
+        d1, d2, w = p[..., 2:] - p[..., :2], q[..., 2:] - q[..., :2], q[..., :2] - p[..., :2]
+        det = cross(d1, d2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = cross(w, d2) / det, cross(w, d1) / det
+        hit = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        k, _ = np.nonzero(hit)
+        out.append(a[i + k, 1] + t[hit] * (a[i + k, 3] - a[i + k, 1]))
+    return np.concatenate(out) if out else np.empty(0)
+
+
+def _strips(a: np.ndarray, b: np.ndarray, levels: np.ndarray) -> float:
+    """Area that both share between levels, of edges that do not cross between two levels: per strip the length at mid-height."""
+    e, own = np.vstack((a, b)), np.arange(len(a) + len(b)) < len(a)
+    total, step = 0.0, max(1, _BLOCK // max(1, len(e)))
+    with np.errstate(invalid="ignore"):
+        for i in range(0, len(levels) - 1, step):
+            low, high = levels[i : i + step], levels[i + 1 : i + 1 + step]
+            low = low[: len(high)]
+            y = ((low + high) / 2)[:, None]
+            x = np.where((e[:, 1] <= y) & (e[:, 3] > y), e[:, 0] + (y - e[:, 1]) * ((e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])), np.inf)
+            order = np.argsort(x, axis=1, kind="stable")
+            x = np.take_along_axis(x, order, 1)
+            here = np.isfinite(x)
+            first = np.cumsum(own[order] & here, axis=1) % 2 == 1
+            second = np.cumsum(~own[order] & here, axis=1) % 2 == 1
+            both = (first & second)[:, :-1]
+            total += float((np.where(both, x[:, 1:] - x[:, :-1], 0.0).sum(axis=1) * (high - low)).sum())
+    return total
 
 
 def overlap_area(a: list[np.ndarray], b: list[np.ndarray]) -> float:
     """[X1] Area that two polygons share; each a list of rings (hull, then holes), of any shape.
 
-    Cut into slabs at all vertices and crossings: within a slab edges do not cross, so sides are straight
-    and the length shared at mid-height times the slab's height is exact.
+    A sweep over slabs of a few vertices each, with lists of the edges that reach into the slab at hand: these
+    are cut further where they cross, and between two cuts sides are straight, so the length shared at mid-height times the height is
+    exact. Memory is that of the edges.
     """
-    ea, eb = _levels(a), _levels(b)
-    ys = [ea[:, 1], eb[:, 1]]
-    d1, d2 = ea[:, None, 2:] - ea[:, None, :2], eb[None, :, 2:] - eb[None, :, :2]
-    w = eb[None, :, :2] - ea[:, None, :2]
-    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
-    det = cross(d1, d2)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t, u = cross(w, d2) / det, cross(w, d1) / det
-    hit = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    i, j = np.nonzero(hit)
-    ys.append(ea[i, 1] + t[i, j] * d1[i, 0, 1])
-    levels = np.unique(np.concatenate(ys))
-    total = 0.0
-    for y0, y1 in zip(levels[:-1], levels[1:]):
-        y = (y0 + y1) / 2
-        cuts = []
-        for e in (ea, eb):
-            on = (e[:, 1] > y) != (e[:, 3] > y)
-            x = e[on, 0] + (y - e[on, 1]) * (e[on, 2] - e[on, 0]) / (e[on, 3] - e[on, 1])
-            cuts.append(np.sort(x).reshape(-1, 2) if len(x) % 2 == 0 else np.empty((0, 2)))
-        for p, q in cuts[0]:
-            total += float(np.clip(np.minimum(cuts[1][:, 1], q) - np.maximum(cuts[1][:, 0], p), 0, None).sum()) * (y1 - y0)
+    edges = [_edges(a), _edges(b)]
+    if not len(edges[0]) or not len(edges[1]):
+        return 0.0
+    low, high = max(e[:, 1].min() for e in edges), min(e[:, 3].max() for e in edges)
+    ys = np.concatenate([e[:, [1, 3]].ravel() for e in edges])
+    ys = np.unique(np.concatenate((ys[(ys > low) & (ys < high)], (low, high))))
+    if low >= high:
+        return 0.0
+    total, live, at = 0.0, [e[:0] for e in edges], [0, 0]
+    for i in range(0, len(ys) - 1, _SLAB):
+        slab = ys[i : i + _SLAB + 1]
+        for k, e in enumerate(edges):
+            to = int(np.searchsorted(e[:, 1], slab[-1], "left"))
+            live[k] = np.vstack((live[k][live[k][:, 3] > slab[0]], e[at[k] : to][e[at[k] : to, 3] > slab[0]]))
+            at[k] = to
+        if len(live[0]) and len(live[1]):
+            cuts = _crossed(*live)
+            levels = np.unique(np.concatenate((slab, cuts[(cuts > slab[0]) & (cuts < slab[-1])])))
+            total += _strips(*live, levels)
     return total
 
 
-def _rings(hull, holes) -> list[np.ndarray]:
-    return [np.array([(p["x"], p["y"]) for p in r], float) for r in [hull, *(holes if holes is not None else [])] if len(r)]
+def _points(ring: pa.StructArray) -> np.ndarray:
+    return np.column_stack([ring.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")])
+
+
+def _rings(hull: pa.ListScalar, holes: pa.ListScalar) -> list[np.ndarray]:
+    rings = [hull.values, *[h.values for h in (holes.values or [])]]
+    return [_points(r) for r in rings if r is not None and len(r)]
 
 
-def _overlaps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        rows = zip(f.pop("hull"), f.pop("holes"), f.pop("mask_hull"), f.pop("mask_holes"))
-        yield f.assign(shared=[overlap_area(_rings(h, x), _rings(m, n)) for h, x, m, n in rows])
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = batch.schema.names
+        shape = [batch.column(names.index(c)) for c in ("hull", "holes", "mask_hull", "mask_holes")]
+        shared = [overlap_area(_rings(h, x), _rings(m, n)) for h, x, m, n in zip(*shape)]
+        rest = [c for c in names if c not in ("hull", "holes", "mask_hull", "mask_holes")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in rest], pa.array(shared, pa.float64())], [*rest, "shared"])
 
 
 def box_overlap_area(a: str = "", b: str = "b_") -> Column:
@@ -116,7 +165,7 @@ def overlay(precincts: DataFrame, masks: DataFrame, rectangles: bool = False, in
     else:
         pairs = pairs.drop(*box, *[f"b_{c}" for c in box])
         kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-        pairs = pairs.mapInPandas(_overlaps, f"`{key}` {kinds[key]}, area double, `{mask_key}` {kinds[mask_key]}, shared double")
+        pairs = pairs.mapInArrow(_overlaps, f"`{key}` {kinds[key]}, area double, `{mask_key}` {kinds[mask_key]}, shared double")
     return pairs.where("shared > 0").select(key, mask_key, "shared", "area", F.try_divide(F.col("shared"), F.col("area")).alias("ratio"))
 
 
