@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .driver_queries import _CV, _REACH, _nodes, _query, _table, CELL, EDGE, LAND, cell_votes, cells, edges, land
 from .functions import geometry as geo
 from .operators import graph, shapes, spatial
+from .plan_checks import by_parts, compactness, efficiency_gap, open_exchanges
 from .plans import contraction, make
 from .schema import SCALE
 from .session import cut
@@ -94,47 +95,6 @@ def overlay_of_combs(spark, d):
 # ---- plans ---------------------------------------------------------------------------------------------
 
 
-def _gap_of(members: DataFrame) -> DataFrame:
-    """(x, score): the efficiency gap of each plan x, negative, so that more is better. ``members``: x, own, votes."""
-    v = members.select("x", "own", F.posexplode("votes").alias("party", "v")).groupBy("x", "own", "party").agg(F.sum("v").alias("v"))
-    top = v.groupBy("x", "own").agg(F.sort_array(F.collect_list("v"), asc=False).alias("s"))  # one value per party
-    w = v.join(top, ["x", "own"]).withColumn("w", F.when(F.col("v") == F.col("s")[0], F.col("v") - F.col("s")[1]).otherwise(F.col("v")))
-    w = w.groupBy("x", "party").agg(F.sum("w").alias("w"), F.sum("v").alias("v"))
-    return w.groupBy("x").agg((-F.coalesce(F.try_divide(F.abs(2 * F.max("w") - F.sum("w")), F.sum("v")), F.lit(0.0))).alias("score"))
-
-
-def _least_compact_of(members: DataFrame) -> DataFrame:
-    from .operators import community
-
-    m = community.quick_compactness(members, by="own").select("own", F.coalesce("compactness", F.lit(0.0)).alias("m"))
-    return members.select("x", "own").distinct().join(m, "own").groupBy("x").agg(F.min("m").alias("score"))
-
-
-def open_exchanges(nodes: DataFrame, e: DataFrame, plan: DataFrame, score) -> DataFrame:
-    """(state, open, score): how many of all possible exchanges would raise a plan's score, and that score.
-
-    Every exchange makes a plan of its own, which is scored whole and looked at for pieces: no use of the kernels.
-    """
-    plan = plan.select("state", "node_id", "community_id")
-    found = graph.exchanges(e, plan.select("node_id", "community_id")).select(F.col("node_id").alias("moved"), "other")
-    states = plan.select("state", F.col("node_id").alias("moved"))
-    found = found.join(states, "moved").union(plan.select(F.lit(None).cast("long").alias("moved"), F.lit(-1).alias("other"), "state").distinct())
-    found = found.withColumn("x", F.concat_ws(":", "state", F.coalesce(F.col("moved").cast("string"), F.lit("-")), "other"))
-    trial = found.join(plan, "state").withColumn("community_id", F.when(F.col("node_id") == F.col("moved"), F.col("other")).otherwise(F.col("community_id")))
-    trial = trial.withColumn("own", F.concat_ws("/", "x", "community_id")).withColumn("at", F.concat_ws("/", "x", "node_id"))
-    trial = cut(trial.select("state", "moved", "x", "node_id", "own", "at"), "trials")
-    ends = lambda n: trial.select("x", F.col("node_id").alias(n), F.col("own").alias(f"{n}_own"), F.col("at").alias(f"{n}_at"))
-    inner = e.join(ends("src"), "src").join(ends("dst"), ["x", "dst"]).where("src_own = dst_own").select(F.col("src_at").alias("src"), F.col("dst_at").alias("dst"))
-    pieces = graph.components(trial.select(F.col("at").alias("id")), inner).join(trial.select(F.col("at").alias("id"), "x"), "id").groupBy("x").agg(F.count_distinct("component").alias("pieces"))
-    kept = trial.groupBy("x").agg(F.count_distinct("own").alias("n"))
-    scores = score(trial.join(nodes.drop("state", "community_id"), "node_id"))
-    rows = trial.select("state", "moved", "x").distinct().join(pieces, "x").join(kept, "x").join(scores, "x")
-    base = rows.where("moved is null").select("state", F.col("score").alias("before"), F.col("n").alias("whole"))
-    rows = rows.where("moved is not null").join(base, "state", "right")
-    better = (F.col("pieces") == F.col("whole")) & (F.col("n") == F.col("whole")) & (F.col("score") > F.col("before") + 1e-9)
-    return rows.groupBy("state").agg(F.count_if(better).alias("open"), F.first("before").alias("score"))
-
-
 #: Nodes and communities of each island, none of its exchanges better, and the measure no worse than the start's.
 _ENDED = f"WITH RECURSIVE {CELL}, {LAND}, {EDGE}, {_REACH} SELECT component AS state, count(*) AS nodes, least(2, count(*))::BIGINT AS communities, 0::BIGINT AS open, true AS no_worse FROM c GROUP BY 1"
 
@@ -155,13 +115,13 @@ def _ended(spark, d, score, measure, maximize):
 @_query(_ENDED)
 def refine_least_compact(spark, d):
     """Steepest ascent on the least compact community of each island's plan."""
-    return _ended(spark, d, _least_compact_of, "least_compact", True)
+    return _ended(spark, d, by_parts(compactness, F.min), "least_compact", True)
 
 
 @_query(_ENDED)
 def refine_efficiency_gap(spark, d):
     """Steepest descent of the efficiency gap of each island's plan."""
-    return _ended(spark, d, _gap_of, "efficiency_gap", False)
+    return _ended(spark, d, efficiency_gap, "efficiency_gap", False)
 
 
 @_query(f"WITH RECURSIVE {CELL}, {LAND}, {EDGE}, {_REACH} SELECT component AS state, count(*) AS nodes, least(3, count(*))::BIGINT AS communities, least(3, count(*))::BIGINT AS pieces FROM c GROUP BY 1")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import plan_checks
 from .functions import colour, stats, text
 from .functions import geometry as geo
 from .functions import votes as vt
@@ -333,8 +334,8 @@ def votes_from_wide_table(spark, d):
 
 @_query(f"WITH {CELL} SELECT id, community_id FROM cell")
 def plan_round_trip(spark, d):
-    a = cells(spark, d).select(F.col("id").alias("precinct_id"), F.dense_rank().over(_window("community_id")).alias("community_id"), F.col("community_id").alias("own"))
-    names = a.select(F.col("community_id").alias("c"), "own").distinct()
+    names = cells(spark, d).select(F.col("community_id").alias("own")).distinct().select("own", F.rank().over(_window("own")).alias("c"))  # a row per community
+    a = cells(spark, d).withColumnRenamed("community_id", "own").join(names, "own").select(F.col("id").alias("precinct_id"), F.col("c").alias("community_id"), "own")
     back = tables.plan_assignment(writers.plan_text(a))
     return back.join(names, F.col("community_id") + 1 == F.col("c")).select(F.col("precinct_id").cast("long").alias("id"), F.col("own").alias("community_id"))
 
@@ -399,8 +400,7 @@ def point_in_circle(spark, d):
 @_query(f"WITH {CELL}, {MASK} SELECT id, mask_id, c.xmin > m.xmin AND c.xmax < m.xmax AND c.ymin > m.ymin AND c.ymax < m.ymax AS inside FROM cell c JOIN mask m ON c.xmin <= m.xmax AND m.xmin <= c.xmax AND c.ymin <= m.ymax AND m.ymin <= c.ymax")
 def box_overlap_join(spark, d):
     pairs = spatial.box_join(cells(spark, d).select("id", "xmin", "xmax", "ymin", "ymax"), masks(spark, d).select("mask_id", "xmin", "xmax", "ymin", "ymax"))
-    inside = F.expr("xmin > b_xmin and xmax < b_xmax and ymin > b_ymin and ymax < b_ymax")
-    return pairs.select("id", "mask_id", inside.alias("inside"))
+    return pairs.select("id", "mask_id", geo.box_inside().alias("inside"))
 
 
 @_query(f"WITH {CELL}, {LAND}, {EDGE} SELECT src, dst FROM edge WHERE src < dst")
@@ -668,52 +668,57 @@ def contraction_invariants(spark, d):
 
 #: Every node once, as many communities as asked for (two, where there are two nodes), each in one piece, and the measure no worse than before.
 _KEPT = f"WITH RECURSIVE {CELL}, {LAND}, {EDGE}, {_REACH} SELECT component AS state, count(*) AS nodes, least(2, count(*))::BIGINT AS communities, least(2, count(*))::BIGINT AS pieces, true AS no_worse FROM c GROUP BY 1"
-
-
-def _compactness(members):
-    return community.quick_compactness(members, by="own").select("own", F.coalesce("compactness", F.lit(0.0)).alias("m"))
-
-
-def _stdev(members):
-    return community.population_deviation(members, by="own").select("own", F.col("stdev").alias("m"))
+#: Also: none of all exchanges is better.
+_BEST = _KEPT.replace("true AS no_worse", "true AS no_worse, 0::BIGINT AS open")
+#: Also: the tolerance is met where the plan says so, and only there.
+_TOLD = _KEPT.replace("true AS no_worse", "true AS no_worse, true AS told")
 
 
 def _population(members):
     return community.population(members, by="own").select("own", F.col("pop").cast("double").alias("m"))
 
 
-#: By method: (own, m) of the communities, and of their m what must not fall. Generating trades compactness against balance: of either alone nothing is promised.
+#: By method the score that must not fall: a mean is told by a sum, as the number of communities stays. Generating and balancing promise the range of populations.
 _SCORES = {
-    "steepest": (_compactness, F.sum), "compactness": (_compactness, F.min), "anneal": (_stdev, lambda m: -F.avg(m)), "spread": (_stdev, lambda m: -F.avg(m)),
-    "population": (_population, lambda m: F.min(m) - F.max(m)), "generate": (_population, lambda m: 0.0 * F.sum(m)),
+    "steepest": plan_checks.by_parts(plan_checks.compactness, F.sum), "compactness": plan_checks.by_parts(plan_checks.compactness, F.min), "anneal": plan_checks.by_parts(plan_checks.population_stdev, lambda m: -F.sum(m)),
+    "spread": plan_checks.by_parts(plan_checks.population_stdev, lambda m: -F.sum(m)), "population": plan_checks.by_parts(_population, lambda m: F.min(m) - F.max(m)), "generate": plan_checks.by_parts(_population, lambda m: F.min(m) - F.max(m)),
 }
 
 
 def _refined(spark, d, method, **options):
-    """What a refined plan keeps."""
-    score, gain = _SCORES[method]
+    """What a refined plan keeps and has reached."""
+    score = _SCORES[method]
     nodes, e = _nodes(spark, d)
-    nodes = cut(nodes, "states")
+    nodes, e = cut(nodes, "states"), cut(e, "edges")
     start = cut(make.initial_plans(nodes, 2).select("state", "node_id", "community_id"), "start")
     if method == "generate":
         plan = make.generate_communities(nodes, 2, **options)
     else:
         plan = make.refine(nodes.join(start, ["state", "node_id"]), method, **options)
-    plan = cut(plan.select("state", "node_id", "community_id"), "plan")
+    plan = cut(plan.select("state", "node_id", "community_id", "status"), "plan")
 
     def scored(of):
-        rows = nodes.join(of, ["state", "node_id"]).withColumn("own", F.concat_ws(":", "state", "community_id"))
-        return rows.select("state", "own").distinct().join(score(rows), "own").groupBy("state").agg(gain(F.col("m")).alias("score"))
+        rows = nodes.join(of.select("state", "node_id", "community_id"), ["state", "node_id"]).withColumn("own", F.concat_ws(":", "state", "community_id"))
+        return score(rows.withColumn("x", F.col("state"))).withColumnRenamed("x", "state")
 
     ends = plan.select(F.col("node_id").alias("id"), F.concat_ws(":", "state", "community_id").alias("own"))
     inner = e.join(ends.select(F.col("id").alias("src"), F.col("own").alias("a")), "src").join(ends.select(F.col("id").alias("dst"), F.col("own").alias("b")), "dst").where("a = b").select("src", "dst")
     pieces = graph.components(ends, inner).join(plan.select(F.col("node_id").alias("id"), "state"), "id").groupBy("state").agg(F.count_distinct("component").alias("pieces"))
     rows = plan.groupBy("state").agg(F.count_distinct("node_id").alias("nodes"), F.count_distinct("community_id").alias("communities"))
     better = scored(plan).join(scored(start).withColumnRenamed("score", "before"), "state").select("state", (F.col("score") >= F.col("before") - 1e-9).alias("no_worse"))
-    return rows.join(pieces, "state").join(better, "state")
+    out = rows.join(pieces, "state").join(better, "state")
+    if method in ("steepest", "spread"):
+        out = out.join(plan_checks.open_exchanges(nodes, e, plan, score).select("state", "open"), "state")
+    if method in ("population", "generate"):
+        pops = plan.join(nodes.select("state", "node_id", "pop"), ["state", "node_id"]).groupBy("state", "community_id", "status").agg(F.sum("pop").alias("pop"))
+        near = F.max(F.abs(F.col("pop") - F.col("mean")) / F.col("mean")) <= options.get("percent", 1.0) / 200
+        means = pops.groupBy("state").agg(F.avg("pop").alias("mean"))
+        told = pops.join(means, "state").groupBy("state").agg((near == (F.first("status") == "met")).alias("told"))
+        out = out.join(told, "state")
+    return out
 
 
-@_query(_KEPT)
+@_query(_BEST)
 def refine_steepest(spark, d):
     return _refined(spark, d, "steepest", measure="quick_compactness")
 
@@ -728,17 +733,17 @@ def refine_compactness(spark, d):
     return _refined(spark, d, "compactness")
 
 
-@_query(_KEPT)
+@_query(_TOLD)
 def refine_population(spark, d):
     return _refined(spark, d, "population", percent=5.0)
 
 
-@_query(_KEPT)
+@_query(_BEST)
 def refine_spread(spark, d):
     return _refined(spark, d, "spread", measure="population_stdev")
 
 
-@_query(_KEPT)
+@_query(_TOLD)
 def generate_communities(spark, d):
     return _refined(spark, d, "generate")
 
@@ -836,7 +841,7 @@ def delimited_source(spark, d):
     name = shared_path(spark, "votes") + ".tab"
     line = F.concat_ws("\t", F.concat(F.lit('"'), "id", F.lit('"')), *[F.when(F.col(c) > 0, F.col(c).cast("string")).otherwise("none") for c in ("dem", "rep", "green")])
     head = spark.range(1).select(F.lit("id\tD08\tR08\tG08").alias("line"))
-    writers.write_text(head.union(wide.select(line)).coalesce(1), name)
+    writers.write_text(head.union(wide.select(line)), name)
     assert tables.reader_for(name) == ("tab", "none")
     keys = tables.parse_keys('{"ELE": "id", "DEM": "D08", "REP": "R08", "GRE": "G08"}')
     rows = tables.read_delimited(spark, name).where(F.col("cells")[0] != "id")

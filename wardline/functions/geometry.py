@@ -119,16 +119,16 @@ def with_box(df, ring: str = "ring"):
     return df.withColumns(bounding_box(F.col(ring)))
 
 
-def boxes_overlap(a: str, b: str) -> Column:
-    """Closed boxes of two aliased rows; touching counts."""
+def boxes_overlap(a: str = "", b: str = "b_") -> Column:
+    """Closed boxes in columns of these prefixes; touching counts."""
     c = F.col
-    return (c(f"{a}.xmin") <= c(f"{b}.xmax")) & (c(f"{b}.xmin") <= c(f"{a}.xmax")) & (c(f"{a}.ymin") <= c(f"{b}.ymax")) & (c(f"{b}.ymin") <= c(f"{a}.ymax"))
+    return (c(f"{a}xmin") <= c(f"{b}xmax")) & (c(f"{b}xmin") <= c(f"{a}xmax")) & (c(f"{a}ymin") <= c(f"{b}ymax")) & (c(f"{b}ymin") <= c(f"{a}ymax"))
 
 
-def box_inside(a: str, b: str) -> Column:
-    """Box of a strictly within that of b."""
+def box_inside(a: str = "", b: str = "b_") -> Column:
+    """Box of a strictly within that of b, in columns of these prefixes."""
     c = F.col
-    return (c(f"{a}.xmin") > c(f"{b}.xmin")) & (c(f"{a}.xmax") < c(f"{b}.xmax")) & (c(f"{a}.ymin") > c(f"{b}.ymin")) & (c(f"{a}.ymax") < c(f"{b}.ymax"))
+    return (c(f"{a}xmin") > c(f"{b}xmin")) & (c(f"{a}xmax") < c(f"{b}xmax")) & (c(f"{a}ymin") > c(f"{b}ymin")) & (c(f"{a}ymax") < c(f"{b}ymax"))
 
 
 def point_in_ring(x: Column, y: Column, ring: Column) -> Column:

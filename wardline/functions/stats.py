@@ -20,8 +20,3 @@ def deviation(v: Column, weight: Column | None = None) -> Column:
         return F.stddev_pop(v.cast("double"))
     m = mean(v, weight)
     return F.sqrt(F.greatest(mean(v * v, weight) - m * m, F.lit(0.0)))
-
-
-def mean_over(measure: Column) -> Column:
-    """[A5] Mean of a measure over communities."""
-    return F.avg(measure)

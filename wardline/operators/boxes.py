@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import boxes_overlap
+
 #: Boxes (columns of a row) in the order in which helpers take them.
 _BOX = ("xmin", "xmax", "ymin", "ymax")
 #: Doublings of the cell's side up to which large boxes are dealt out in as many copies.
@@ -49,7 +51,7 @@ def box_join(a: DataFrame, b: DataFrame, cell: float | None = None) -> DataFrame
         coarser = F.filter(F.array(*[F.lit(n) for n in grids]), lambda n: n >= low)
         return dealt(df if flat else df.withColumn(level, F.explode(coarser)).withColumn(part, F.pmod(F.xxhash64(*_BOX), parts).cast("int")))
 
-    meet = (F.col("xmin") <= F.col("b_xmax")) & (F.col("b_xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("b_ymax")) & (F.col("b_ymin") <= F.col("ymax"))
+    meet = boxes_overlap()
     first = (F.col(gx) == F.floor(F.greatest("xmin", "b_xmin") / side)) & (F.col(gy) == F.floor(F.greatest("ymin", "b_ymin") / side))
     pair = lambda x, y: x.join(y.withColumnsRenamed({c: f"b_{c}" for c in _BOX}), at).where(meet & first).drop(*at)
     out = pair(settled(a), visiting(b, levels[0], home))

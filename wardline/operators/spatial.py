@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import polygon_area, segments
+from ..functions.geometry import box_inside, polygon_area, segments
 from .boxes import box_join
 from .noding import shared_pieces
 
@@ -159,7 +159,7 @@ def overlay(precincts: DataFrame, masks: DataFrame, rectangles: bool = False, in
     b = masks.select(mask_key, *box, *[F.col(c).alias(f"mask_{c}") for c in shape])
     pairs = box_join(a, b)
     if inside:
-        pairs = pairs.where("xmin > b_xmin and xmax < b_xmax and ymin > b_ymin and ymax < b_ymax")
+        pairs = pairs.where(box_inside())
     if rectangles:
         pairs = pairs.withColumn("shared", box_overlap_area())
     else:

@@ -547,7 +547,8 @@ def improve_spread(plan: Plan, measure: Measure | Sums, rounds: int | None = Non
 def generate(state: State, k: int, seed: int = 0, rounds: int = 30, percent: float = 1.0, patience: int | None = None) -> Plan:
     """[G27] Contraction, then rounds of compactness and population refinement until they change nothing.
 
-    The best balanced of the rounds' plans and of the start; its ``status`` is that of the last balancing.
+    The best balanced of the rounds' plans and of the start; its ``status`` is that of the last balancing, or MET where
+    an earlier round met the tolerance.
     """
     plan = Plan(state, random_contraction(state, k, seed))
     best, status = dict(plan.of), MET
@@ -559,7 +560,8 @@ def generate(state: State, k: int, seed: int = 0, rounds: int = 30, percent: flo
             best = dict(plan.of)
         if plan.of == before:
             break
-    return Plan(state, best, status)
+    mean = sum(state.pop.values()) / k
+    return Plan(state, best, MET if status == MET or _imbalance(Plan(state, best)) <= mean * percent / 200 else status)
 
 
 def _imbalance(plan: Plan) -> float:

@@ -23,8 +23,3 @@ def party_ordinal(party: Column) -> Column:
 
 def parties(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(PARTIES)), "ordinal int, party string")
-
-
-def map_columns(df: DataFrame, roles: dict[str, str]) -> DataFrame:
-    """Source columns under their role names (role -> column); sources differ, roles do not. [S18, S19]"""
-    return df.select(*[F.col(f"`{c}`").alias(r) for r, c in roles.items()])

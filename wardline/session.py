@@ -1,4 +1,4 @@
-"""Spark session and shared folders."""
+"""Shared folders."""
 
 from __future__ import annotations
 
@@ -8,14 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def session(name: str = "wardline", **conf: str) -> SparkSession:
-    """A session with adaptive execution and UTC; further settings as keyword arguments (dots as ``__``)."""
-    b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
-    for k, v in conf.items():
-        b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset and the master local, an error elsewhere."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

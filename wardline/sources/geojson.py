@@ -61,15 +61,20 @@ def read_precincts(spark: SparkSession, path: str, keys: dict[str, str], scale:
     return rows.select(*values, F.size("parts").alias("n_parts"), F.posexplode("parts").alias("part", "p")).select("*", "p.hull", "p.holes").drop("p")
 
 
-def read_districts(spark: SparkSession, path: str) -> DataFrame:
-    """[S7] district_id (position in the file), part, hull, holes; always scaled."""
-    rows = read_features(spark, path).withColumn("parts", parts(F.col("kind"), F.col("coordinates"), "truncate"))
+def read_districts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """[S7] district_id (position in its collection), part, hull, holes; always scaled. ``lines`` as in read_features()."""
+    rows = read_features(spark, path, lines).withColumn("parts", parts(F.col("kind"), F.col("coordinates"), "truncate"))
     return rows.select(F.col("feature").alias("district_id"), F.posexplode("parts").alias("part", "p")).select("district_id", "part", "p.hull", "p.holes")
 
 
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """[S22] Whole files as (path, text)."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def combine_shapes(spark: SparkSession, paths: str) -> DataFrame:
     """[S21] (state, collection): single shapes gathered into a FeatureCollection by the prefix of their folder's name."""
-    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("shape"))
+    rows = read_text(spark, paths).select("path", F.trim("text").alias("shape"))
     folder = F.element_at(F.split("path", "/"), -2)
     rows = rows.withColumn("state", F.regexp_extract(folder, r"^([^0-9]*?)_?[0-9]*$", 1))
     shapes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "shape"))), lambda x: x["shape"]), ",")
