@@ -197,8 +197,56 @@ def test_mixing_meets_targets(docs, spark):
     assert abs(sum(target.values()) - 1.5 * sum(size.values())) < 1e-6
 
 
+def targets(sizes: list, weights: list, share: float, most: float) -> list:
+    """Water filling: ``share`` times all sizes by weight, no target above ``most`` times its size.
+
+    What a stopped source leaves is shared again by weight until none is above. Sources of size 0 get 0.
+    """
+    left, weight = share * sum(sizes), float(sum(weights))
+    out = [0.0] * len(sizes)
+    most = float(most)
+    order = sorted(range(len(sizes)), key=lambda i: (most * sizes[i] / weights[i], i))
+    for k, i in enumerate(order):
+        cap = most * sizes[i]
+        if cap / weights[i] >= left / weight:
+            for j in order[k:]:
+                out[j] = min(most * sizes[j], left / weight * weights[j])
+            break
+        out[i] = cap
+        left, weight = left - cap, weight - weights[i]
+    return out
+
+
+def test_water_filling(spark):
+    assert targets([100, 100, 1], [1, 1, 1], 1.5, 2) == [149.75, 149.75, 2.0]
+    rng = random.Random(8)
+    for n in (1, 4, 60):
+        sizes = [rng.choice([0, 1, 7, 500, 20_000]) + rng.randint(0, 3) for _ in range(n)]
+        names = sorted({f"{rng.randint(0, 999)}é"[: rng.randint(1, 4)] + str(i) for i in range(n)}, key=str.encode)
+        names[-1] = None
+        df = spark.createDataFrame(rng.sample(list(zip(names, sizes)), n), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.source_targets(df, (5, 2, 1), 1.5, 2).collect()}
+        want = dict(zip(names, targets(sizes, [(5, 2, 1)[i % 3] for i in range(n)], 1.5, 2)))
+        assert got == pytest.approx(want)
+    assert mixing.source_targets(df.where("false"), (5, 2, 1), 1.5, 2).count() == 0
+
+
+def test_more_sources_than_patterns_may_be_gathered(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 5)
+    df = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 700).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 9).cast("int")).alias("text"))
+    few = mixing.mix_by_source(df)
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 200_000)
+    assert sorted(few.collect()) == sorted(mixing.mix_by_source(df).collect())
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 5)
+    both = df.withColumn("sources", F.when(F.col("doc_id") % 700 < 4, F.array(F.lit("a"), F.lit("b"))).when(F.col("doc_id") % 700 < 6, F.array(F.lit("b"))).otherwise(F.array("source")))
+    chosen, per = mixing.mix(both, F.col("sources"))
+    got = {r.source: r for r in per.collect()}
+    assert len(got) == 696 and got["b"].flow <= round(got["b"].target) and sum(r["rows"] for r in chosen.collect()) == 3_000
+    with pytest.raises(ValueError, match="overlap"):
+        mixing.mix(df.withColumn("sources", F.array("source", F.lit("all"))), F.col("sources"))
+
+
 def test_water_filling_and_flow():
-    assert mixing.targets([100, 100, 1], [1, 1, 1], 1.5, 2) == [149.75, 149.75, 2.0]
     # pattern {0, 1} serves both sources; repeats cost more than first copies
     flow = mixing.min_cost_flow([10, 10, 10], [[0], [0, 1], [1]], [12, 12], 2)
     assert [sum(f.get(s, 0) for f in flow) for s in (0, 1)] == [12, 12]

@@ -287,6 +287,26 @@ def test_bpe_query_against_the_library(spark, bpe):
     assert bpe_trie.digests(docs.limit(0), bpe[0]).count() == 0
 
 
+def test_folders_of_threads_are_their_own(spark):
+    import threading
+
+    from wardline.llm import common
+
+    inside, seen = threading.Event(), {}
+
+    def run():
+        seen["other"] = common.shared_dir(spark, "x")
+        inside.set()
+
+    with common.passing(spark):
+        seen["own"] = common.shared_dir(spark, "x")
+        t = threading.Thread(target=run)
+        t.start()
+        t.join()
+    seen["after"] = common.shared_dir(spark, "x")
+    assert inside.is_set() and "passing-" in seen["own"] and "passing-" not in seen["other"] + seen["after"]
+
+
 @pytest.mark.parametrize("name", ["op11_importance", "op12_conversations"])
 def test_query_equals_sql(spark, name):
     same(queries.queries()[name](spark, D), run_sql(name, **{t: f"{D}/{t}.parquet" for t in ("documents", "benchmark", "conversations")}))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
@@ -39,23 +40,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="wardline-")
             spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{_below}{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{_below.get()}{name}-{uuid.uuid4().hex}"
 
 
-#: Folder below the shared one that shared_dir() uses within passing().
-_below = ""
+#: Folder below the shared one that shared_dir() uses within passing(), for each thread its own.
+_below: contextvars.ContextVar[str] = contextvars.ContextVar("below", default="")
 
 
 @contextlib.contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """What operators write to the shared folder in this block goes at its end: results must be written by then."""
-    global _below
     path = shared_dir(spark, "passing")
-    before, _below = _below, f"{_below}{path.rsplit('/', 1)[1]}/"
+    before = _below.set(f"{_below.get()}{path.rsplit('/', 1)[1]}/")
     try:
         yield
     finally:
-        _below = before
+        _below.reset(before)
         remove(spark, path)
 
 

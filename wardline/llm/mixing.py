@@ -1,8 +1,8 @@
-"""Mixing sources to target weights by min-cost flow over membership patterns. [DataFrame functions; the flow runs on pattern totals]"""
+"""Mixing sources to target weights by min-cost flow over membership patterns. [DataFrame functions; where sources overlap, the flow runs on pattern totals]"""
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialise, own_prefix, repeated
 
-#: Patterns whose totals are gathered on the driver, at most; more raise an error rather than being cut.
+#: Patterns of overlapping sources that are gathered on the driver, at most; more raise an error rather than being cut.
+#: Also the rows up to which a table of patterns or sources is broadcast; beyond, it is joined by exchange.
 MAX_PATTERNS = 200_000
 
 
@@ -18,24 +19,36 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most: float) -> list[float]:
-    """Water filling: ``share`` times all sizes by weight, no target above ``most`` times its size.
+def source_targets(sources: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """(source, source_size) with ``target``: water filling, ``share`` times all sizes by weight, none above ``most`` times its size.
 
-    What a stopped source leaves is shared again by weight until none is above. Sources of size 0 get 0.
+    Sources in code-point order, null last, weigh ``weights`` in turn. What a stopped source leaves is shared again by
+    weight until none is above: the level rises from pass to pass over the sources' table, in a few passes, as every one
+    stops a source at least. Sources of size 0 get 0. Places in the order are counted by ranges, so no task sees all sources.
     """
-    left, weight = share * sum(sizes), float(sum(weights))
-    out = [0.0] * len(sizes)
-    most = float(most)
-    order = sorted(range(len(sizes)), key=lambda i: (most * sizes[i] / weights[i], i))
-    for k, i in enumerate(order):
-        cap = most * sizes[i]
-        if cap / weights[i] >= left / weight:
-            for j in order[k:]:
-                out[j] = min(most * sizes[j], left / weight * weights[j])
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = sources.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranged = materialise(ranged, "sources")
+    parts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + F.col("before")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights)).cast("int"))
+    rows = ranged.join(F.broadcast(parts.select("part", before.alias("before"))), "part")  # a row per range
+    rows = rows.select("source", "source_size", weight.alias("w"), (F.lit(float(most)) * F.col("source_size")).alias("cap"))
+    rows = materialise(rows, "weighed")
+    total, weight = rows.agg(share * F.sum("source_size").cast("double"), F.sum("w")).first()
+    stop, level = -1, 0.0
+    while total is not None:
+        under = F.col("cap") / F.col("w") < F.lit(level)
+        n, used, gone = rows.agg(F.count_if(under), F.sum(F.when(under, F.col("cap"))), F.sum(F.when(under, F.col("w")))).first()
+        if n == stop:
             break
-        out[i] = cap
-        left, weight = left - cap, weight - weights[i]
-    return out
+        stop = n
+        if weight - (gone or 0.0) <= 0:
+            level = float("inf")
+            break
+        level = (total - (used or 0.0)) / (weight - (gone or 0.0))
+    return rows.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def min_cost_flow(capacity: Sequence[int], member: Sequence[Sequence[int]], quota: Sequence[int], repeats: int) -> list[dict[int, int]]:
@@ -128,34 +141,40 @@ def seeded_order(seed: int, *cols: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]))
 
 
-def select_tokens(rows: DataFrame, wanted: dict[int, tuple[int, int]], seed: int) -> DataFrame:
+def _with_plan(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """Rows with what is planned for their pattern: a broadcast where there are few patterns, else a join that may be split."""
+    return rows.join(F.broadcast(plan) if few else plan, "pattern")
+
+
+def select_tokens(rows: DataFrame, wanted: DataFrame, seed: int, few: bool) -> DataFrame:
     """(doc_id, pattern, size, rows, base, extra) of ``rows`` (doc_id, pattern, size): ``rows`` of them are alike,
     each is taken ``base`` times, and ``extra`` of them once more.
 
-    ``wanted``: tokens that each pattern sends on, and its total. Every document of a pattern is taken
+    ``wanted``: (pattern, tokens, total), the tokens that each pattern sends on, and its size. Every document of a pattern is taken
     tokens // total times; the rest goes to documents in seeded order until it is met as nearly as whole
     documents allow. The place where the order stops is found by adding up bins of the order's leading
     digits, twice, so no pattern is ever sorted as a whole: only one in 16 million of its documents are.
     """
-    spark = rows.sparkSession
     keyed = rows.groupBy("doc_id", "pattern", "size").agg(F.count(F.lit(1)).alias("rows")).withColumn("u", seeded_order(seed, F.col("doc_id"), F.col("size")))
     for i in (0, 1):
         keyed = keyed.withColumn(f"bin{i}", F.conv(F.substring("u", 1 + 3 * i, 3), 16, 10).cast("int"))
-    left = {p: (t // n, t % n) if n else (0, 0) for p, (t, n) in wanted.items()}
-    ends = {p: [-1, -1] for p in left}
-    before = dict.fromkeys(left, 0)
-    for i in (0, 1):
-        plan = spark.createDataFrame([(p, int(x), int(before[p]), ends[p][0]) for p, (_, x) in left.items()], "pattern int, rest long, start long, end0 int")
-        within = keyed.join(F.broadcast(plan), "pattern")  # at most MAX_PATTERNS rows
-        if i:
-            within = within.where("bin0 = end0")
-        bins = within.groupBy("pattern", f"bin{i}").agg(F.sum(F.col("size") * F.col("rows")).alias("n"), F.first("rest").alias("rest"), F.first("start").alias("start"))
+    some = F.col("total") > 0
+    plan = wanted.select("pattern", F.when(some, F.expr("tokens div total")).otherwise(0).alias("base"), F.when(some, F.col("tokens") % F.col("total")).otherwise(0).alias("rest"))
+    tokens = F.sum(F.col("size") * F.col("rows")).alias("n")
+
+    def stop(bins: DataFrame, i: int) -> DataFrame:
+        """Per pattern the bin in which the order stops, and what lies before it: 4,096 bins at most are put in order."""
         at = F.col("start") + F.sum("n").over(Window.partitionBy("pattern").orderBy(f"bin{i}")) - F.col("n")
-        stop = bins.withColumn("at", at).where("0 < rest and at <= rest and rest < at + n")
-        for r in stop.select("pattern", F.col(f"bin{i}").alias("end"), "at").collect():  # one row per pattern
-            ends[r.pattern][i], before[r.pattern] = r.end, r.at
-    plan = [(p, int(r), int(x), *ends[p], int(before[p])) for p, (r, x) in left.items()]
-    placed = keyed.join(F.broadcast(spark.createDataFrame(plan, "pattern int, base long, rest long, end0 int, end1 int, before long")), "pattern")
+        found = bins.withColumn("at", at).where("0 < rest and at <= rest and rest < at + n")
+        return materialise(found.select("pattern", F.col(f"bin{i}").alias(f"end{i}"), F.col("at").alias(f"at{i}")), "stops")
+
+    zero = F.lit(0).cast("long")
+    first = stop(keyed.groupBy("pattern", "bin0").agg(tokens).join(plan, "pattern").withColumn("start", zero), 0)
+    inner = _with_plan(keyed, first, few).where("bin0 = end0").groupBy("pattern", "bin1", "at0").agg(tokens)
+    second = stop(inner.join(plan, "pattern").withColumn("start", F.col("at0")), 1)
+    plan = plan.join(first.drop("at0"), "pattern", "left").join(second, "pattern", "left")
+    plan = plan.select("pattern", "base", "rest", F.coalesce("end0", F.lit(-1)).alias("end0"), F.coalesce("end1", F.lit(-1)).alias("end1"), F.coalesce("at1", zero).alias("before"))
+    placed = _with_plan(keyed, plan, few)
     edge = (F.col("bin0") == F.col("end0")) & (F.col("bin1") == F.col("end1"))
     early = (F.col("bin0") < F.col("end0")) | ((F.col("bin0") == F.col("end0")) & (F.col("bin1") < F.col("end1")))
     clear = placed.where(~edge).withColumn("extra", F.when(early, F.col("rows")).otherwise(F.lit(0).cast("long")))
@@ -168,6 +187,30 @@ def select_tokens(rows: DataFrame, wanted: dict[int, tuple[int, int]], seed: int
     return clear.unionByName(rest).select("doc_id", "pattern", "size", "rows", "base", "extra")
 
 
+def _overlapping(patterns: DataFrame, per: DataFrame, shared: DataFrame, repeats: int) -> tuple[DataFrame, DataFrame]:
+    """(pattern, tokens) and (source, flow) of the parts of the network whose sources overlap: these run through the flow on the driver."""
+    key = told(F.col("source"))
+    mine = patterns.select("pattern", "members", "n", F.explode("members").alias("source")).join(shared.select(key.alias("k")), key == F.col("k"), "left_semi")
+    found = mine.select("pattern", "members", "n").distinct().limit(MAX_PATTERNS + 1).collect()
+    if len(found) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns of sources that overlap; merge small sources first")
+    found.sort(key=lambda r: [(x is None, (x or "").encode()) for x in r.members])
+    quota = {r.source: r.quota for r in per.join(shared.select(key.alias("k")), key == F.col("k"), "left_semi").select("source", F.round("target").cast("long").alias("quota")).collect()}
+    names = sorted(quota, key=lambda x: (x is None, (x or "").encode()))
+    at = {x: i for i, x in enumerate(names)}
+    flow = route([r.n for r in found], [[at[x] for x in r.members] for r in found], [quota[x] for x in names], repeats)
+    spark, got = patterns.sparkSession, Counter()
+    for f in flow:
+        got.update(f)
+    tokens = spark.createDataFrame([(r.pattern, sum(f.values())) for r, f in zip(found, flow)], "pattern long, tokens long")
+    return tokens, spark.createDataFrame([(x, got[i]) for x, i in at.items()], "source string, flow long")
+
+
+def told(c: Column) -> Column:
+    """A value as text that tells null from everything else, for joins."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+
+
 def mix(docs: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Choose how often each document is taken so that sources come near their targets.
 
@@ -179,38 +222,43 @@ def mix(docs: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1),
     to each source it belongs to, and is taken at most ``repeats`` times. Documents without words are
     taken as often as the rest of their pattern at least is. Same input and seed: same choice, however
     rows are partitioned. A document without sources (null or empty array) forms a pattern that no source draws on.
+
+    A source that overlaps with none is one arc of the network by itself: its flow is its target, and nothing of
+    it reaches the driver. Only patterns of sources that share documents do, MAX_PATTERNS at most.
     """
     members = F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))
     rows = materialise(docs.select("doc_id", members.alias("members"), word_count(F.col("text")).alias("size")), "sizes")
-    found = rows.groupBy("members").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns; merge small sources first")
-    found.sort(key=lambda r: [(x is None, (x or "").encode()) for x in r.members])
-    names = sorted({x for r in found for x in r.members}, key=lambda x: (x is None, (x or "").encode()))
-    at = {x: i for i, x in enumerate(names)}
-    sizes = [0] * len(names)
-    for r in found:
-        for x in r.members:
-            sizes[at[x]] += r.n
-    wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share, repeats) if names else []
-    flow = route([r.n for r in found], [[at[x] for x in r.members] for r in found], [round(t) for t in wanted], repeats)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(r.members, i) for i, r in enumerate(found)], "members array<string>, pattern int")
-    same = F.coalesce(F.to_json("members", {"ignoreNullFields": "false"}), F.lit(""))
-    chosen = select_tokens(
-        rows.withColumn("m", same).join(F.broadcast(plan.select(same.alias("m"), "pattern")), "m").select("doc_id", "pattern", "size"),
-        {i: (sum(f.values()), found[i].n) for i, f in enumerate(flow)},
-        seed,
-    )
-    got = [sum(f.get(i, 0) for f in flow) for i in range(len(names))]
-    per = spark.createDataFrame([(x, s, t, g) for x, s, t, g in zip(names, sizes, wanted, got)], "source string, source_size long, target double, flow long")
-    return chosen.join(F.broadcast(plan), "pattern"), per
+    name = F.coalesce(F.to_json("members", {"ignoreNullFields": "false"}), F.lit(""))
+    patterns = rows.groupBy("members").agg(F.sum("size").alias("n")).withColumn("pattern", F.monotonically_increasing_id())
+    patterns = materialise(patterns, "patterns")
+    few = patterns.count() <= MAX_PATTERNS
+    each = patterns.select("pattern", "n", F.size("members").alias("k"), F.explode("members").alias("source"))
+    per = materialise(source_targets(each.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, repeats), "targets")
+    shared = materialise(each.where("k > 1").select("source").distinct(), "shared")
+    alone = each.where("k = 1").withColumn("own", told(F.col("source")))
+    alone = alone.join(shared.select(told(F.col("source")).alias("own")), "own", "left_anti")
+    aim = per.select(told(F.col("source")).alias("own"), F.round("target").cast("long").alias("tokens"))
+    tokens = alone.join(aim, "own").select("pattern", "source", "tokens")
+    flow = tokens.select("source", F.col("tokens").alias("flow"))
+    tokens = tokens.select("pattern", "tokens")
+    if not shared.isEmpty():
+        more, got = _overlapping(patterns, per, shared, repeats)
+        tokens, flow = tokens.union(more), flow.union(got)
+    wanted = patterns.join(tokens, "pattern", "left").select("pattern", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.col("n").alias("total"))
+    names = patterns.select(name.alias("m"), "pattern")
+    named = rows.withColumn("m", name).join(F.broadcast(names) if few else names, "m").select("doc_id", "pattern", "size")
+    chosen = select_tokens(named, materialise(wanted, "wanted"), seed, few)
+    flow = flow.select(told(F.col("source")).alias("own"), "flow")
+    per = per.withColumn("own", told(F.col("source"))).join(flow, "own").drop("own")
+    return _with_plan(chosen, patterns.select("pattern", "members"), few), per.select("source", "source_size", "target", "flow")
 
 
 def _by_source(docs: DataFrame, seed: int) -> DataFrame:
     chosen, per = mix(docs, F.array("source"), seed=seed)
-    per = F.broadcast(per)  # one row per source, at most MAX_PATTERNS
-    return chosen.withColumn("own", F.col("members")[0]).join(per, F.col("own").eqNullSafe(F.col("source"))).drop("own", "members")
+    per = materialise(per, "per-source")
+    per = F.broadcast(per) if per.count() <= MAX_PATTERNS else per
+    own = per.withColumn("own", told(F.col("source")))
+    return chosen.withColumn("own", told(F.col("members")[0])).join(own, "own").drop("own", "members")
 
 
 def mix_by_source(docs: DataFrame, seed: int = 42) -> DataFrame:
@@ -233,14 +281,13 @@ def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     columns, own = docs.columns, own_prefix(docs.columns)
     names = [f"{own}{c}" for c in ("id", "size", "source")]
     base, extra, some_of, nth = (f"{own}{c}" for c in ("base", "extra", "some", "nth"))
-    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     chosen = _by_source(docs, seed).select(
-        told("doc_id").alias(names[0]), F.col("size").alias(names[1]), told("source").alias(names[2]),
+        told(F.col("doc_id")).alias(names[0]), F.col("size").alias(names[1]), told(F.col("source")).alias(names[2]),
         (F.col("base") + (F.col("extra") == F.col("rows")).cast("long")).alias(base),
         F.when(F.col("extra") < F.col("rows"), F.col("extra")).otherwise(0).alias(extra),
     )
     chosen = chosen.where(f"{base} > 0 or {extra} > 0")
-    rows = docs.withColumns(dict(zip(names, (told("doc_id"), word_count(F.col("text")), told("source"))))).join(chosen, names)
+    rows = docs.withColumns(dict(zip(names, (told(F.col("doc_id")), word_count(F.col("text")), told(F.col("source")))))).join(chosen, names)
     whole = rows.where(F.col(extra) == 0).withColumn(nth, F.lit(1))
     some = rows.where(F.col(extra) > 0).withColumn(nth, F.row_number().over(Window.partitionBy(*names).orderBy("text")))
     reps = F.col(base) + (F.col(nth) <= F.col(extra)).cast("long")
