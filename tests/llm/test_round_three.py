@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from wardline.llm import bpe_trie, conversations, importance, queries
+from wardline.llm import bpe_trie, conversations, importance, quality, queries, toxicity
 
 D = "/root/testdata/sf0.001"
 WORDS = "the of and in a that house tree river stone light winter naïve 日本 x1 long short green idea water".split()
@@ -287,6 +287,75 @@ def test_bpe_query_against_the_library(spark, bpe):
     assert bpe_trie.digests(docs.limit(0), bpe[0]).count() == 0
 
 
+# ---- quality scorer
+
+
+def plain_gram_shares(text):
+    """Bucket -> weight as features() defines them, gram by gram."""
+    raw, out = text.encode(), Counter()
+    out[0] = min(1.0, len(raw) / 400)
+    for n in (1, 2, 3):
+        counts = Counter()
+        for i in range(len(raw) - n + 1):
+            h = 0
+            for b in raw[i : i + n]:
+                h = (h * 257 + b + 1) % 2**32
+            h = h * 0x9E3779B1 % 2**32
+            counts[((h ^ (h >> 15)) % (quality._BUCKETS - 1)) + 1] += 1
+        norm = math.sqrt(sum(c * c for c in counts.values()))
+        for k, c in counts.items():
+            out[k] += c / norm
+    return out
+
+
+def plain_regression(texts, good, epochs=12, seed=3):
+    """Logistic regression by Adagrad over dictionaries."""
+    rng, rows = np.random.default_rng(seed), [plain_gram_shares(t) for t in texts]
+    w, g, bias, gb = Counter(), {}, 0.0, 1e-6
+    for _ in range(epochs):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), 32):
+            own = order[at : at + 32]
+            err = [1 / (1 + math.exp(-(sum(v * w[k] for k, v in rows[i].items()) + bias))) - good[i] for i in own]
+            d = Counter()
+            for i, e in zip(own, err):
+                for k, v in rows[i].items():
+                    d[k] += e * v / len(own)
+            for k, x in d.items():
+                g[k] = g.get(k, 1e-6) + x * x
+                w[k] -= 0.3 * x / math.sqrt(g[k])
+            total = sum(err) / len(own)
+            gb += total**2
+            bias -= 0.3 * total / math.sqrt(gb)
+    return lambda t: 1 / (1 + math.exp(-(sum(v * w[k] for k, v in plain_gram_shares(t).items()) + bias)))
+
+
+def test_quality_scores_against_a_plain_regression(spark):
+    rng = random.Random(12)
+    rows = [(i, (text_of(rng, rng.randint(0, 40)) if i % 3 else "".join(rng.choice("#$%&12 A") for _ in range(60)))) for i in range(50)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    texts = [t or "" for _, t in sorted(rows)]
+    score = plain_regression(texts, [got[i].posterior for i, _ in sorted(rows)])
+    for (i, _), t in zip(sorted(rows), texts):
+        assert got[i].score == pytest.approx(score(t), abs=1e-6) and got[i].predicted == int(got[i].score >= 0.5)
+    small = quality.quality(df, sample=4).collect()
+    assert any(abs(r.score - got[r.doc_id].score) > 1e-6 for r in small)
+    nameless = quality.quality(df.selectExpr("cast(null as bigint) as doc_id", "text")).collect()
+    assert len(nameless) == len(rows) and all(r.score == r.posterior for r in nameless)
+    few = quality.quality(df, sample_bytes=1).collect()  # at most texts without a byte, or of one
+    assert len(few) == len(rows) and any(r.score != got[r.doc_id].score for r in few)
+    assert quality.quality(df.limit(0)).count() == 0
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    rows = [(i, f"word{i} " * 20 + ("foul " * 5 if i % 2 else "fair " * 5)) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    whole, part, none = (toxicity.fit_on(docs, labels, sample_bytes=n) for n in (1 << 20, 1_000, 0))
+    assert toxicity.fit_on(docs, labels).offset() == whole.offset()
+    assert len({m.table().tobytes() for m in (whole, part, none)}) == 3
+
+
 def test_folders_of_threads_are_their_own(spark):
     import threading
 

@@ -8,14 +8,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import map_arrow, materialise, pieces, texts_of
 
-#: Weakly labelled rows that the scorer is fitted on, at most.
-SAMPLE = 6_000
+#: Weakly labelled rows that the scorer is fitted on, at most, and bytes that their texts hold together.
+SAMPLE, SAMPLE_BYTES = 6_000, 64 << 20
 _BUCKETS = 1 << 14
 _STRETCH = 200
 _UPPER = bytes(range(65, 91))
@@ -142,7 +141,8 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["".join("?01"[v + 1] for v in row) for row in found], pa.string())], ["doc_id", "votes"])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: LabelModel, w: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: LabelModel, w: np.ndarray | None, bias: float) -> Iterator[pa.RecordBatch]:
+    """Without ``w`` the score is the posterior."""
     known: dict[str, float] = {}
     for batch in batches:
         for a, b in pieces(texts := texts_of(batch), len, 8 << 20):
@@ -151,18 +151,23 @@ def _score(batches: Iterator[pa.RecordBatch], model: LabelModel, w: np.ndarray,
             for name, r in zip(names, rows):
                 if name not in known:
                     known[name] = float(model.posterior(np.array([r]))[0])
-            z = np.array([v @ w[i] for i, v in map(features, texts[a:b])]) + bias
-            score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(names), pa.array([known[x] for x in names], pa.float64()), pa.array(score)], ["doc_id", "votes", "posterior", "score"])
+            posterior = np.array([known[x] for x in names])
+            score = posterior
+            if w is not None:
+                z = np.array([v @ w[i] for i, v in map(features, texts[a:b])]) + bias
+                score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(names), pa.array(posterior), pa.array(score)], ["doc_id", "votes", "posterior", "score"])
 
 
-def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def quality(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, votes, posterior, score, predicted for every row and whole text; no given labels are used.
 
     votes: one sign per labeller (1, 0 or ? for none). Counts of all vote patterns in the corpus (3 to the
     number of labellers at most) tell, by expectation-maximisation, how often each labeller is right;
     posterior is P(good) given the votes. The linear scorer learns the posteriors of at most ``sample``
-    rows, one of each id (of its texts the first), the first in a hashed order of ids; score is its P(good), predicted whether that is 0.5 or more.
+    rows, one of each id (of its texts the first), the first in a hashed order of ids, as far as these hold ``sample_bytes``
+    together; score is its P(good), predicted whether that is 0.5 or more. Where there is nothing to fit, since every id is null
+    or the first text is larger than that, the score is the posterior.
     Null and empty texts get the length labeller's vote alone. With no rows at all nothing is returned; repeated rows repeat, extra columns are not read.
     """
     rows = docs.select("doc_id", "text")
@@ -175,9 +180,11 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     model = expectation_maximisation(patterns, np.array([r.n for r in counted], float))
     chosen = F.broadcast(labelled.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     one = rows.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    texts = sorted(tuple(r) for r in one.collect())  # ``sample`` rows at most
+    # ``sample`` rows, and so many of them as ``sample_bytes`` hold, reach the driver
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    texts = sorted(tuple(r) for r in one.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("doc_id", "text").collect())
     texts = [t for _, t in texts]
-    w, bias = fit_scorer(texts, model.posterior(np.array([votes(t) for t in texts]).reshape(-1, len(LABELLERS))) if texts else [])
+    w, bias = fit_scorer(texts, model.posterior(np.array([votes(t) for t in texts]))) if texts else (None, 0.0)
     schema = f"doc_id {kind}, votes string, posterior double, score double"
     out = map_arrow(rows, partial(_score, model=model, w=w, bias=bias), schema)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -8,15 +8,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc_fold, map_arrow, own_prefix, pieces, texts_of
 from .subwords import Subwords, words_only
 
-#: Labelled rows that a model is fitted on, at most: clean ones, toxic ones.
-SAMPLE = (2_000, 1_000)
+#: Labelled rows that a model is fitted on, at most: clean ones, toxic ones; and bytes that their texts hold together.
+SAMPLE, SAMPLE_BYTES = (2_000, 1_000), 64 << 20
 THRESHOLD = 0.3
 _BUCKETS, _DIM, _EPOCHS, _RATE, _BATCH, _GAIN = 1 << 16, 4, 10, 0.15, 50, 30.0
 
@@ -80,11 +80,11 @@ def fit(texts: Sequence[str], toxic: Sequence[int], base_rate: float, seed: int
     return SubwordModel(emb, w, bias)
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> SubwordModel:
+def fit_on(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> SubwordModel:
     """Fit on labelled documents outside the held-out fold: crc32(doc_id as text) mod 4 is not 2.
 
-    At most ``sample`` rows of either label, the first in a hashed order of their ids. With no labelled
-    rows every score is the prior. Labels that are null or name no document are left out; of several labels
+    At most ``sample`` rows of either label, the first in a hashed order of their ids, as far as these hold ``sample_bytes``
+    together. With no labelled rows every score is the prior. Labels that are null or name no document are left out; of several labels
     of one document the highest counts.
     """
     open_ = labels.where(crc_fold(F.col("doc_id"), 4) != 2).where("toxic in (0, 1) and doc_id is not null")
@@ -94,7 +94,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
     picked = F.broadcast(picks[0].union(picks[1]))  # as many rows as ``sample`` at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
     # one text of each id, the first: at most ``sample`` rows reach the driver, however often an id repeats
-    rows = sorted(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic").collect())
+    one = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = sorted(one.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("doc_id", "text", "toxic").collect())
     return fit([r.text for r in rows], [r.toxic for r in rows], totals.get(1, 0) / max(1, sum(totals.values())))
 
 
