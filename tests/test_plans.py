@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.operators import graph
 from wardline.plans import contraction, kernels, make
 
 

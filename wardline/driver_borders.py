@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .driver_queries import _CV, _REACH, _nodes, _query, _table, CELL, EDGE, LAND, cell_votes, cells, edges, land
+from .driver_queries import _REACH, _nodes, _query, _table, CELL, EDGE, LAND, cell_votes, cells, edges, land
 from .functions import geometry as geo
 from .operators import graph, shapes, spatial
 from .plan_checks import by_parts, compactness, efficiency_gap, open_exchanges
@@ -92,6 +92,12 @@ def overlay_of_combs(spark, d):
     return spatial.overlay(c, combs, mask_key="comb_id").select("id", "comb_id", F.round("shared", 9).alias("shared"))
 
 
+@_query(f"WITH RECURSIVE {CELL}, {LAND}, {EDGE}, {_REACH} SELECT id, component FROM c")
+def components_by_turns(spark, d):
+    """Components by turns of large-star and small-star to the end, as for links of any number."""
+    return graph.components(land(spark, d), edges(spark, d), few=0)
+
+
 # ---- plans ---------------------------------------------------------------------------------------------
 
 

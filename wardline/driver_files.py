@@ -118,6 +118,16 @@ def multipolygon_perimeters(spark, d):
     return cells(spark, d).select("id", geo.multipolygon_perimeter(many).alias("perimeter"), geo.polygon_area(single["hull"], single["holes"]).alias("area"))
 
 
+@_query(f"WITH {CELL} SELECT a.id, b.id AS other, a.id = b.id AS one FROM cell a JOIN cell b ON a.gx = b.gx AND abs(a.gy - b.gy) <= 1")
+def equal_precincts(spark, d):
+    """Cells against those in their column, as they are and moved: one precinct where the id is one."""
+    c = cells(spark, d).withColumn("gx", F.col("id") % 10).withColumn("gy", F.expr("id div 10"))
+    a = c.select("gx", "gy", F.struct("id", "hull").alias("p"))
+    moved = geo.affine(F.col("hull"), F.lit(1.0), F.lit(1.0), F.lit(1.0), F.lit(0.0))
+    b = c.select("gx", F.explode(F.array(F.col("gy") - 1, F.col("gy"), F.col("gy") + 1)).alias("gy"), F.struct("id", moved.alias("hull")).alias("q"))
+    return a.join(b, ["gx", "gy"]).select("p.id", F.col("q.id").alias("other"), geo.equal_by_id(F.col("p"), F.col("q")).alias("one"))
+
+
 _ARM = "floor(1275 * (id % 6) / 6.0::DOUBLE)::INT"
 
 

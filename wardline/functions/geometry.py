@@ -215,6 +215,11 @@ def equal(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def equal_by_id(a: Column, b: Column) -> Column:
+    """Precincts and nodes are equal by their ids, whatever else they hold."""
+    return a["id"].eqNullSafe(b["id"])
+
+
 def checked_closed(ring: Column) -> Column:
     """[G33] The ring; one whose last vertex is not its first raises."""
     return F.when(ring[0] == F.element_at(ring, -1), ring).otherwise(F.raise_error(F.lit(RING_OPEN)))

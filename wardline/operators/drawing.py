@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.colour import lean_colour, svg_path
 from ..functions.geometry import segments
+from ..schema import unused
 
 
 def fit_to_canvas(points: DataFrame, width: float, height: float, x: str = "x", y: str = "y") -> DataFrame:
     """[M37] Points moved and scaled, in proportion, to fill a canvas; y runs down, what is left over is shared between both sides."""
-    low = points.agg(F.min(x).alias("__x0"), F.max(x).alias("__x1"), F.min(y).alias("__y0"), F.max(y).alias("__y1"))
-    dx, dy = (F.col("__x1") - F.col("__x0")).cast("double"), (F.col("__y1") - F.col("__y0")).cast("double")
+    x0, x1, y0, y1 = (f"{unused(points)}{n}" for n in ("x0", "x1", "y0", "y1"))
+    low = points.agg(F.min(x).alias(x0), F.max(x).alias(x1), F.min(y).alias(y0), F.max(y).alias(y1))
+    dx, dy = (F.col(x1) - F.col(x0)).cast("double"), (F.col(y1) - F.col(y0)).cast("double")
     scale = F.coalesce(F.least(F.try_divide(F.lit(float(width)), dx), F.try_divide(F.lit(float(height)), dy)), F.lit(1.0))
-    across = (F.col(x) - F.col("__x0")) * scale + (width - dx * scale) / 2
-    down = height - ((F.col(y) - F.col("__y0")) * scale + (height - dy * scale) / 2)
-    return points.join(F.broadcast(low)).withColumns({x: across, y: down}).drop("__x0", "__x1", "__y0", "__y1")  # one row
+    across = (F.col(x) - F.col(x0)) * scale + (width - dx * scale) / 2
+    down = height - ((F.col(y) - F.col(y0)) * scale + (height - dy * scale) / 2)
+    return points.join(F.broadcast(low)).withColumns({x: across, y: down}).drop(x0, x1, y0, y1)  # one row
 
 
 def map_rows(precincts: DataFrame, coords: Column, colour: Column, **extras: Column) -> DataFrame:

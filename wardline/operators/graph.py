@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import unused
 from ..session import cut
 from .spatial import edges_both_ways
 
@@ -24,14 +25,16 @@ def add_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
 
 def without_nodes(edges: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
     """[G1, G3, G4, G5] Edges that touch none of the nodes."""
-    g = gone.select(F.col(key).alias("__g")).distinct()
-    return edges.join(g, F.col("src") == F.col("__g"), "left_anti").join(g, F.col("dst") == F.col("__g"), "left_anti")
+    own = unused(edges)
+    g = gone.select(F.col(key).alias(own)).distinct()
+    return edges.join(g, F.col("src") == F.col(own), "left_anti").join(g, F.col("dst") == F.col(own), "left_anti")
 
 
 def induced(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
     """[J18, J19] Edges with both ends among the nodes."""
-    s = nodes.select(F.col(key).alias("__s")).distinct()
-    return edges.join(s, F.col("src") == F.col("__s"), "left_semi").join(s, F.col("dst") == F.col("__s"), "left_semi")
+    own = unused(edges)
+    s = nodes.select(F.col(key).alias(own)).distinct()
+    return edges.join(s, F.col("src") == F.col(own), "left_semi").join(s, F.col("dst") == F.col(own), "left_semi")
 
 
 def light_copy(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import area as ring_area
 from ..functions.geometry import bounding_box, point_in_ring, polygon_area, ring_inside
 from ..functions.text import contains_any
+from ..schema import unused
 from ..session import cut
 from .spatial import box_join
 
@@ -37,10 +38,10 @@ def compare_ids(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame
     return both.agg(F.count_if(F.expr("a = 1 and b = 1")).alias("in_both"), F.count_if(F.col("b").isNull()).alias("only_left"), F.count_if(F.col("a").isNull()).alias("only_right"))
 
 
-def sibling_share(df: DataFrame, value: Column, key: str = "id") -> DataFrame:
-    """[J4, W4] ``share`` of the row's value in its key's total."""
+def sibling_share(df: DataFrame, value: Column, key: str = "id", prefix: str = "") -> DataFrame:
+    """[J4, W4] ``share`` of the row's value in its key's ``total``; ``prefix`` goes before both names."""
     total = F.sum(value).over(Window.partitionBy(key))
-    return df.withColumn("total", total).withColumn("share", F.try_divide(value, total))
+    return df.withColumns({f"{prefix}total": total, f"{prefix}share": F.try_divide(value, total)})
 
 
 def apportion(parts: DataFrame, columns: Sequence[str], key: str = "id", whole: bool = False) -> DataFrame:
@@ -48,13 +49,13 @@ def apportion(parts: DataFrame, columns: Sequence[str], key: str = "id", whole:
 
     Parts of split rows get the id ``<id>_s<part>``. ``whole``: truncate to whole numbers.
     """
-    area = polygon_area(F.col("hull"), F.col("holes"))
-    dealt = sibling_share(parts.withColumn("area", area), F.col("area"), key)
+    area, own = polygon_area(F.col("hull"), F.col("holes")), unused(parts)
+    dealt = sibling_share(parts.withColumn("area", area), F.col("area"), key, own)
     for c in columns:
-        v = F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) * F.coalesce(F.col("share"), F.lit(1.0))
+        v = F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) * F.coalesce(F.col(f"{own}share"), F.lit(1.0))
         dealt = dealt.withColumn(c, v.cast("long") if whole else v)
     new = F.when(F.col("n_parts") > 1, F.concat(F.col(key).cast("string"), F.lit("_s"), F.col("part").cast("string"))).otherwise(F.col(key).cast("string"))
-    return dealt.withColumn(key, new).drop("total", "share")
+    return dealt.withColumn(key, new).drop(f"{own}total", f"{own}share")
 
 
 def absorb(precincts: DataFrame, columns: Sequence[str], rule: str = "centroid_in_hole", key: str = "id") -> DataFrame:

@@ -23,3 +23,8 @@ def party_ordinal(party: Column) -> Column:
 
 def parties(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(PARTIES)), "ordinal int, party string")
+
+
+def unused(*frames: DataFrame) -> str:
+    """A prefix for helper columns that no column of these begins with."""
+    return "_" * (1 + max(len(c) for df in frames for c in df.columns))
