@@ -179,3 +179,39 @@ def test_refined_plans_have_a_status(spark):
         out = make.refine(nodes, method, **options).collect()
         assert {r.status for r in out} == {want} and len(out) == 16
     assert {r.status for r in make.generate_communities(nodes.drop("community_id"), 2, percent=50.0).collect()} == {"met"}
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_annealing_small_states_works_each_part_out_once(k, monkeypatch):
+    state, asked = grid(4), Counter()
+    one = kernels.Plan(state, kernels.random_contraction(state, k, 3))
+
+    def uneven(plan, c):
+        asked[c, tuple(sorted(plan.members[c]))] += 1
+        return kernels.population_stdev(plan, c)
+
+    cool = kernels.anneal(one.copy(), uneven)
+    assert set(asked.values()) == {1}
+    if k == 2:  # the best of all plans
+        sides = [{i for i in state.near if b >> i & 1} for b in range(1, 2**15)]
+        plans = [kernels.Plan(state, {i: int(i in s) for i in state.near}) for s in sides if one.connected(s) and one.connected(set(state.near) - s)]
+        assert kernels.average(cool, uneven) == pytest.approx(min(kernels.average(p, kernels.population_stdev) for p in plans))
+    # the same exchanges as a plan's own, with their scores, also where little is kept
+    monkeypatch.setattr(kernels.Met, "PLANS", 5)
+    measure = kernels.PlanMeasure.of(kernels.population_stdev)
+    met, rng = kernels.Met(one, measure), random.Random(k)
+    at = met.first
+    for _ in range(30):
+        plan = met.plan(at)
+        tried = [plan.copy() for _ in plan.border()]
+        want = sorted((tuple(sorted(p.of.items())), measure(p)) for p, way in zip(tried, plan.border()) if p.move(*way))
+        assert whole(plan) and sorted((tuple(sorted(met.plan(to).of.items())), met.score(to)) for to, _ in met.ways(at)) == [(of, pytest.approx(v)) for of, v in want]
+        at = rng.choice(met.ways(at))[0]
+    assert len(met._scores) <= 5
+
+
+def test_states_are_spread_over_tasks(spark):
+    state = grid(2)
+    nodes = spark.createDataFrame([(s, i, sorted(m)) for s in range(40) for i, m in state.near.items()], "state int, node_id long, near array<long>")
+    out = make.initial_plans(nodes, 2).withColumn("task", F.spark_partition_id())
+    assert out.count() == 160 and out.select("task").distinct().count() > 8

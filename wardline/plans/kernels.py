@@ -288,6 +288,96 @@ class PlanMeasure:
         return self.whole([self.part(plan, c) for c in plan.members])
 
 
+class Met:
+    """Plans of a small state, each a tuple of its communities' members as bits of one number, with what has been found out about them.
+
+    Few nodes make few plans, so a long search meets the same ones again and again: exchanges, pieces and values are
+    worked out once. What is kept is bounded: beyond ``PLANS`` plans all of it goes.
+    """
+
+    #: Nodes up to which searches use this, and how many plans are kept.
+    NODES, PLANS = 25, 20_000
+
+    def __init__(self, plan: Plan, measure: PlanMeasure):
+        self.work, self.measure = plan.copy(), measure
+        self.nodes = sorted(plan.of)
+        bit = {n: 1 << i for i, n in enumerate(self.nodes)}
+        self.node = {b: n for n, b in bit.items()}
+        self.near = {b: sum(bit[m] for m in plan.state.near[n] if m != n) for n, b in bit.items()}
+        self.order = list(plan.members)
+        self.first = tuple(sum(bit[n] for n in plan.members[c]) for c in self.order)
+        self.forget()
+
+    def forget(self) -> None:
+        self._scores: dict[tuple[int, ...], float] = {}
+        self._ways: dict[tuple[int, ...], list[list]] = {}
+        self._parts: list[dict[int, object]] = [{} for _ in self.order]
+        self._whole: dict[int, bool] = {}
+        self._around: dict[int, int] = {}
+
+    def _each(self, members: int) -> Iterator[int]:
+        while members:
+            low = members & -members
+            yield low
+            members ^= low
+
+    def whole(self, members: int) -> bool:
+        """[G8] Whether nodes are in one piece, and there are any."""
+        if (held := self._whole.get(members)) is None:
+            near, left, todo = self.near, members, members & -members
+            while todo:
+                low = todo & -todo
+                left &= ~todo
+                todo = (todo ^ low) | (near[low] & left)
+            held = self._whole[members] = bool(members) and not left
+        return held
+
+    def around(self, members: int) -> int:
+        """All neighbours of these nodes."""
+        if (held := self._around.get(members)) is None:
+            held = 0
+            for b in self._each(members):
+                held |= self.near[b]
+            self._around[members] = held
+        return held
+
+    def part(self, i: int, members: int) -> object:
+        """The measure of the i-th community, were these its members."""
+        held = self._parts[i]
+        if members not in held:
+            c, work = self.order[i], self.work
+            own, work.members[c] = work.members[c], {self.node[b] for b in self._each(members)}
+            held[members] = self.measure.part(work, c)
+            work.members[c] = own
+        return held[members]
+
+    def score(self, at: tuple[int, ...]) -> float:
+        if (held := self._scores.get(at)) is None:
+            if len(self._scores) >= self.PLANS:
+                self.forget()
+            held = self._scores[at] = self.measure.whole([self.part(i, members) for i, members in enumerate(at)])
+        return held
+
+    def ways(self, at: tuple[int, ...]) -> list[list]:
+        """[plan, its score or None as long as nobody has asked] of what each exchange that keeps the plan contiguous makes of it."""
+        if (held := self._ways.get(at)) is None:
+            held = []
+            for j, to in enumerate(at):
+                around = self.around(to)
+                for i, own in enumerate(at):
+                    for b in self._each(own & around if i != j else 0):
+                        if self.whole(own ^ b):
+                            moved = list(at)
+                            moved[i], moved[j] = own ^ b, to | b
+                            held.append([tuple(moved), self._scores.get(tuple(moved))])
+            self._ways[at] = held
+        return held
+
+    def plan(self, at: tuple[int, ...]) -> Plan:
+        of = {self.node[b]: c for c, members in zip(self.order, at) for b in self._each(members)}
+        return Plan(self.work.state, {n: of[n] for n in self.nodes})
+
+
 def _spread_of(total: np.ndarray) -> float:
     n, one, two = total
     return math.sqrt(max(0.0, two / n - (one / n) ** 2)) if n else 0.0
@@ -406,8 +496,13 @@ def steepest(plan: Plan, measure: PlanMeasure | Measure | Sums, maximize: bool =
 
 def anneal(plan: Plan, measure: PlanMeasure | Measure | Sums, seed: int = 0, epochs: int = 40_000, start: float = 30.0, cooling: float = 0.99976) -> Plan:
     """[G22] Minimise the measure (of single communities: its mean): in each epoch one of all possible exchanges,
-    drawn evenly; worse ones are kept while start temperature ratios allow. The best plan met."""
+    drawn evenly; worse ones are kept while start temperature ratios allow. The best plan met.
+
+    Small states walk through plans as ``Met`` keeps them, larger ones change a plan move by move.
+    """
     measure, rng = PlanMeasure.of(measure), random.Random(seed)
+    if len(plan.of) <= Met.NODES:
+        return _anneal_met(Met(plan, measure), rng, epochs, start, cooling)
     parts = Parts(plan, measure.part)
     score = measure.whole(list(parts.of.values()))
     heat, best, least = start, dict(plan.of), score
@@ -428,6 +523,25 @@ def anneal(plan: Plan, measure: PlanMeasure | Measure | Sums, seed: int = 0, epo
     return Plan(plan.state, best)
 
 
+def _anneal_met(met: Met, rng: random.Random, epochs: int, start: float, cooling: float) -> Plan:
+    """The same, with each exchange drawn from the list of those that its plan has."""
+    best, draw, heat = met.first, rng.random, start
+    score = least = met.score(best)
+    ways = met.ways(best)
+    for _ in range(epochs):
+        if not ways:
+            break
+        way = ways[int(draw() * len(ways))]
+        if (now := way[1]) is None:
+            now = way[1] = met.score(way[0])
+        if now < score or heat / start > draw():
+            at, score, ways = way[0], now, met.ways(way[0])
+            if score < least:
+                best, least = at, score
+        heat *= cooling
+    return met.plan(best)
+
+
 def _possible(plan: Plan, rng: random.Random) -> tuple[int, int] | None:
     """An exchange that keeps the plan contiguous, each with the same chance; None if there is none."""
     for _ in range(4 * len(plan.ways)):

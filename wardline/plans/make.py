@@ -41,7 +41,10 @@ def with_neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _per_state(nodes: DataFrame, seeds: list[int], work: Callable[[kernels.State, pd.DataFrame, int], tuple[dict[int, int], str]]) -> DataFrame:
     kind = nodes.schema["state"].dataType.simpleString()
-    many = nodes.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    # few rows make long work: a fixed number of partitions is not coalesced by their size
+    spark = nodes.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    many = nodes.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).repartition(n, "state", "seed")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id")
