@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,20 @@ def test_overlaps_holes_and_repeats(spark):
     assert {tuple(r) for r in spatial.rook_adjacency(pairs, overlapping=True).collect()} == {(1, 2), (2, 4), (1, 5), (2, 5)}
     assert {tuple(r) for r in spatial.rook_adjacency(pairs, collinear=True).collect()} == {(1, 5)}
     assert shapes.outline(df.limit(0)).count() == 0 and spatial.rook_adjacency(df.limit(0), collinear=True).count() == 0
+
+
+def test_many_rings_are_put_in_order_once():
+    asked = 0
+
+    class Counted(int):
+        def __lt__(self, other):
+            nonlocal asked
+            asked += 1
+            return int(self) < int(other)
+
+    n = 400
+    # every third square apart, the others in twos that touch at a corner
+    rows = [r for i in range(n) for x in [i if i % 3 else i + 5 * n] for r in ((x, i, x + 1, i), (x + 1, i, x + 1, i + 1), (x + 1, i + 1, x, i + 1), (x, i + 1, x, i))]
+    rings = shapes.stitch(pd.DataFrame([[Counted(v) for v in r] for r in rows], columns=["x1", "y1", "x2", "y2"], dtype=object))
+    assert len(rings) == n and all(len(r) == 4 for r in rings)
+    assert asked < 40 * len(rows)

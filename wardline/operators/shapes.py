@@ -31,27 +31,30 @@ def outline_length(precincts: DataFrame, by: str = "community_id") -> DataFrame:
 
 
 def stitch(segments_: pd.DataFrame) -> list[np.ndarray]:
-    """Directed segments joined into rings; at a vertex with several ways on, the sharpest left turn, so rings that touch stay apart."""
+    """Directed segments joined into rings; at a vertex with several ways on, the sharpest left turn, so rings that touch stay apart.
+
+    Rings begin at their smallest vertex; vertices are put in order once, whatever the number of rings.
+    """
     ways: dict[tuple, list[tuple]] = {}
     for x1, y1, x2, y2 in segments_[["x1", "y1", "x2", "y2"]].itertuples(index=False):
         ways.setdefault((x1, y1), []).append((x2, y2))
     rings = []
-    while ways:
-        start = min(ways)
-        ring, at, came = [start], start, None
-        while True:
-            out = ways[at]
-            if came is not None and len(out) > 1:
-                back = np.arctan2(came[1] - at[1], came[0] - at[0])
-                out.sort(key=lambda q: (back - np.arctan2(q[1] - at[1], q[0] - at[0])) % (2 * np.pi), reverse=True)
-            to = out.pop()
-            if not out:
-                del ways[at]
-            came, at = at, to
-            if at == start or at not in ways:
-                break
-            ring.append(at)
-        rings.append(np.array(ring, float))
+    for start in sorted(ways):
+        while start in ways:
+            ring, at, came = [start], start, None
+            while True:
+                out = ways[at]
+                if came is not None and len(out) > 1:
+                    back = np.arctan2(came[1] - at[1], came[0] - at[0])
+                    out.sort(key=lambda q: (back - np.arctan2(q[1] - at[1], q[0] - at[0])) % (2 * np.pi), reverse=True)
+                to = out.pop()
+                if not out:
+                    del ways[at]
+                came, at = at, to
+                if at == start or at not in ways:
+                    break
+                ring.append(at)
+            rings.append(np.array(ring, float))
     return rings
 
 
