@@ -9,8 +9,9 @@ import resource
 import numpy as np
 import pytest
 
+from wardline import driver_files
 from wardline.operators import drawing, spatial
-from wardline.sources import ingest
+from wardline.sources import geojson, ingest
 
 
 def test_tables_of_several_states(spark, tmp_path):
@@ -97,3 +98,24 @@ def test_spans_are_the_pixels_within(spark):
         x, y = (v.ravel() for v in np.meshgrid(np.arange(-5, 40), np.arange(-5, 40)))
         want |= {(i, int(b), int(a)) for a, b, k in zip(x, y, inside(rings, x + 0.5, y + 0.5)) if k}
     assert got == want
+
+
+def test_shapes_in_lines_or_files_make_the_same_collections(spark, tmp_path):
+    shapes = {"vt_1": ['{"a":1}', '{"a":2}'], "vt_2": ['{"a":3}'], "ny_3": ['{"a":4}']}
+    for name, texts in shapes.items():
+        (tmp_path / "lines" / name).mkdir(parents=True)
+        (tmp_path / "lines" / name / "shapes.txt").write_text("\n".join([*texts, " ", ""]))
+        for i, t in enumerate(texts):
+            (tmp_path / "files" / name).mkdir(parents=True, exist_ok=True)
+            (tmp_path / "files" / name / f"{i}.txt").write_text(t)
+    got = [sorted(map(tuple, geojson.combine_shapes(spark, f"{tmp_path}/{n}/*", **o).collect())) for n, o in (("lines", {"lines": True}), ("files", {}))]
+    assert got[0] == got[1] == [(s, '{"type":"FeatureCollection","features":[' + inner + "]}") for s, inner in (("ny", '{"a":4}'), ("vt", '{"a":1},{"a":2},{"a":3}'))]
+
+
+def test_folders_of_shapes_do_not_grow_with_the_shapes(spark, tmp_path, monkeypatch):
+    rows = spark.range(600).selectExpr("id s_suppkey", "cast(id % 25 as int) s_nationkey", "0.5D s_acctbal")
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(driver_files, "shared_path", lambda spark, name: f"{tmp_path}/{name}")
+    got = driver_files.combined_shapes(spark, str(tmp_path)).collect()
+    assert sum(r.n for r in got) == 600 and sum(r.ids for r in got) == 600 * 599 // 2 and len(got) == 25
+    assert len([p for p in (tmp_path / "shapes").iterdir() if p.is_dir()]) <= 8 * 25

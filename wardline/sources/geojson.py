@@ -67,14 +67,18 @@ def read_districts(spark: SparkSession, path: str, lines: bool = False) -> DataF
     return rows.select(F.col("feature").alias("district_id"), F.posexplode("parts").alias("part", "p")).select("district_id", "part", "p.hull", "p.holes")
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """[S22] Whole files as (path, text)."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def read_text(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """[S22] Whole files, or their ``lines``, as (path, text)."""
+    return spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def combine_shapes(spark: SparkSession, paths: str) -> DataFrame:
-    """[S21] (state, collection): single shapes gathered into a FeatureCollection by the prefix of their folder's name."""
-    rows = read_text(spark, paths).select("path", F.trim("text").alias("shape"))
+def combine_shapes(spark: SparkSession, paths: str, lines: bool = False) -> DataFrame:
+    """[S21] (state, collection): single shapes gathered into a FeatureCollection by the prefix of their folder's name.
+
+    A shape is a file, or, with ``lines``, a line that is not blank: many small shapes need no file each.
+    """
+    rows = read_text(spark, paths, lines).select("path", F.trim("text").alias("shape"))
+    rows = rows.where("shape <> ''") if lines else rows
     folder = F.element_at(F.split("path", "/"), -2)
     rows = rows.withColumn("state", F.regexp_extract(folder, r"^([^0-9]*?)_?[0-9]*$", 1))
     shapes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "shape"))), lambda x: x["shape"]), ",")
